@@ -7,7 +7,7 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolesieve.functions.text import strip, string_array
+from rolesieve.functions.text import string_array, strip, text_or_empty
 
 # Comments, scripts and styles are consumed as whole tokens, so tags inside them are never seen. An
 # unclosed one reaches to the end of the page, which also keeps the scan linear.
@@ -101,10 +101,10 @@ def head_tokens(html: Column) -> Column:
     return F.filter(tokens, lambda t: F.rlike(t, F.lit(r"(?i)^<(?:title|meta)\b")))
 
 
-def title_text(tokens: Column) -> Column:
-    """Text of the first title element; NULL if there is none."""
+def title_source(tokens: Column) -> Column:
+    """Inside of the first title element, entities not decoded; NULL if there is none."""
     titles = F.filter(tokens, lambda t: F.rlike(t, F.lit(r"(?i)^<title\b")))
-    return strip(unescape_html(F.regexp_replace(F.get(titles, F.lit(0)), r"(?is)^<title\b[^>]*>|</title\s*>$", "")))
+    return F.regexp_replace(F.get(titles, F.lit(0)), r"(?is)^<title\b[^>]*>|</title\s*>$", "")
 
 
 def meta_attributes(tokens: Column) -> Column:
@@ -128,7 +128,11 @@ def meta_attributes(tokens: Column) -> Column:
     return F.transform(metas, attributes)
 
 
-def meta_content(metas: Column, attribute: str, value: str) -> Column:
-    """Content of the first meta tag whose ``attribute`` is exactly ``value``; empty if none or empty."""
-    tag = F.get(F.filter(metas, lambda m: m[attribute] == value), F.lit(0))
-    return F.coalesce(strip(unescape_html(tag["content"])), F.lit(""))
+def meta_source(metas: Column, attribute: str, value: str) -> Column:
+    """Raw content of the first meta tag whose ``attribute`` is exactly ``value``; NULL if there is none."""
+    return F.get(F.filter(metas, lambda m: m[attribute] == value), F.lit(0))["content"]
+
+
+def readable_texts(sources: list[Column]) -> Column:
+    """``array<string>`` of the sources with entities decoded and ends stripped; empty text for NULL."""
+    return F.transform(F.array(*sources), lambda t: text_or_empty(strip(unescape_html(t))))

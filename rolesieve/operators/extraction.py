@@ -49,21 +49,39 @@ def _posting_fields(posting: Column, url: Column) -> dict[str, Column]:
     }
 
 
-def _meta_fields(tokens: Column, metas: Column) -> dict[str, Column]:
+def _meta_texts(tokens: Column, metas: Column) -> Column:
+    return H.readable_texts(
+        [
+            H.meta_source(metas, "property", "og:title"),
+            H.title_source(tokens),
+            H.meta_source(metas, "property", "og:site_name"),
+            H.meta_source(metas, "property", "og:description"),
+            H.meta_source(metas, "name", "description"),
+        ]
+    )
+
+
+def _meta_fields(texts: Column) -> dict[str, Column]:
+    og_title, title, site_name, og_description, description = [F.get(texts, F.lit(i)) for i in range(5)]
     return {
-        "title": first_non_empty(H.meta_content(metas, "property", "og:title"), H.title_text(tokens)),
-        "company": H.meta_content(metas, "property", "og:site_name"),
-        "description": first_non_empty(
-            H.meta_content(metas, "property", "og:description"), H.meta_content(metas, "name", "description")
-        ),
+        "title": first_non_empty(og_title, title),
+        "company": text_or_empty(site_name),
+        "description": first_non_empty(og_description, description),
     }
 
 
+def _with_meta(pages: DataFrame, tokens: Column) -> DataFrame:
+    """Add ``_texts``, step by step so that each part is computed once."""
+    with_tokens = pages.withColumn("_tokens", tokens)
+    with_metas = with_tokens.withColumn("_metas", H.meta_attributes(F.col("_tokens")))
+    texts = F.when(F.col("_tokens").isNotNull(), _meta_texts(F.col("_tokens"), F.col("_metas")))
+    return with_metas.withColumn("_texts", texts).drop("_tokens", "_metas")
+
+
 def meta_fallback(crawl: DataFrame) -> DataFrame:
     """``(url, title, company, description)`` from Open Graph tags, the title element and the description tag."""
-    tokens = crawl.select("url", H.head_tokens(F.col("html")).alias("_tokens"))
-    metas = tokens.select("url", "_tokens", H.meta_attributes(F.col("_tokens")).alias("_metas"))
-    return metas.select("url", *[c.alias(n) for n, c in _meta_fields(F.col("_tokens"), F.col("_metas")).items()])
+    read = _with_meta(crawl.select("url", "html"), H.head_tokens(F.col("html")))
+    return read.select("url", *[c.alias(n) for n, c in _meta_fields(F.col("_texts")).items()])
 
 
 def extract_pages(crawl: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -76,13 +94,13 @@ def extract_pages(crawl: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     kept = ["url", "blocked", *[c for c in keep if c not in ("url", "blocked")]]
     readable = F.when(F.col("blocked"), F.lit("")).otherwise(text_or_empty(F.col("html")))
     pages = scan_crawl(crawl).select(*kept, readable.alias("_html"))
-    found = pages.select(*kept, "_html", J.first_job_posting_in(H.jsonld_scripts(F.col("_html"))).alias("_posting"))
+    blocks = pages.select(*kept, "_html", H.jsonld_scripts(F.col("_html")).alias("_blocks"))
+    found = blocks.select(*kept, "_html", J.first_job_posting_in(F.col("_blocks")).alias("_posting"))
     tokens = F.when(F.col("_posting").isNull(), H.head_tokens(F.col("_html")))
-    split = found.select(*kept, "_posting", tokens.alias("_tokens"))
-    ready = split.select(*kept, "_posting", "_tokens", H.meta_attributes(F.col("_tokens")).alias("_metas"))
+    ready = _with_meta(found, tokens)
 
     posting, has_posting = F.col("_posting"), F.col("_posting").isNotNull()
-    meta = _meta_fields(F.col("_tokens"), F.col("_metas"))
+    meta = _meta_fields(F.col("_texts"))
     fields = {
         name: F.when(has_posting, value).otherwise(meta.get(name, F.lit("")))
         if name not in ("_date", "apply_url")
