@@ -7,19 +7,20 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolesieve.functions.text import string_array, strip, text_or_empty
+from rolesieve.functions.text import string_array, string_map, strip, text_or_empty
 
 # Comments, scripts and styles are consumed as whole tokens, so tags inside them are never seen. An
 # unclosed one reaches to the end of the page, which also keeps the scan linear.
-_COMMENT = r"<!--.*?(?:-->|\z)"
-_SCRIPT = r"<script\b[^>]*>.*?(?:</script\s*>|\z)"
-_STYLE = r"<style\b[^>]*>.*?(?:</style\s*>|\z)"
-_TITLE = r"<title\b[^>]*>.*?</title\s*>"
+_COMMENT = r"!--.*?(?:-->|\z)"
+_SCRIPT = r"script\b[^>]*>.*?(?:</script\s*>|\z)"
+_STYLE = r"style\b[^>]*>.*?(?:</style\s*>|\z)"
+_TITLE = r"title\b[^>]*>.*?</title\s*>"
 # A quoted attribute value may hold ">". The bounded form reads such tags, the plain one any longer tag.
-_META = r"""<meta\b(?:[^>"']++|"[^"]*+"|'[^']*+'){0,200}+>|<meta\b[^>]*>"""
+_META = r"""meta\b(?:[^>"']++|"[^"]*+"|'[^']*+'){0,200}+>|meta\b[^>]*>"""
 
-_BLOCK_TOKENS = rf"(?is){_COMMENT}|{_SCRIPT}"
-_HEAD_TOKENS = rf"(?is){_COMMENT}|{_SCRIPT}|{_STYLE}|{_TITLE}|{_META}"
+# One "<" in front of all alternatives lets the scan skip everything else by a single comparison.
+_BLOCK_TOKENS = rf"(?is)<(?:{_COMMENT}|{_SCRIPT})"
+_HEAD_TOKENS = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE}|{_TITLE}|{_META})"
 
 _PLUS = r"(?:\+|&#43;|&#[xX]2[bB];|&plus;)"
 _LD_JSON = rf"application/ld{_PLUS}json"
@@ -45,42 +46,31 @@ def jsonld_scripts(html: Column) -> Column:
 
 
 def _entity_table() -> dict[str, str]:
+    """References to characters: all named ones of HTML 4, those of HTML 5 for ASCII, and #128 to #159.
+
+    Those numbers are read as Windows-1252, as browsers do.
+    """
     names = {name: chr(code) for name, code in name2codepoint.items()}
     names |= {n[:-1]: c for n, c in html5.items() if n.endswith(";") and len(c) == 1 and ord(c) < 128}
-    return names
-
-
-def _numeric_table() -> dict[int, str]:
-    """Code points 128 to 159 are read as Windows-1252, as browsers do."""
-    pairs = {b: bytes([b]).decode("cp1252", "ignore") for b in range(128, 160)}
-    return {code: char for code, char in pairs.items() if char}
-
-
-def _literal_map(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    remapped = {f"#{b}": bytes([b]).decode("cp1252", "ignore") for b in range(128, 160)}
+    return names | {ref: char for ref, char in remapped.items() if char}
 
 
 def unescape_html(text: Column) -> Column:
     """Decode named and numeric character references that end in a semicolon."""
-    named, remapped = _literal_map(_entity_table()), _literal_map(_numeric_table())
+    table = string_map(_entity_table())
 
     def code_point(code: Column) -> Column:
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         encoded = F.unhex(F.lpad(F.hex(code), 8, "0"))
-        return F.coalesce(
-            F.try_element_at(remapped, code),
-            F.when(valid, F.decode(encoded, "UTF-32")),
-            F.lit("�"),
-        )
+        return F.when(valid, F.decode(encoded, "UTF-32")).otherwise(F.lit("\ufffd"))
 
     def character(ref: Column) -> Column:
-        hexadecimal = F.conv(F.substring(ref, 3, 8), 16, 10).cast("int")
-        decimal = F.substring(ref, 2, 8).cast("int")
-        return (
-            F.when(F.rlike(ref, F.lit("^#[xX]")), code_point(hexadecimal))
-            .when(ref.startswith("#"), code_point(decimal))
-            .when(ref != "", F.try_element_at(named, ref))
-        )
+        number = F.when(
+            F.rlike(ref, F.lit("^#[xX]")), F.conv(F.substring(ref, 3, 8), 16, 10).cast("int")
+        ).when(ref.startswith("#"), F.substring(ref, 2, 8).cast("int"))
+        name = F.when(number.isNull(), ref).otherwise(F.concat(F.lit("#"), number))
+        return F.coalesce(F.try_element_at(table, name), F.when(number.isNotNull(), code_point(number)))
 
     def piece(part: Column) -> Column:
         ref = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolesieve.functions.text import any_keyword, let, matched_keywords, text_or_empty, words_of
+from rolesieve.functions.text import any_keyword, let, matched_keywords, text_or_empty
 from rolesieve.registry import (
     ALL_TRACKS,
     ALL_TRACKS_SCORE,
@@ -36,33 +36,25 @@ def category_of(text: Column, words: Column, registry: Mapping[str, Sequence[str
     return F.lit(OTHER_CATEGORY) if result is None else result.otherwise(F.lit(OTHER_CATEGORY))
 
 
-def score_from_words(
-    title: Column,
-    description: Column,
-    title_words: Column,
-    description_words: Column,
-    keywords: Mapping[str, Sequence[str]],
-    negative: Sequence[str],
+def listed_keywords(registry: TrackRegistry) -> list[str]:
+    return [k for strengths in registry.values() for keywords in strengths.values() for k in keywords]
+
+
+def score_from_hits(
+    in_title: Column, in_description_only: Column, negative_hits: Column, keywords: Mapping[str, Sequence[str]]
 ) -> Column:
-    """Score of one track over lower-case texts and their words."""
-    def points(in_title: Column, in_description: Column, title_points: int, description_points: int) -> Column:
-        return let(
-            in_title,
-            lambda t: F.size(t) * title_points + F.size(F.array_except(in_description, t)) * description_points,
-        )
+    """Score of one track from the keywords found. Most postings hit few, so this works on tiny arrays."""
 
-    score = F.lit(0)
+    def count(hits: Column, listed: Sequence[str]) -> Column:
+        return F.size(F.filter(hits, lambda k: k.isin(list(listed))))
+
+    score = F.size(negative_hits) * -NEGATIVE_PENALTY
     for strength, (title_points, description_points) in TRACK_POINTS.items():
         listed = keywords.get(strength, [])
-        score = score + points(
-            matched_keywords(listed, title, title_words),
-            matched_keywords(listed, description, description_words),
-            title_points,
-            description_points,
-        )
-    both = F.concat(title, F.lit(" "), description)
-    penalties = matched_keywords(negative, both, F.concat(title_words, description_words))
-    return F.greatest(F.lit(0), score - F.size(penalties) * NEGATIVE_PENALTY)
+        if listed:
+            score = score + count(in_title, listed) * title_points
+            score = score + count(in_description_only, listed) * description_points
+    return F.greatest(F.lit(0), score)
 
 
 def score_track(
@@ -75,16 +67,20 @@ def score_track(
     """Score of a posting for ``track``; ``all`` always scores 1."""
     if track == ALL_TRACKS:
         return F.lit(ALL_TRACKS_SCORE)
-    texts = F.struct(
-        F.lower(title).alias("t"), F.lower(text_or_empty(description)).alias("d")
-    )
-    return let(
-        texts,
-        lambda x: let(
-            F.struct(words_of(x["t"]).alias("t"), words_of(x["d"]).alias("d")),
-            lambda w: score_from_words(x["t"], x["d"], w["t"], w["d"], registry[track], negative),
-        ),
-    )
+    listed = listed_keywords({track: registry[track]})
+    texts = F.struct(F.lower(title).alias("t"), F.lower(text_or_empty(description)).alias("d"))
+
+    def hits(x: Column) -> Column:
+        return F.struct(
+            matched_keywords(listed, x["t"]).alias("t"),
+            matched_keywords(listed, x["d"]).alias("d"),
+            matched_keywords(negative, F.concat(x["t"], F.lit(" "), x["d"])).alias("n"),
+        )
+
+    def score(h: Column) -> Column:
+        return score_from_hits(h["t"], F.array_except(h["d"], h["t"]), h["n"], registry[track])
+
+    return let(texts, lambda x: let(hits(x), score))
 
 
 def matching_tracks(scores: Mapping[str, Column], min_score: int = MIN_TRACK_SCORE) -> Column:

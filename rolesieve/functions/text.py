@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -19,6 +19,10 @@ NON_WORDS = r"[^\p{L}\p{N}_]+"
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
+# Separators inside constants; no keyword, signal or entity contains them.
+_GAP, _ASSIGN = "\ue000", "\ue001"
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends (linear in the text, no regex)."""
     return F.btrim(text, F.lit(WHITESPACE))
@@ -44,9 +48,16 @@ def words_of(text: Column) -> Column:
 
 
 def string_array(values: Sequence[str]) -> Column:
+    """Constant array. Built from one literal, which the optimizer folds, not from one literal per value."""
     if not values:
         return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(_GAP.join(values)), _GAP)
+
+
+def string_map(table: Mapping[str, str]) -> Column:
+    """Constant map, built from one literal in the same way."""
+    pairs = _GAP.join(key + _ASSIGN + value for key, value in table.items())
+    return F.str_to_map(F.lit(pairs), F.lit(_GAP), F.lit(_ASSIGN))
 
 
 def is_phrase(keyword: str) -> bool:
@@ -90,31 +101,34 @@ def split_keywords(keywords: Sequence[str]) -> tuple[list[str], list[str], list[
     return plain, phrases, [k for k in unique if k not in plain and k not in phrases]
 
 
-def matched_keywords(keywords: Sequence[str], text: Column, words: Column) -> Column:
-    """Array of the distinct ``keywords`` found in ``text``, whose words are given as ``words``.
+def listed_words(keywords: Sequence[str], text: Column) -> Column:
+    """The distinct words of ``text`` that are single-word ``keywords``: one set lookup per word."""
+    plain = split_keywords(keywords)[0]
+    return F.array_distinct(F.filter(words_of(text), lambda w: w.isin(plain))) if plain else string_array([])
 
-    One hash lookup per word instead of one scan per keyword; only phrases and hyphenated words scan the
-    text. The expression stays small however long the registry is, so it never outgrows one JIT method.
+
+def matched_keywords(keywords: Sequence[str], text: Column) -> Column:
+    """Array of the distinct ``keywords`` found in ``text``, which is lower case.
+
+    Words are looked up in the list instead of the list being searched for in the text; only phrases and
+    hyphenated words scan it. The expression stays small however long the registry is, so it never
+    outgrows one JIT method.
     """
-    plain, phrases, mixed = split_keywords(keywords)
-    parts = []
-    if plain:
-        parts.append(F.array_intersect(words, string_array(plain)))
+    _, phrases, mixed = split_keywords(keywords)
+    parts = [listed_words(keywords, text)]
     if phrases:
         parts.append(F.filter(string_array(phrases), lambda k: F.contains(text, k)))
     if mixed:
         parts.append(F.array_compact(F.array(*[F.when(kw_match(k, text), F.lit(k)) for k in mixed])))
-    if not parts:
-        return string_array([])
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def any_keyword(keywords: Sequence[str], text: Column, words: Column) -> Column:
-    """At least one of ``keywords`` is found; cheapest test first."""
+    """At least one of ``keywords`` is found in ``text``, whose listed words are ``words``; cheapest test first."""
     plain, phrases, mixed = split_keywords(keywords)
     tests = []
     if plain:
-        tests.append(F.arrays_overlap(words, string_array(plain)))
+        tests.append(F.exists(words, lambda w: w.isin(plain)))
     if phrases:
         tests.append(F.exists(string_array(phrases), lambda k: F.contains(text, k)))
     tests += [kw_match(k, text) for k in mixed]

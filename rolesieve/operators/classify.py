@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,23 +11,20 @@ from rolesieve.functions.scoring import (
     TrackRegistry,
     category_of,
     joined_text,
+    listed_keywords,
     matching_tracks,
-    score_from_words,
+    score_from_hits,
 )
-from rolesieve.functions.text import is_plain_word, string_array, text_or_empty, words_of
+from rolesieve.functions.text import listed_words, matched_keywords, text_or_empty
 from rolesieve.registry import CATEGORY_KEYWORDS, MIN_TRACK_SCORE, NEGATIVE_KEYWORDS, TRACK_KEYWORDS
 
 
-def _listed_words(keywords: Iterable[str]):
-    return string_array([k for k in dict.fromkeys(keywords) if is_plain_word(k)])
-
-
 def categorize(postings: DataFrame, registry: Mapping[str, Sequence[str]] = CATEGORY_KEYWORDS) -> DataFrame:
     """Add ``category``: the first category of ``registry`` with a keyword in title or description."""
-    vocabulary = _listed_words(k for keywords in registry.values() for k in keywords)
+    vocabulary = [k for keywords in registry.values() for k in keywords]
     names = postings.columns
     texts = postings.withColumn("_text", joined_text(F.col("title"), F.col("description")))
-    words = texts.withColumn("_words", F.array_intersect(words_of(F.col("_text")), vocabulary))
+    words = texts.withColumn("_words", listed_words(vocabulary, F.col("_text")))
     category = category_of(F.col("_text"), F.col("_words"), registry)
     return words.select(*[F.col(f"`{c}`") for c in names if c != "category"], category.alias("category"))
 
@@ -39,22 +36,25 @@ def add_scores(
 ) -> DataFrame:
     """Add ``_scores``, a struct with one score per track of ``registry``.
 
-    Each text is lower-cased and cut into words once; the words are reduced to those any list names, so the
-    per-track lookups work on a handful of them.
+    Each text is lower-cased and searched once for the keywords of all tracks together; the tracks then
+    share what was found.
     """
-    vocabulary = _listed_words([*(k for t in registry.values() for ks in t.values() for k in ks), *negative])
+    vocabulary = listed_keywords(registry)
+    names = [F.col(f"`{c}`") for c in postings.columns]
     texts = postings.withColumns(
         {"_title": F.lower("title"), "_description": F.lower(text_or_empty(F.col("description")))}
     )
-    words = texts.withColumns(
-        {
-            "_title_words": F.array_intersect(words_of(F.col("_title")), vocabulary),
-            "_description_words": F.array_intersect(words_of(F.col("_description")), vocabulary),
-        }
+    both = F.concat("_title", F.lit(" "), "_description")
+    found = texts.select(
+        *names,
+        matched_keywords(vocabulary, F.col("_title")).alias("_in_title"),
+        matched_keywords(vocabulary, F.col("_description")).alias("_in_description"),
+        matched_keywords(negative, both).alias("_negative"),
     )
-    inputs = [F.col(c) for c in ("_title", "_description", "_title_words", "_description_words")]
-    scores = [score_from_words(*inputs, keywords, negative).alias(track) for track, keywords in registry.items()]
-    return words.select(*[F.col(f"`{c}`") for c in postings.columns], F.struct(*scores).alias("_scores"))
+    only = found.withColumn("_in_description", F.array_except("_in_description", "_in_title"))
+    inputs = [F.col(c) for c in ("_in_title", "_in_description", "_negative")]
+    scores = [score_from_hits(*inputs, keywords).alias(track) for track, keywords in registry.items()]
+    return only.select(*names, F.struct(*scores).alias("_scores"))
 
 
 def score_all_tracks(postings: DataFrame, registry: TrackRegistry = TRACK_KEYWORDS) -> DataFrame:

@@ -24,7 +24,8 @@ from rolesieve.operators.search import merge_search_results
 from rolesieve.options import RunOptions
 from rolesieve.session import stage_table
 from rolesieve.sources.crawl import latest_fetch
-from rolesieve.sources.seen import append_seen, read_seen
+from rolesieve.sources.seen import SEEN_SCHEMA, append_seen, read_seen
+from rolesieve.sources.tables import create_if_missing
 from rolesieve.sources.target import upsert_new_rows
 
 POSTING_COLUMNS = [
@@ -95,6 +96,7 @@ def execute_run(
     and only completes the state. The other way round the rows would be lost.
     """
     spark = results.sparkSession
+    create_if_missing(spark, seen_path, SEEN_SCHEMA)
     postings, hashes = run_pipeline(
         results, crawl, read_seen(spark, seen_path), options, cut=lambda df: stage_table(df, f"{stage}/new-postings")
     )

@@ -23,7 +23,8 @@ def load_seen_hashes(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], SEEN_SCHEMA)
-    hashes = lines.select(strip(F.explode(F.split("value", _OTHER_LINE_ENDS))).alias("hash"))
+    parts = lines.select(F.explode(F.split("value", _OTHER_LINE_ENDS)).alias("part"))
+    hashes = parts.select(strip(F.col("part")).alias("hash"))
     return hashes.filter(F.length("hash") == HASH_LENGTH).distinct()
 
 

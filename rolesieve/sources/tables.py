@@ -15,3 +15,8 @@ def read_parquet_or_empty(spark: SparkSession, path: str, schema: StructType | s
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def create_if_missing(spark: SparkSession, path: str, schema: StructType | str) -> None:
+    """Make sure there is a parquet table at ``path``; an existing one is left alone."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)

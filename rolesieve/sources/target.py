@@ -13,7 +13,7 @@ from rolesieve.functions.text import strip
 from rolesieve.operators.dedup import dedup_first
 from rolesieve.operators.postings import export_rows
 from rolesieve.registry import TARGET_COLUMNS
-from rolesieve.sources.tables import read_parquet_or_empty
+from rolesieve.sources.tables import create_if_missing, read_parquet_or_empty
 
 TARGET_SCHEMA = ", ".join(f"`{c}` string" for c in TARGET_COLUMNS)
 
@@ -51,6 +51,7 @@ def rows_to_append(postings: DataFrame, target: DataFrame, added_at: dt.date) ->
 
 def upsert_new_rows(postings: DataFrame, target_path: str, added_at: dt.date) -> int:
     """Append the new rows to the table at ``target_path`` and return how many; existing rows stay as they are."""
+    create_if_missing(postings.sparkSession, target_path, TARGET_SCHEMA)
     rows = rows_to_append(postings, read_target(postings.sparkSession, target_path), added_at)
     counted = Observation()
     rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(target_path)
