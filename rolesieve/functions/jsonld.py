@@ -37,11 +37,12 @@ def _kind(value: Column) -> Column:
 
 
 def _is_string(value: Column) -> Column:
+    """Cheap for scalars; ask ``_is_object`` first where an object is likely, its schema takes long to print."""
     return F.coalesce(_kind(value) == "STRING", F.lit(False))
 
 
 def _is_object(value: Column) -> Column:
-    return F.coalesce(_kind(value).startswith("OBJECT"), F.lit(False))
+    return _at(value, "$", "map<string, variant>").isNotNull()
 
 
 def jsonld_parse(raw: Column) -> Column:
@@ -143,7 +144,7 @@ def field_text(value: Column, path: str = "$") -> Column:
 def parse_company(posting: Column) -> Column:
     org = _at(posting, "$.hiringOrganization", "variant")
     return (
-        F.when(_is_string(org), field_text(org)).when(_is_object(org), field_text(org, "$.name")).otherwise("")
+        F.when(_is_object(org), field_text(org, "$.name")).when(_is_string(org), field_text(org)).otherwise("")
     )
 
 
@@ -164,10 +165,9 @@ def parse_location(posting: Column) -> Column:
     def place_text(value: Column) -> Column:
         address = _at(value, "$.address", "variant")
         return (
-            F.when(_is_string(value), field_text(value))
-            .when(_is_string(address), field_text(address))
-            .when(_is_object(address), address_text(address))
-            .otherwise("")
+            F.when(_is_object(address), address_text(address))
+            .when(address.isNotNull(), F.when(_is_string(address), field_text(address)))
+            .when(_is_string(value), field_text(value))
         )
 
     remote = F.upper(field_text(posting, "$.jobLocationType")) == REMOTE_LOCATION_TYPE

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolesieve.functions.verdict import page_verdict
 from rolesieve.functions.text import text_or_empty
+from rolesieve.functions.verdict import page_verdict
+from rolesieve.operators.computed import with_computed
 
 
 def with_verdict(crawl: DataFrame) -> DataFrame:
     """Add ``verdict``, a struct of status and reason, to crawl rows."""
     verdict = page_verdict(F.col("status_code"), F.col("html"), text_or_empty(F.col("error")))
-    return crawl.withColumn("verdict", verdict)
+    return with_computed(crawl, {"verdict": verdict})
 
 
 def check_first_n(postings: DataFrame, n: int = 10) -> DataFrame:

@@ -16,17 +16,17 @@ from rolesieve.functions.scoring import (
     score_from_hits,
 )
 from rolesieve.functions.text import listed_words, matched_keywords, text_or_empty
+from rolesieve.operators.computed import with_computed
 from rolesieve.registry import CATEGORY_KEYWORDS, MIN_TRACK_SCORE, NEGATIVE_KEYWORDS, TRACK_KEYWORDS
 
 
 def categorize(postings: DataFrame, registry: Mapping[str, Sequence[str]] = CATEGORY_KEYWORDS) -> DataFrame:
     """Add ``category``: the first category of ``registry`` with a keyword in title or description."""
     vocabulary = [k for keywords in registry.values() for k in keywords]
-    names = postings.columns
     texts = postings.withColumn("_text", joined_text(F.col("title"), F.col("description")))
     words = texts.withColumn("_words", listed_words(vocabulary, F.col("_text")))
     category = category_of(F.col("_text"), F.col("_words"), registry)
-    return words.select(*[F.col(f"`{c}`") for c in names if c != "category"], category.alias("category"))
+    return with_computed(words, {"category": category}).drop("_text", "_words")
 
 
 def add_scores(
@@ -54,7 +54,7 @@ def add_scores(
     only = found.withColumn("_in_description", F.array_except("_in_description", "_in_title"))
     inputs = [F.col(c) for c in ("_in_title", "_in_description", "_negative")]
     scores = [score_from_hits(*inputs, keywords).alias(track) for track, keywords in registry.items()]
-    return only.select(*names, F.struct(*scores).alias("_scores"))
+    return with_computed(only, {"_scores": F.struct(*scores)}).drop(*inputs)
 
 
 def score_all_tracks(postings: DataFrame, registry: TrackRegistry = TRACK_KEYWORDS) -> DataFrame:

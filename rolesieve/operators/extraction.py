@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rolesieve.functions import html as H
 from rolesieve.functions import jsonld as J
 from rolesieve.functions.text import first_non_empty, text_or_empty
+from rolesieve.operators.computed import with_computed
 from rolesieve.session import prepare_session
 from rolesieve.sources.crawl import scan_crawl
 
@@ -81,7 +82,7 @@ def _with_meta(pages: DataFrame, tokens: Column) -> DataFrame:
 def meta_fallback(crawl: DataFrame) -> DataFrame:
     """``(url, title, company, description)`` from Open Graph tags, the title element and the description tag."""
     read = _with_meta(crawl.select("url", "html"), H.head_tokens(F.col("html")))
-    return read.select("url", *[c.alias(n) for n, c in _meta_fields(F.col("_texts")).items()])
+    return with_computed(read.select("url", "_texts"), _meta_fields(F.col("_texts"))).drop("_texts")
 
 
 def extract_pages(crawl: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -107,7 +108,7 @@ def extract_pages(crawl: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         else F.when(has_posting, value)
         for name, value in _posting_fields(posting, F.col("url")).items()
     }
-    return ready.select(*kept, *[c.alias(n) for n, c in fields.items()]).select(
+    return with_computed(ready.select(*kept, "_posting", "_texts"), fields).select(
         "url",
         *[F.col(n) for n in FIELDS[:4]],
         F.col("_date.date").alias("date_posted"),

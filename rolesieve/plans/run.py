@@ -51,7 +51,11 @@ def new_postings(results: DataFrame, crawl: DataFrame, seen: DataFrame, options:
     return dedup_unseen(dedup_first(placed), seen)
 
 
-def classify_and_filter(new: DataFrame, options: RunOptions) -> DataFrame:
+def _leave(df: DataFrame, _: str) -> DataFrame:
+    return df
+
+
+def classify_and_filter(new: DataFrame, options: RunOptions, cut: Callable[[DataFrame, str], DataFrame] = _leave) -> DataFrame:
     """The run after deduplication: category, track and activity. No exchange but the top-n of the check."""
     categorized = filter_category(categorize(new, options.category_registry), options.categories)
     labelled = track_label(
@@ -59,7 +63,8 @@ def classify_and_filter(new: DataFrame, options: RunOptions) -> DataFrame:
     )
     kept = filter_track(labelled, options.track, options.min_score, options.track_registry).drop("_scores")
     if options.only_active:
-        kept = filter_active(check_first_n(kept, options.active_check_max), options.drop_unknown_active)
+        selected = cut(kept, "selected")
+        kept = filter_active(check_first_n(selected, options.active_check_max), options.drop_unknown_active)
     else:
         kept = kept.withColumns({"active_status": F.lit("unknown"), "active_reason": F.lit("")})
     return kept.select(*POSTING_COLUMNS)
@@ -70,15 +75,15 @@ def run_pipeline(
     crawl: DataFrame,
     seen: DataFrame,
     options: RunOptions,
-    cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+    cut: Callable[[DataFrame, str], DataFrame] = _leave,
 ) -> tuple[DataFrame, DataFrame]:
     """``(postings, new_hashes)``: what the run reports, and what it adds to the seen state.
 
-    Both come from the deduplicated rows. ``cut`` may materialise those (``execute_run`` stages them), so
-    that they are computed once; by default everything stays lazy.
+    Both come from the deduplicated rows, and the activity check reads its input twice. ``cut`` may
+    materialise such shared frames (``execute_run`` stages them); by default everything stays lazy.
     """
-    new = cut(new_postings(results, crawl, seen, options))
-    return classify_and_filter(new, options), new.select("hash")
+    new = cut(new_postings(results, crawl, seen, options), "new-postings")
+    return classify_and_filter(new, options, cut), new.select("hash")
 
 
 def execute_run(
@@ -98,7 +103,7 @@ def execute_run(
     spark = results.sparkSession
     create_if_missing(spark, seen_path, SEEN_SCHEMA)
     postings, hashes = run_pipeline(
-        results, crawl, read_seen(spark, seen_path), options, cut=lambda df: stage_table(df, f"{stage}/new-postings")
+        results, crawl, read_seen(spark, seen_path), options, cut=lambda df, name: stage_table(df, f"{stage}/{name}")
     )
     appended = upsert_new_rows(postings, target_path, added_at or options.as_of)
     append_seen(hashes, seen_path)
