@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolesieve.functions.text import any_keyword, let, matched_keywords, text_or_empty
+from rolesieve.functions.text import any_keyword, let, listed_words, matched_keywords, text_or_empty
 from rolesieve.registry import (
     ALL_TRACKS,
     ALL_TRACKS_SCORE,
@@ -68,18 +68,26 @@ def score_track(
     if track == ALL_TRACKS:
         return F.lit(ALL_TRACKS_SCORE)
     listed = listed_keywords({track: registry[track]})
-    texts = F.struct(F.lower(title).alias("t"), F.lower(text_or_empty(description)).alias("d"))
+    vocabulary = [*listed, *negative]
+    title, description = F.lower(title), F.lower(text_or_empty(description))
 
     def hits(x: Column) -> Column:
         return F.struct(
-            matched_keywords(listed, x["t"]).alias("t"),
-            matched_keywords(listed, x["d"]).alias("d"),
-            matched_keywords(negative, F.concat(x["t"], F.lit(" "), x["d"])).alias("n"),
+            matched_keywords(listed, x["t"], x["tw"]).alias("t"),
+            matched_keywords(listed, x["d"], x["dw"]).alias("d"),
+            matched_keywords(negative, x["td"], F.concat(x["tw"], x["dw"])).alias("n"),
         )
 
     def score(h: Column) -> Column:
         return score_from_hits(h["t"], F.array_except(h["d"], h["t"]), h["n"], registry[track])
 
+    texts = F.struct(
+        title.alias("t"),
+        description.alias("d"),
+        F.concat(title, F.lit(" "), description).alias("td"),
+        listed_words(vocabulary, title).alias("tw"),
+        listed_words(vocabulary, description).alias("dw"),
+    )
     return let(texts, lambda x: let(hits(x), score))
 
 

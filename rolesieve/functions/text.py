@@ -107,20 +107,22 @@ def listed_words(keywords: Sequence[str], text: Column) -> Column:
     return F.array_distinct(F.filter(words_of(text), lambda w: w.isin(plain))) if plain else string_array([])
 
 
-def matched_keywords(keywords: Sequence[str], text: Column) -> Column:
-    """Array of the distinct ``keywords`` found in ``text``, which is lower case.
+def matched_keywords(keywords: Sequence[str], text: Column, words: Column) -> Column:
+    """Array of the distinct ``keywords`` found in ``text`` (lower case), whose listed words are ``words``.
 
     Words are looked up in the list instead of the list being searched for in the text; only phrases and
     hyphenated words scan it. The expression stays small however long the registry is, so it never
-    outgrows one JIT method.
+    outgrows one JIT method. ``text`` must be a column or a variable: it is used once per phrase.
     """
-    _, phrases, mixed = split_keywords(keywords)
-    parts = [listed_words(keywords, text)]
+    plain, phrases, mixed = split_keywords(keywords)
+    parts = []
+    if plain:
+        parts.append(F.array_distinct(F.filter(words, lambda w: w.isin(plain))))
     if phrases:
         parts.append(F.filter(string_array(phrases), lambda k: F.contains(text, k)))
     if mixed:
         parts.append(F.array_compact(F.array(*[F.when(kw_match(k, text), F.lit(k)) for k in mixed])))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    return F.concat(*parts) if parts else string_array([])
 
 
 def any_keyword(keywords: Sequence[str], text: Column, words: Column) -> Column:

@@ -23,7 +23,7 @@ from rolesieve.registry import CATEGORY_KEYWORDS, MIN_TRACK_SCORE, NEGATIVE_KEYW
 def categorize(postings: DataFrame, registry: Mapping[str, Sequence[str]] = CATEGORY_KEYWORDS) -> DataFrame:
     """Add ``category``: the first category of ``registry`` with a keyword in title or description."""
     vocabulary = [k for keywords in registry.values() for k in keywords]
-    texts = postings.withColumn("_text", joined_text(F.col("title"), F.col("description")))
+    texts = with_computed(postings, {"_text": joined_text(F.col("title"), F.col("description"))})
     words = texts.withColumn("_words", listed_words(vocabulary, F.col("_text")))
     category = category_of(F.col("_text"), F.col("_words"), registry)
     return with_computed(words, {"category": category}).drop("_text", "_words")
@@ -39,17 +39,21 @@ def add_scores(
     Each text is lower-cased and searched once for the keywords of all tracks together; the tracks then
     share what was found.
     """
+    title, description = F.lower("title"), F.lower(text_or_empty(F.col("description")))
+    texts = with_computed(
+        postings, {"_title": title, "_description": description, "_both": F.concat(title, F.lit(" "), description)}
+    )
     vocabulary = listed_keywords(registry)
     names = [F.col(f"`{c}`") for c in postings.columns]
-    texts = postings.withColumns(
-        {"_title": F.lower("title"), "_description": F.lower(text_or_empty(F.col("description")))}
+    words = texts.withColumns(
+        {f"{c}_words": listed_words([*vocabulary, *negative], F.col(c)) for c in ("_title", "_description")}
     )
-    both = F.concat("_title", F.lit(" "), "_description")
-    found = texts.select(
+    all_words = F.concat("_title_words", "_description_words")
+    found = words.select(
         *names,
-        matched_keywords(vocabulary, F.col("_title")).alias("_in_title"),
-        matched_keywords(vocabulary, F.col("_description")).alias("_in_description"),
-        matched_keywords(negative, both).alias("_negative"),
+        matched_keywords(vocabulary, F.col("_title"), F.col("_title_words")).alias("_in_title"),
+        matched_keywords(vocabulary, F.col("_description"), F.col("_description_words")).alias("_in_description"),
+        matched_keywords(negative, F.col("_both"), all_words).alias("_negative"),
     )
     only = found.withColumn("_in_description", F.array_except("_in_description", "_in_title"))
     inputs = [F.col(c) for c in ("_in_title", "_in_description", "_negative")]
