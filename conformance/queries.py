@@ -21,7 +21,7 @@ from rolesieve.functions.verdict import active_verdict, apply_signal, closed_sig
 from rolesieve.operators import active, classify, dedup, extraction, filters, postings, search
 from rolesieve.options import RunOptions
 from rolesieve.plans.run import execute_run, run_pipeline
-from rolesieve.session import prepare_session, shared_dir
+from rolesieve.session import prepare_session, shared_dir, stage_table
 from rolesieve.sources import search_api, seen, target
 from rolesieve.sources.crawl import scan_crawl
 from rolesieve.streaming.incremental import incremental_run
@@ -443,7 +443,9 @@ def run_pipeline_(spark, sf_dir):
 
 @query
 def run_pipeline_selected(spark, sf_dir):
-    return run_pipeline(*_run_inputs(spark, sf_dir), SELECTIVE)[0]
+    folder = f"run-selected-{uuid.uuid4().hex}"
+    inputs = _run_inputs(spark, sf_dir)
+    return run_pipeline(*inputs, SELECTIVE, cut=lambda df, name: stage_table(df, f"{folder}/{name}"))[0]
 
 
 @query
