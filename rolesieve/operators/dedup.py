@@ -23,6 +23,15 @@ def dedup_unseen(postings: DataFrame, seen: DataFrame) -> DataFrame:
     return with_hash(postings).join(seen.select("hash"), "hash", "left_anti")
 
 
+def known_hashes(postings: DataFrame, seen: DataFrame) -> DataFrame:
+    """The part of ``seen`` that ``postings`` carry.
+
+    For ``postings`` read from a staged table, whose size Spark knows: while they are small against a large
+    state they are broadcast and the state is only scanned; beyond the broadcast threshold both are shuffled.
+    """
+    return seen.select("hash").join(with_hash(postings).select("hash"), "hash", "left_semi")
+
+
 def seen_count(postings: DataFrame, seen: DataFrame) -> DataFrame:
     """One row: how many distinct hashes are known after ``postings``."""
     return (

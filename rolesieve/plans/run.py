@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rolesieve.operators.active import check_first_n, with_verdict
 from rolesieve.operators.classify import add_scores, categorize, track_label
-from rolesieve.operators.dedup import dedup_first, dedup_unseen
+from rolesieve.operators.dedup import dedup_first, dedup_unseen, known_hashes
 from rolesieve.operators.extraction import extract_pages
 from rolesieve.operators.filters import (
     filter_active,
@@ -22,7 +22,7 @@ from rolesieve.operators.filters import (
 from rolesieve.operators.postings import make_postings
 from rolesieve.operators.search import merge_search_results
 from rolesieve.options import RunOptions
-from rolesieve.session import stage_table
+from rolesieve.session import stage_name, stage_table
 from rolesieve.sources.crawl import latest_fetch
 from rolesieve.sources.seen import SEEN_SCHEMA, append_seen, read_seen
 from rolesieve.sources.tables import create_if_missing
@@ -35,7 +35,12 @@ POSTING_COLUMNS = [
 ]
 
 
-def new_postings(results: DataFrame, crawl: DataFrame, seen: DataFrame, options: RunOptions) -> DataFrame:
+Cut = Callable[[DataFrame, str], DataFrame]
+
+
+def new_postings(
+    results: DataFrame, crawl: DataFrame, seen: DataFrame, options: RunOptions, cut: Cut | None = None
+) -> DataFrame:
     """The run up to deduplication: every row here becomes part of the state, whatever happens to it later."""
     keep = []
     if options.only_active:
@@ -48,14 +53,14 @@ def new_postings(results: DataFrame, crawl: DataFrame, seen: DataFrame, options:
     postings = make_postings(merge_search_results(results, options.max_results), extraction, options.source)
     recent = filter_recent(postings, options.within_days, options.as_of)
     placed = filter_location_known(recent, options.locations, options.include_remote)
-    return dedup_unseen(dedup_first(placed), seen)
-
-
-def _leave(df: DataFrame, _: str) -> DataFrame:
-    return df
+    first = dedup_first(placed)
+    if cut is None:
+        return dedup_unseen(first, seen)
+    staged = cut(first, "first")
+    return cut(dedup_unseen(staged, known_hashes(staged, seen)), "new")
 
 
-def classify_and_filter(new: DataFrame, options: RunOptions, cut: Callable[[DataFrame, str], DataFrame] = _leave) -> DataFrame:
+def classify_and_filter(new: DataFrame, options: RunOptions, cut: Cut | None = None) -> DataFrame:
     """The run after deduplication: category, track and activity. No exchange but the top-n of the check."""
     categorized = filter_category(categorize(new, options.category_registry), options.categories)
     labelled = track_label(
@@ -63,7 +68,7 @@ def classify_and_filter(new: DataFrame, options: RunOptions, cut: Callable[[Data
     )
     kept = filter_track(labelled, options.track, options.min_score, options.track_registry).drop("_scores")
     if options.only_active:
-        selected = cut(kept, "selected")
+        selected = cut(kept, "selected") if cut else kept
         kept = filter_active(check_first_n(selected, options.active_check_max), options.drop_unknown_active)
     else:
         kept = kept.withColumns({"active_status": F.lit("unknown"), "active_reason": F.lit("")})
@@ -71,18 +76,15 @@ def classify_and_filter(new: DataFrame, options: RunOptions, cut: Callable[[Data
 
 
 def run_pipeline(
-    results: DataFrame,
-    crawl: DataFrame,
-    seen: DataFrame,
-    options: RunOptions,
-    cut: Callable[[DataFrame, str], DataFrame] = _leave,
+    results: DataFrame, crawl: DataFrame, seen: DataFrame, options: RunOptions, cut: Cut | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(postings, new_hashes)``: what the run reports, and what it adds to the seen state.
 
-    Both come from the deduplicated rows, and the activity check reads its input twice. ``cut`` may
-    materialise such shared frames (``execute_run`` stages them); by default everything stays lazy.
+    Both come from the deduplicated rows, and the activity check reads its input twice. With ``cut``, a
+    function that materialises a frame under a name, such shared frames are computed once (``execute_run``
+    stages them as tables); without it everything stays one lazy plan.
     """
-    new = cut(new_postings(results, crawl, seen, options), "new-postings")
+    new = new_postings(results, crawl, seen, options, cut)
     return classify_and_filter(new, options, cut), new.select("hash")
 
 
@@ -93,17 +95,17 @@ def execute_run(
     target_path: str,
     options: RunOptions,
     added_at: dt.date | None = None,
-    stage: str = "run",
 ) -> int:
     """Run, append the new rows to the target, then append the new hashes to the state; returns the rows.
 
     The target comes first: if the job dies between the two writes, a repeat finds the rows in the target
-    and only completes the state. The other way round the rows would be lost.
+    and only completes the state. The other way round the rows would be lost. One run per target at a time.
     """
     spark = results.sparkSession
+    folder = stage_name("run", seen_path, target_path)
     create_if_missing(spark, seen_path, SEEN_SCHEMA)
     postings, hashes = run_pipeline(
-        results, crawl, read_seen(spark, seen_path), options, cut=lambda df, name: stage_table(df, f"{stage}/{name}")
+        results, crawl, read_seen(spark, seen_path), options, cut=lambda df, name: stage_table(df, f"{folder}/{name}")
     )
     appended = upsert_new_rows(postings, target_path, added_at or options.as_of)
     append_seen(hashes, seen_path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def stage_name(kind: str, *paths: str) -> str:
+    """A folder name that belongs to the tables at ``paths``: runs on other tables never share it, and a repeat
+    overwrites what the run before it left."""
+    return f"{kind}-{hashlib.sha256(chr(0).join(paths).encode()).hexdigest()[:24]}"
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table under the shared folder and read it back.
 

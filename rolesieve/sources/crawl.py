@@ -19,6 +19,7 @@ def scan_crawl(crawl: DataFrame) -> DataFrame:
 def latest_fetch(rows: DataFrame, fetched_at: str) -> DataFrame:
     """One row per URL, the latest by ``fetched_at``, for crawls that visit pages again.
 
-    Best applied to extracted rows, which no longer carry the page body.
+    Best applied to extracted rows, which no longer carry the page body. Equal times are told apart by
+    content, so that a retry picks the same row.
     """
-    return first_per_key(rows, ["url"], [F.col(fetched_at).desc()])
+    return first_per_key(rows, ["url"], [F.col(fetched_at).desc(), F.xxhash64(*rows.columns)])

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rolesieve.options import RunOptions
 from rolesieve.plans.run import execute_run
-from rolesieve.session import prepare_session, shared_dir
+from rolesieve.session import prepare_session, shared_dir, stage_name
 
 
 def incremental_run(
@@ -19,7 +19,6 @@ def incremental_run(
     target_path: str,
     options: RunOptions,
     checkpoint: str | None = None,
-    name: str = "incremental",
     added_at: dt.date | None = None,
 ) -> StreamingQuery:
     """Process everything new in ``stream`` (a streaming frame of search results), one run per micro-batch.
@@ -27,12 +26,12 @@ def incremental_run(
     A batch may be delivered twice. That is harmless: the target and the state are both checked before rows
     are added, and staged rows are overwritten.
     """
-    folder = checkpoint or f"{shared_dir(stream.sparkSession)}/{name}-stream"
+    folder = checkpoint or f"{shared_dir(stream.sparkSession)}/{stage_name('stream', seen_path, target_path)}"
 
     def run_batch(batch: DataFrame, _: int) -> None:
         prepare_session(batch.sparkSession)
         if not batch.isEmpty():
-            execute_run(batch, crawl, seen_path, target_path, options, added_at, stage=name)
+            execute_run(batch, crawl, seen_path, target_path, options, added_at)
 
     return (
         stream.writeStream.foreachBatch(run_batch)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from rolesieve.operators.dedup import dedup_first, dedup_unseen, new_hashes, seen_count, update_seen
+from rolesieve.operators.dedup import dedup_first, dedup_unseen, known_hashes, new_hashes, seen_count, update_seen
 from rolesieve.operators.postings import with_hash
 from tests.helpers import posting, postings, tree
 
@@ -67,3 +67,15 @@ def test_anti_join_reuses_the_partitioning(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning(hash") == 2  # one per side, none between window and join
+
+
+def test_small_batch_leaves_a_large_state_in_place(spark, tmp_path):
+    with_hash(sample(spark)).write.parquet(str(tmp_path / "batch"))
+    spark.range(200000).selectExpr("sha2(cast(id as string), 256) AS hash").write.parquet(str(tmp_path / "seen"))
+    batch, seen = [spark.read.parquet(str(tmp_path / n)) for n in ("batch", "seen")]
+    known = known_hashes(batch, seen)
+    plan = tree(known)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert seqs(dedup_unseen(batch, known)) == seqs(dedup_unseen(batch, seen)) == [1, 2, 3, 4]
+    wider = seen.unionByName(batch.filter("seq = 2").select("hash"))
+    assert seqs(dedup_unseen(batch, known_hashes(batch, wider))) == [1, 3, 4]

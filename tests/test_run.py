@@ -107,8 +107,8 @@ def test_recrawled_pages(spark, world):
 def test_executed_twice(spark, world, tmp_path):
     results, pages, _ = world
     paths = str(tmp_path / "seen"), str(tmp_path / "target")
-    assert execute_run(results, pages, *paths, options(only_active=True), stage="t1") == 4
-    assert execute_run(results, pages, *paths, options(only_active=True), stage="t1") == 0
+    assert execute_run(results, pages, *paths, options(only_active=True)) == 4
+    assert execute_run(results, pages, *paths, options(only_active=True)) == 0
     assert read_target(spark, paths[1]).count() == 4
     assert read_seen(spark, paths[0]).count() == 5
 
@@ -123,8 +123,8 @@ def test_failure_between_the_writes_loses_and_repeats_nothing(spark, world, tmp_
     with monkeypatch.context() as patch:
         patch.setattr("rolesieve.plans.run.append_seen", fail)
         with pytest.raises(RuntimeError):
-            execute_run(results, pages, *paths, options(), stage="t2")
-    assert execute_run(results, pages, *paths, options(), stage="t2") == 0
+            execute_run(results, pages, *paths, options())
+    assert execute_run(results, pages, *paths, options()) == 0
     assert read_target(spark, paths[1]).count() == read_seen(spark, paths[0]).count() == 5
 
 
@@ -136,7 +136,7 @@ def test_two_batches(spark, world, tmp_path):
     def step(batch):
         batch.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(results.schema).parquet(landing)
-        query = incremental_run(stream, pages, *paths, options(), checkpoint=str(tmp_path / "checkpoint"), name="t3")
+        query = incremental_run(stream, pages, *paths, options(), checkpoint=str(tmp_path / "checkpoint"))
         query.awaitTermination()
         assert query.exception() is None
         return read_target(spark, paths[1]).count(), read_seen(spark, paths[0]).count()
