@@ -276,6 +276,16 @@ DOC_TRACKS = {
     "germanic": {"strong": ["of the", "und", "the"], "weak": ["nicht", "and", "that"]},
 }
 
+# Title of a raw page with its character references decoded; the ampersand last, so nothing is decoded twice.
+# A title cut short may end in a reference without its semicolon.
+TITLE_TEXT = r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)"
+TITLE_TEXT = rf"regexp_replace({TITLE_TEXT}, '&(amp|lt|gt|quot)$', '&\1;')"
+for _reference, _character in {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&#x27;": "''", "&apos;": "''", "&amp;": "&",
+}.items():
+    TITLE_TEXT = f"replace({TITLE_TEXT}, '{_reference}', '{_character}')"
+TITLE_TEXT = f"trim({TITLE_TEXT})"
+
 SQL: dict[str, str] = {
     # sources
     "scan_crawl": f"{PAGES} SELECT url, status_code, error, blocked FROM marked",
@@ -325,14 +335,12 @@ SQL: dict[str, str] = {
     "parse_date": f"{PAGES} SELECT url, date_posted, date_posted_confidence FROM ld WHERE k % 8 <= 5",
     "parse_apply_url": f"{PAGES} SELECT url, apply_url FROM ld WHERE k % 8 <= 5",
     "parse_employment_type": f"{PAGES} SELECT url, employment_type FROM ld WHERE k % 8 <= 5",
-    "meta_fallback": r"""SELECT url, trim(replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1),
-        '&amp;', '&')) AS title, '' AS company, '' AS description FROM pages""",
+    "meta_fallback": rf"""SELECT url, {TITLE_TEXT} AS title, '' AS company, '' AS description FROM pages""",
     "meta_fallback_open_graph": f"""{PAGES} SELECT url, CASE WHEN k % 8 = 6 THEN title ELSE '' END AS title,
         CASE WHEN k % 8 = 6 THEN company ELSE '' END AS company,
         CASE WHEN k % 8 = 6 THEN description ELSE '' END AS description FROM ld""",
     "extract_pages": f"{PAGES} SELECT {EXTRACTED} FROM extracted",
-    "extract_pages_raw": r"""SELECT url, trim(replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1),
-        '&amp;', '&')) AS title, '' AS company, '' AS location, '' AS description, CAST(NULL AS DATE) AS date_posted,
+    "extract_pages_raw": rf"""SELECT url, {TITLE_TEXT} AS title, '' AS company, '' AS location, '' AS description, CAST(NULL AS DATE) AS date_posted,
         'unknown' AS date_posted_confidence, CAST(NULL AS VARCHAR) AS apply_url, '' AS employment_type,
         FALSE AS blocked FROM pages""",
     # postings

@@ -48,16 +48,17 @@ def jsonld_scripts(html: Column) -> Column:
 def _entity_table() -> dict[str, str]:
     """References to characters: all named ones of HTML 4, those of HTML 5 for ASCII, and #128 to #159.
 
-    Those numbers are read as Windows-1252, as browsers do.
+    Names keep their semicolon; those that HTML also knows without one are listed twice. The numbers are
+    read as Windows-1252, as browsers do.
     """
-    names = {name: chr(code) for name, code in name2codepoint.items()}
-    names |= {n[:-1]: c for n, c in html5.items() if n.endswith(";") and len(c) == 1 and ord(c) < 128}
+    names = {f"{name};": chr(code) for name, code in name2codepoint.items()}
+    names |= {n: c for n, c in html5.items() if len(c) == 1 and (not n.endswith(";") or ord(c) < 128)}
     remapped = {f"#{b}": bytes([b]).decode("cp1252", "ignore") for b in range(128, 160)}
     return names | {ref: char for ref, char in remapped.items() if char}
 
 
 def unescape_html(text: Column) -> Column:
-    """Decode named and numeric character references that end in a semicolon."""
+    """Decode numeric and named character references; what is none stays as it is."""
     table = string_map(_entity_table())
 
     def code_point(code: Column) -> Column:
@@ -67,14 +68,14 @@ def unescape_html(text: Column) -> Column:
 
     def character(ref: Column) -> Column:
         number = F.when(
-            F.rlike(ref, F.lit("^#[xX]")), F.conv(F.substring(ref, 3, 8), 16, 10).cast("int")
-        ).when(ref.startswith("#"), F.substring(ref, 2, 8).cast("int"))
+            F.rlike(ref, F.lit("^#[xX]")), F.conv(F.regexp_extract(ref, "^#.([0-9a-fA-F]+)", 1), 16, 10).cast("int")
+        ).when(ref.startswith("#"), F.regexp_extract(ref, "^#([0-9]+)", 1).cast("int"))
         name = F.when(number.isNull(), ref).otherwise(F.concat(F.lit("#"), number))
         return F.coalesce(F.try_element_at(table, name), F.when(number.isNotNull(), code_point(number)))
 
     def piece(part: Column) -> Column:
-        ref = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        rest = F.substr(part, F.length(ref) + 2)
+        ref = F.regexp_extract(part, r"^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;?)", 1)
+        rest = F.substr(part, F.length(ref) + 1)
         return F.coalesce(F.concat(character(ref), rest), F.concat(F.lit("&"), part))
 
     parts = F.split(text, "&")

@@ -110,7 +110,8 @@ def test_entities(spark):
     cases = {
         "a &amp; b": "a & b", "&lt;&gt;&quot;&apos;": "<>\"'", "&eacute;&ndash;&euro;": "é–€", "&#39;&#x27;&#X1F600;": "''😀",
         "&#146;&#150;": "’–", "&#0;&#xD800;&#1114112;": "�" * 3, "&bogus; & x;": "&bogus; & x;", "AT&T": "AT&T",
-        "&amp;amp;": "&amp;", "": "",
+        "&amp;amp;": "&amp;", "": "", "a &amp": "a &", "&amp &copy=1 &lang=en &ampx": "& ©=1 &lang=en &ampx",
+        "&#39 &#x27x": "' 'x", "R&D;": "R&D;", "a & b &": "a & b &",
     }
     assert apply(spark, unescape_html, list(cases)) == list(cases.values())
 
