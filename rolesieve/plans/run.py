@@ -37,12 +37,30 @@ POSTING_COLUMNS = [
 
 Cut = Callable[[DataFrame, str], DataFrame]
 
+# URLs of a run up to this many bytes are broadcast to pick their pages out of the crawl before any is parsed.
+SMALL_URL_BYTES = 32 * 1024 * 1024
+
+
+def pages_of(results: DataFrame, crawl: DataFrame, limit: int = SMALL_URL_BYTES) -> DataFrame:
+    """``crawl`` without the pages no result points at, if the URLs of ``results`` are few; else ``crawl``.
+
+    Their size is measured first, so ``results`` should be a staged table. Beyond ``limit`` bytes nothing is
+    filtered here: that would shuffle page bodies, and the join on extracted fields drops the rest anyway.
+    """
+    size = results.agg(F.sum(F.octet_length("url")).alias("bytes")).first()["bytes"] or 0
+    if size > limit:
+        return crawl
+    return crawl.join(F.broadcast(results.select("url")), "url", "left_semi")
+
 
 def new_postings(
     results: DataFrame, crawl: DataFrame, seen: DataFrame, options: RunOptions, cut: Cut | None = None
 ) -> DataFrame:
     """The run up to deduplication: every row here becomes part of the state, whatever happens to it later."""
-    keep = []
+    merged, keep = merge_search_results(results, options.max_results), []
+    if cut is not None:
+        merged = cut(merged, "results")
+        crawl = pages_of(merged, crawl)
     if options.only_active:
         crawl, keep = with_verdict(crawl), ["verdict"]
     if options.fetched_at:
@@ -50,7 +68,7 @@ def new_postings(
     extraction = extract_pages(crawl, keep)
     if options.fetched_at:
         extraction = latest_fetch(extraction, options.fetched_at)
-    postings = make_postings(merge_search_results(results, options.max_results), extraction, options.source)
+    postings = make_postings(merged, extraction, options.source)
     recent = filter_recent(postings, options.within_days, options.as_of)
     placed = filter_location_known(recent, options.locations, options.include_remote)
     first = dedup_first(placed)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from rolesieve import RunOptions, execute_run, incremental_run, run_pipeline
 from rolesieve.functions.hashing import posting_hash
-from rolesieve.sources import seen as seen_source
+from rolesieve.operators.extraction import extract_pages
+from rolesieve.plans.run import pages_of
 from rolesieve.sources.seen import read_seen
 from rolesieve.sources.target import read_target
 from tests.helpers import RESULT_SCHEMA, crawl, ld, tree
@@ -147,6 +148,31 @@ def test_two_batches(spark, world, tmp_path):
     assert step(results.filter("false")) == (5, 5)
 
 
+def test_pages_of_a_small_run_are_picked_before_parsing(spark, world, tmp_path):
+    results, pages, _ = world
+    pages.write.parquet(str(tmp_path / "pages"))
+    archive = spark.read.parquet(str(tmp_path / "pages"))
+    few = results.filter("pos < 2")
+    picked = pages_of(few, archive)
+    assert sorted(r.url for r in picked.collect()) == ["https://x/far", "https://x/old"]
+    plan = tree(extract_pages(picked))
+    assert "BroadcastHashJoin" in plan and plan.index("Generate inline") < plan.index("BroadcastHashJoin")
+    assert "Exchange hashpartitioning" not in plan
+    assert pages_of(few, archive, limit=10) is archive
+    assert pages_of(results.filter("false"), archive).count() == 0
+
+
+def test_large_run_gives_the_same(spark, world, tmp_path, monkeypatch):
+    results, pages, _ = world
+    rows = []
+    for limit in (0, 10**6):
+        monkeypatch.setattr("rolesieve.plans.run.pages_of", lambda r, c, limit=limit: pages_of(r, c, limit))
+        paths = str(tmp_path / f"seen{limit}"), str(tmp_path / f"target{limit}")
+        execute_run(results, pages, *paths, options(only_active=True))
+        rows.append(sorted(tuple(r) for r in read_target(spark, paths[1]).collect()))
+    assert rows[0] == rows[1] and len(rows[0]) == 4
+
+
 def test_plan_of_a_run(spark, world, tmp_path):
     inputs = []
     for i, frame in enumerate(world):
@@ -165,4 +191,3 @@ def test_plan_of_a_run(spark, world, tmp_path):
     for i, line in enumerate(lines):
         if "Exchange hashpartitioning" in line:
             assert "html" not in next(x for x in lines[i + 1 :] if "Project" in x or "Scan" in x).split("AS")[0]
-    assert seen_source.SEEN_SCHEMA == "hash string"
