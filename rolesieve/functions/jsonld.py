@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rolesieve.functions.dates import parse_iso_date
-from rolesieve.functions.text import first_non_empty, let, strip, text_or_empty
+from rolesieve.functions.text import let, strip, text_or_empty
 from rolesieve.registry import (
     HOME_COUNTRY_NAMES,
     JOB_POSTING_TYPE,
@@ -197,9 +197,3 @@ def parse_apply_url(posting: Column, source_url: Column) -> Column:
 
 def parse_employment_type(posting: Column) -> Column:
     return field_text(posting, "$.employmentType")
-
-
-__all__ = [
-    "field_text", "first_job_posting_in", "first_non_empty", "is_job_posting_type", "job_postings_in",
-    "jsonld_parse", "parse_apply_url", "parse_company", "parse_date", "parse_employment_type", "parse_location",
-]
