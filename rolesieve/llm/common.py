@@ -39,8 +39,8 @@ def stage(df: DataFrame, kind: str) -> DataFrame:
 
 
 def normalised(text: Column) -> Column:
-    """Null as empty; each run of separators as one blank."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES + "++", " ")
+    """Null as empty; each run of separators as one blank. Lone blanks, nearly all of them, are not touched."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\x20?[\x09-\x0D]" + SPACES + r"*+|\x20{2}" + SPACES + "*+", " ")
 
 
 def word_count(text: Column) -> Column:

@@ -20,11 +20,11 @@ from rolesieve.llm.common import normalised, stage
 CUT_CLASS = "".join(rf"\x{{{c:x}}}" for c in range(0x21, 0x250) if (c * 2654435761 >> 16) % 4 == 0)
 
 
-def chunks(text: Column, least: int = 200, most: int = 1000) -> Column:
-    """The text cut after a blank whose two predecessors are of the cut class, once ``least`` characters are reached
-    and after ``most`` at the latest. The same content gives the same cuts. An empty text has no chunks."""
-    near, far = least - 3, most - 3
-    pattern = rf"(?s).{{{near},{far}}}?[{CUT_CLASS}]{{2}} |.{{1,{most}}}"
+def chunks(text: Column, least: int = 30, most: int = 150) -> Column:
+    """The text cut after a word whose last two characters are of the cut class, once ``least`` words are reached and
+    after ``most`` at the latest; where words of over 64 characters are in the way, after 1,000 characters. The same
+    content gives the same cuts. An empty text has no chunks."""
+    pattern = rf"(?s)(?:[^ ]{{0,64}}+ ){{{least},{most}}}?(?<=[{CUT_CLASS}]{{2}} )|.{{1,1000}}"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
@@ -45,9 +45,9 @@ def chunk_identifiers(bodies: DataFrame) -> DataFrame:
 def recipes(texts: DataFrame, least: int, most: int, bits: int) -> DataFrame:
     """``texts`` (id, text, text_sha256) with ``recipe``, the ordered list of verified chunk identifiers."""
     cut = texts.withColumn("chunks", chunks(F.col("text"), least, most))
-    bodies = cut.select(F.explode("chunks").alias("chunk")).select(
-        fingerprint(F.col("chunk"), bits).alias("fingerprint"), "chunk"
-    )
+    # an inner explode would be guarded by filters that cut the text again
+    bodies = cut.select(F.explode_outer("chunks").alias("chunk")).filter("chunk IS NOT NULL")
+    bodies = bodies.select(fingerprint(F.col("chunk"), bits).alias("fingerprint"), "chunk")
     contested = stage(chunk_identifiers(bodies), "contested-chunks")
     plain = cut.select(
         "id", "text_sha256", F.transform("chunks", lambda c: fingerprint(c, bits)).alias("recipe")
@@ -65,12 +65,12 @@ def recipes(texts: DataFrame, least: int, most: int, bits: int) -> DataFrame:
     return plain.drop("recipe").join(rebuilt, same).select("id", "text_sha256", "recipe")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, most: int = 1000,
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 30, most: int = 150,
                 bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
     texts = texts.withColumn("text_sha256", F.sha2("text", 256))
-    listed = recipes(texts, least, most, bits)
+    listed = stage(recipes(texts, least, most, bits), "recipes")
     groups = listed.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     return listed.join(groups, "recipe").select(
         F.col("id").alias(id_col),
