@@ -295,8 +295,8 @@ SQL: dict[str, str] = {
     "ingest_brave_results": f"""{SEARCH} SELECT query_rank, pos // 20 AS page, pos % 20 AS pos, url,
         trim(title) AS title, snippet FROM (SELECT * REPLACE (
          row_number() OVER (PARTITION BY query_rank ORDER BY pos) - 1 AS pos) FROM search)""",
-    "load_seen_hashes": f"{P} SELECT hash FROM seen",
-    "scan_target_hashes": f"{P} SELECT hash FROM p WHERE {EARLIER}",
+    "load_seen_hashes": f"{P} SELECT DISTINCT hash FROM p",
+    "scan_target_hashes": f"{P} SELECT hash FROM p",
     # search
     "expand_search_queries": f"""{CAMPAIGNS},
         bases AS (SELECT campaign_id, concat_ws(' ', keywords, categories,
@@ -402,7 +402,7 @@ SQL: dict[str, str] = {
         SELECT seq, checked, CASE WHEN checked THEN status ELSE 'unknown' END AS active_status,
         CASE WHEN checked THEN reason ELSE '' END AS active_reason FROM ranked""",
     # sinks and runs
-    "align_target_schema": f"""{P} SELECT {export_columns(EARLIER_TO)} FROM p WHERE {EARLIER}""",
+    "align_target_schema": f"""{P} SELECT {export_columns(EARLIER_TO)} FROM p""",
     "upsert_new_rows": f"""{P}, firsts AS (SELECT * FROM p
         QUALIFY row_number() OVER (PARTITION BY hash ORDER BY seq) = 1)
         SELECT {export_columns(AS_OF)} FROM firsts WHERE hash NOT IN (SELECT hash FROM target)""",

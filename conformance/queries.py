@@ -72,13 +72,13 @@ def ingest_brave_results(spark, sf_dir):
 @query
 def load_seen_hashes(spark, sf_dir):
     path = _fresh_folder(spark, "seen-text")
-    seen.save_seen_hashes(V.seen(spark, sf_dir), path)
+    seen.save_seen_hashes(V.full_seen(spark, sf_dir), path)
     return seen.load_seen_hashes(spark, path)
 
 
 @query
 def scan_target_hashes(spark, sf_dir):
-    return target.scan_target_hashes(V.target(spark, sf_dir))
+    return target.scan_target_hashes(V.full_target(spark, sf_dir))
 
 
 # -- search --------------------------------------------------------------------------------------------
@@ -200,7 +200,7 @@ def parse_employment_type(spark, sf_dir):
 
 @query
 def meta_fallback(spark, sf_dir):
-    return extraction.meta_fallback(V.table(spark, sf_dir, "pages", "page_id"))
+    return extraction.meta_fallback(V.table(spark, sf_dir, "pages"))
 
 
 @query
@@ -215,7 +215,7 @@ def extract_pages(spark, sf_dir):
 
 @query
 def extract_pages_raw(spark, sf_dir):
-    fetched = V.table(spark, sf_dir, "pages", "page_id").select(
+    fetched = V.table(spark, sf_dir, "pages").select(
         "url", "html", F.lit(200).alias("status_code"), F.lit("").alias("error")
     )
     return extraction.extract_pages(fetched)
@@ -326,7 +326,7 @@ def new_hashes(spark, sf_dir):
 
 @query
 def kw_match_(spark, sf_dir):
-    lowered = V.table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.lower("text").alias("text"))
+    lowered = V.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
     tests = {"has_the": "the", "has_des": "des", "has_ete": "été", "has_of_the": "of the"}
     return lowered.select("doc_id", *[kw_match(k, F.col("text")).alias(n) for n, k in tests.items()])
 
@@ -345,7 +345,7 @@ def categorize(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents", "doc_id").select(
+    return V.table(spark, sf_dir, "documents").select(
         "doc_id", F.lit("").alias("title"), F.col("text").alias("description")
     )
 
@@ -422,7 +422,7 @@ def check_first_n(spark, sf_dir):
 @query
 def align_target_schema(spark, sf_dir):
     """A table in the older layout, without the last three columns, gains them empty."""
-    full = V.target(spark, sf_dir)
+    full = V.full_target(spark, sf_dir)
     aligned = target.align_target_schema(full.select(*[f"`{c}`" for c in full.columns[:11]]))
     return aligned.withColumn("Status", F.lit("unknown"))
 

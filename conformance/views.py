@@ -13,19 +13,14 @@ from rolesieve.operators.postings import export_rows, infer_remote, normalise_po
 EARLIER_RUN = dt.date(1998, 1, 1)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """A given table. With ``key``, a file of fewer splits than cores is spread over all of them.
-
-    The files of the small scales have one row group each, which would leave the work to a single task.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if key and rows.rdd.getNumPartitions() < cores else rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, as it is."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {n: table(spark, sf_dir, n) for n in ("customer", "nation")}
-    return spark.sql(FX_TEMPLATE, orders=table(spark, sf_dir, "orders", "o_orderkey"), **tables)
+    return spark.sql(FX_TEMPLATE, orders=table(spark, sf_dir, "orders"), **tables)
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,13 +33,23 @@ def _earlier() -> Column:
 
 
 def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an earlier run has recorded, for queries about seen and unseen rows."""
     return with_hash(postings(spark, sf_dir).filter(_earlier())).select("hash").distinct()
 
 
 def target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an earlier run has appended."""
     return export_rows(postings(spark, sf_dir).filter(_earlier()), EARLIER_RUN)
 
 
+def full_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_hash(postings(spark, sf_dir)).select("hash").distinct()
+
+
+def full_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export_rows(postings(spark, sf_dir), EARLIER_RUN)
+
+
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncapped search results over 40 queries; URLs repeat across queries and some are blank."""
     url = F.when(F.col("seq") % 29 == 0, F.lit("")).otherwise(F.col("posting_url"))

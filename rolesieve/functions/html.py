@@ -15,8 +15,8 @@ _COMMENT = r"!--.*?(?:-->|\z)"
 _SCRIPT = r"script\b[^>]*>.*?(?:</script\s*>|\z)"
 _STYLE = r"style\b[^>]*>.*?(?:</style\s*>|\z)"
 _TITLE = r"title\b[^>]*>.*?</title\s*>"
-# A quoted attribute value may hold ">". The bounded form reads such tags, the plain one any longer tag.
-_META = r"""meta\b(?:[^>"']++|"[^"]*+"|'[^']*+'){0,200}+>|meta\b[^>]*>"""
+# A quoted attribute value may hold ">". The plain form reads tags whose quotes are not closed.
+_META = r"""meta\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|meta\b[^>]*>"""
 
 # One "<" in front of all alternatives lets the scan skip everything else by a single comparison.
 _BLOCK_TOKENS = rf"(?is)<(?:{_COMMENT}|{_SCRIPT})"
@@ -67,14 +67,21 @@ def unescape_html(text: Column) -> Column:
         return F.when(valid, F.decode(encoded, "UTF-32")).otherwise(F.lit("\ufffd"))
 
     def character(ref: Column) -> Column:
+        # leading zeros say nothing; what is longer than the largest code point is out of range
+        hexadecimal, decimal = F.regexp_extract(ref, "^#.0*([0-9a-fA-F]*)", 1), F.regexp_extract(ref, "^#0*([0-9]*)", 1)
+        beyond = F.lit(0x110000)
         number = F.when(
-            F.rlike(ref, F.lit("^#[xX]")), F.conv(F.regexp_extract(ref, "^#.([0-9a-fA-F]+)", 1), 16, 10).cast("int")
-        ).when(ref.startswith("#"), F.regexp_extract(ref, "^#([0-9]+)", 1).cast("int"))
+            F.rlike(ref, F.lit("^#[xX]")),
+            F.when(F.length(hexadecimal) > 6, beyond).otherwise(F.conv(F.concat(F.lit("0"), hexadecimal), 16, 10).cast("int")),
+        ).when(
+            ref.startswith("#"),
+            F.when(F.length(decimal) > 7, beyond).otherwise(F.concat(F.lit("0"), decimal).cast("int")),
+        )
         name = F.when(number.isNull(), ref).otherwise(F.concat(F.lit("#"), number))
         return F.coalesce(F.try_element_at(table, name), F.when(number.isNotNull(), code_point(number)))
 
     def piece(part: Column) -> Column:
-        ref = F.regexp_extract(part, r"^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;?)", 1)
+        ref = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)", 1)
         rest = F.substr(part, F.length(ref) + 1)
         return F.coalesce(F.concat(character(ref), rest), F.concat(F.lit("&"), part))
 

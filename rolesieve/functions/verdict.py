@@ -40,6 +40,7 @@ def active_verdict(
     apply: Sequence[str] = tuple(APPLY_SIGNALS),
 ) -> Column:
     """``struct(status, reason)``; the body is lower-cased once and only for status 200."""
+    status_code = F.coalesce(status_code, F.lit(0))
     code = F.concat(F.lit("HTTP "), status_code.cast("string"))
 
     def from_body(text: Column) -> Column:

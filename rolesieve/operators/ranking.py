@@ -7,24 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this n Spark puts a WindowGroupLimit before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold,
-# default 1000, exclusive): every map task sends at most n rows of a key, however hot the key is.
-MAP_SIDE_LIMIT = 999
-SALTS = 256
+# Below this setting Spark puts a WindowGroupLimit before the shuffle: every map task sends at most n rows of a key,
+# however hot the key is.
+GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key by ``order``, which must be a total order within the key.
 
-    A larger ``n`` is ranked within salted parts of each key first. The first n of a key are among the first
-    n of its parts, so the result is exact, and what reaches the last step is at most n rows per part.
+    The plan is the same for every ``n``: the session's limit for cutting before the shuffle is raised above it.
     """
-
-    def cut(frame: DataFrame, by: list) -> DataFrame:
-        window = Window.partitionBy(*by).orderBy(*order)
-        return frame.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).drop("_rank")
-
-    if n > MAP_SIDE_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-        df = cut(salted, [*keys, "_salt"]).drop("_salt")
-    return cut(df, list(keys))
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT_SETTING, "1000")) <= n:
+        conf.set(GROUP_LIMIT_SETTING, str(n + 1))
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).drop("_rank")

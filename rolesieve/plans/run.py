@@ -65,9 +65,8 @@ def new_postings(
         crawl, keep = with_verdict(crawl), ["verdict"]
     if options.fetched_at:
         keep.append(options.fetched_at)
-    extraction = extract_pages(crawl, keep)
-    if options.fetched_at:
-        extraction = latest_fetch(extraction, options.fetched_at)
+    # a URL that was visited again must not give its posting twice
+    extraction = latest_fetch(extract_pages(crawl, keep), options.fetched_at)
     postings = make_postings(merged, extraction, options.source)
     recent = filter_recent(postings, options.within_days, options.as_of)
     placed = filter_location_known(recent, options.locations, options.include_remote)

@@ -16,10 +16,11 @@ def scan_crawl(crawl: DataFrame) -> DataFrame:
     return crawl.withColumn("blocked", failed | refused)
 
 
-def latest_fetch(rows: DataFrame, fetched_at: str) -> DataFrame:
-    """One row per URL, the latest by ``fetched_at``, for crawls that visit pages again.
+def latest_fetch(rows: DataFrame, fetched_at: str | None = None) -> DataFrame:
+    """One row per URL: the latest by ``fetched_at`` where a crawl has it, else one picked by its content.
 
     Best applied to extracted rows, which no longer carry the page body. Equal times are told apart by
     content, so that a retry picks the same row.
     """
-    return first_per_key(rows, ["url"], [F.col(fetched_at).desc(), F.xxhash64(*rows.columns)])
+    latest = [F.col(fetched_at).desc()] if fetched_at else []
+    return first_per_key(rows, ["url"], [*latest, F.xxhash64(*rows.columns)])

@@ -1,6 +1,7 @@
 import datetime as dt
+import html
 
-from rolesieve.functions.html import jsonld_scripts, unescape_html
+from rolesieve.functions.html import head_tokens, jsonld_scripts, meta_attributes, meta_source, unescape_html
 from rolesieve.operators.extraction import (
     extract_pages,
     first_job_posting,
@@ -134,3 +135,15 @@ def test_page_is_not_shuffled_and_parsed_once(spark):
     assert "Exchange" not in plan
     assert plan.count("parseJson(") == 1
     assert plan.index("Filter") < plan.index("Generate inline")
+
+
+def test_title_of_a_meta_tag_with_many_pieces_and_a_quoted_bracket(spark):
+    attributes = " ".join(f'data-{i}="{i}"' for i in range(2000))
+    source = f'<meta {attributes} content="x > y" property="og:title">'
+    tokens = apply(spark, lambda h: meta_source(meta_attributes(head_tokens(h)), "property", "og:title"), [source])
+    assert tokens == ["x > y"]
+
+
+def test_numeric_references_with_leading_zeros_and_out_of_range(spark):
+    texts = ["&#0000000038;", "&#x00000041;", "&#99999999;", "&#x1234567;", "&#0;", "&#128;", "&#1114112;"]
+    assert apply(spark, unescape_html, texts) == [html.unescape(t) for t in texts]

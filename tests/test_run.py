@@ -191,3 +191,10 @@ def test_plan_of_a_run(spark, world, tmp_path):
     for i, line in enumerate(lines):
         if "Exchange hashpartitioning" in line:
             assert "html" not in next(x for x in lines[i + 1 :] if "Project" in x or "Scan" in x).split("AS")[0]
+
+
+def test_pages_visited_again_without_fetch_time(spark, world):
+    results, pages, none = world
+    once = [r.posting_url for r in run_pipeline(results, pages, none, options())[0].collect()]
+    twice, _ = run_pipeline(results, pages.unionByName(pages), none, options())
+    assert sorted(r.posting_url for r in twice.collect()) == sorted(once)
