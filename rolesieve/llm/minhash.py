@@ -6,9 +6,9 @@ would lose weight because the text was copied.) Consistent weighted sampling dra
 two sets draw the same one with the probability of their weighted Jaccard similarity; runs of 4 samples are the bands.
 Documents that share a band are verified by their true weighted Jaccard similarity, and links make classes.
 
-No bucket is expanded into all its pairs. Equal texts are one node. Each bucket compares its members with one hub;
+No bucket is expanded into all its pairs. Equal texts are one node. Each bucket compares its members with a few hubs;
 while members of a bucket are still in different classes, further hubs are drawn; what then remains is compared in
-full once that is few pairs (or hubs find nothing more). Members of one class need no comparison: their links would
+full once that is few pairs (or a round of hubs took away less than a fifth of it). Members of one class need no comparison: their links would
 not change it. Pairs whose sketches agree in fewer than 36 of the 64 samples are not verified: two texts of similarity 0.8
 do so once in some 10^5 pairs.
 
@@ -41,6 +41,10 @@ COUNTERS = 1 << 18
 DRAWS = 1 << 16
 CACHED_WORDS = 400_000
 HUB_ROUNDS = 12
+#: Members of a bucket that all its others are compared with in one round.
+HUBS = 8
+#: A round of hubs that leaves more than this share of the open pairs is the last.
+SHRINKS = 0.8
 #: Pairs per row that may be compared by their sketches in one step.
 PAIRS_PER_ROW = 8
 #: Samples that must agree before the sets of a pair are fetched.
@@ -243,7 +247,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = stage(keyed.join(shared, "key"), "band-members")
     links, tried, known = None, None, None
-    labels, fruitless, last = None, 0, False
+    labels, before = None, math.inf
     patterns = stage(nodes.join(members.select("node").distinct(), "node", "left_semi"), "member-sketches")
     linear = max(1000, PAIRS_PER_ROW * rows.count())
     for turn in range(HUB_ROUNDS + 1):
@@ -259,14 +263,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not rest:
             break
         inside = named.join(open_buckets.select("key"), "key")
-        last = rest <= linear or fruitless > 1 or turn == HUB_ROUNDS
+        last = rest <= linear or rest > SHRINKS * before or turn == HUB_ROUNDS
+        before = rest
         if last:
             other = inside.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
             pairs = inside.withColumnRenamed("node", "a").join(other, "key").filter("label != other AND a < b")
         else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
-            hubs = inside.groupBy("key").agg(F.min(order).alias("hub"))
-            hubs = hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.label").alias("other"))
+            drawn = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+            hubs = inside.withColumn("rank", F.row_number().over(drawn)).filter(F.col("rank") <= HUBS)
+            hubs = hubs.select("key", F.col("node").alias("hub"), F.col("label").alias("other"))
             met = inside.join(hubs, "key").filter("label != other")
             pairs = met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
         pairs = pairs.select("a", "b").distinct()
@@ -288,9 +293,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             known = known.union(more)
             covered = known.select("node")
         found = stage(verified(likely, known, threshold), "near-links")
-        fruitless = 0 if found.limit(1).count() else fruitless + 1
         links = found if links is None else links.union(found)
-        if not fruitless:
+        if found.limit(1).count():
             labels = components(links)
         if last:
             break
