@@ -340,6 +340,7 @@ SQL: dict[str, str] = {
         CASE WHEN k % 8 = 6 THEN company ELSE '' END AS company,
         CASE WHEN k % 8 = 6 THEN description ELSE '' END AS description FROM ld""",
     "extract_pages": f"{PAGES} SELECT {EXTRACTED} FROM extracted",
+    "extract_new_pages": f"{PAGES} SELECT {EXTRACTED} FROM extracted",
     "extract_pages_raw": rf"""SELECT url, {TITLE_TEXT} AS title, '' AS company, '' AS location, '' AS description, CAST(NULL AS DATE) AS date_posted,
         'unknown' AS date_posted_confidence, CAST(NULL AS VARCHAR) AS apply_url, '' AS employment_type,
         FALSE AS blocked FROM pages""",

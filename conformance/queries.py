@@ -24,6 +24,7 @@ from rolesieve.plans.run import execute_run, run_pipeline
 from rolesieve.session import prepare_session, shared_dir, stage_table
 from rolesieve.sources import search_api, seen, target
 from rolesieve.sources.crawl import scan_crawl
+from rolesieve.sources.extracted import extract_new_pages as append_extracted
 from rolesieve.streaming.incremental import incremental_run
 
 AS_OF_DATE = dt.date.fromisoformat(AS_OF)
@@ -224,6 +225,21 @@ def extract_pages_raw(spark, sf_dir):
 # -- postings ------------------------------------------------------------------------------------------
 
 
+@query
+def extract_new_pages(spark, sf_dir):
+    """About half of the pages land first, then all of them; each is in the table once."""
+    path, crawl = _fresh_folder(spark, "extracted"), V.crawl(spark, sf_dir)
+    for landed in (crawl.filter("xxhash64(url) % 2 = 0"), crawl):
+        append_extracted(landed, path)
+    return spark.read.parquet(path).drop("verdict")
+
+
+def _packed(df):
+    """The order key as one number, for the comparison; the derived inputs have few queries and one page each."""
+    key = F.shiftleft("seq.query_rank", 43) + F.shiftleft("seq.page", 30) + F.col("seq.pos")
+    return df.withColumn("seq", key)
+
+
 def _made(spark, sf_dir):
     extracted = extraction.extract_pages(V.crawl(spark, sf_dir))
     return postings.make_postings(V.run_search(spark, sf_dir), extracted, "brave")
@@ -231,7 +247,7 @@ def _made(spark, sf_dir):
 
 @query
 def make_postings(spark, sf_dir):
-    return _made(spark, sf_dir)
+    return _packed(_made(spark, sf_dir))
 
 
 @query
@@ -438,14 +454,14 @@ def _run_inputs(spark, sf_dir):
 
 @query
 def run_pipeline_(spark, sf_dir):
-    return run_pipeline(*_run_inputs(spark, sf_dir), OPTIONS)[0]
+    return _packed(run_pipeline(*_run_inputs(spark, sf_dir), OPTIONS)[0])
 
 
 @query
 def run_pipeline_selected(spark, sf_dir):
     folder = f"run-selected-{uuid.uuid4().hex}"
     inputs = _run_inputs(spark, sf_dir)
-    return run_pipeline(*inputs, SELECTIVE, cut=lambda df, name: stage_table(df, f"{folder}/{name}"))[0]
+    return _packed(run_pipeline(*inputs, SELECTIVE, cut=lambda df, name: stage_table(df, f"{folder}/{name}"))[0])
 
 
 @query
@@ -470,11 +486,13 @@ def incremental_run_(spark, sf_dir):
     folder = _fresh_folder(spark, "incremental-run")
     results, crawl, known = _run_inputs(spark, sf_dir)
     known.write.parquet(f"{folder}/seen")
+    append_extracted(crawl, f"{folder}/pages")
+    pages = spark.read.parquet(f"{folder}/pages")
     for _ in range(2):
         results.write.mode("append").parquet(f"{folder}/results")
         stream = spark.readStream.schema(results.schema).parquet(f"{folder}/results")
         incremental_run(
-            stream, crawl, f"{folder}/seen", f"{folder}/target", OPTIONS, checkpoint=f"{folder}/checkpoint"
+            stream, pages, f"{folder}/seen", f"{folder}/target", OPTIONS, checkpoint=f"{folder}/checkpoint"
         ).awaitTermination()
     return target.read_target(spark, f"{folder}/target")
 

@@ -46,25 +46,33 @@ def jsonld_scripts(html: Column) -> Column:
 
 
 def _entity_table() -> dict[str, str]:
-    """References to characters: all named ones of HTML 4, those of HTML 5 for ASCII, and #128 to #159.
+    """The common references: names of HTML 4, those of HTML 5 for ASCII, and #128 to #159.
 
     Names keep their semicolon; those that HTML also knows without one are listed twice. The numbers are
     read as Windows-1252, as browsers do.
     """
-    names = {f"{name};": chr(code) for name, code in name2codepoint.items()}
+    names = {f"{name};": html5[f"{name};"] for name in name2codepoint}
     names |= {n: c for n, c in html5.items() if len(c) == 1 and (not n.endswith(";") or ord(c) < 128)}
-    remapped = {f"#{b}": bytes([b]).decode("cp1252", "ignore") for b in range(128, 160)}
-    return names | {ref: char for ref, char in remapped.items() if char}
+    remapped = {f"#{b}": bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160)}
+    return names | remapped
 
 
 def unescape_html(text: Column) -> Column:
     """Decode numeric and named character references; what is none stays as it is."""
-    table = string_map(_entity_table())
+    common = _entity_table()
+    table, rare = string_map(common), string_map({n: c for n, c in html5.items() if n not in common})
+    # without a semicolon the longest known name counts, whatever follows it
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
 
     def code_point(code: Column) -> Column:
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         encoded = F.unhex(F.lpad(F.hex(code), 8, "0"))
-        return F.when(valid, F.decode(encoded, "UTF-32")).otherwise(F.lit("\ufffd"))
+        none = (
+            code.between(1, 8) | (code == 11) | code.between(14, 31) | code.between(127, 159)
+            | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+        )
+        char = F.when(none, F.lit("")).otherwise(F.decode(encoded, "UTF-32"))
+        return F.when(valid, char).otherwise(F.lit("\ufffd"))
 
     def character(ref: Column) -> Column:
         # leading zeros say nothing; what is longer than the largest code point is out of range
@@ -78,12 +86,15 @@ def unescape_html(text: Column) -> Column:
             F.when(F.length(decimal) > 7, beyond).otherwise(F.concat(F.lit("0"), decimal).cast("int")),
         )
         name = F.when(number.isNull(), ref).otherwise(F.concat(F.lit("#"), number))
-        return F.coalesce(F.try_element_at(table, name), F.when(number.isNotNull(), code_point(number)))
+        known = F.coalesce(F.try_element_at(table, name), F.when(number.isNotNull(), code_point(number)))
+        return F.coalesce(known, F.when(ref != "", F.try_element_at(rare, ref)))
 
     def piece(part: Column) -> Column:
-        ref = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)", 1)
-        rest = F.substr(part, F.length(ref) + 1)
-        return F.coalesce(F.concat(character(ref), rest), F.concat(F.lit("&"), part))
+        ref = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <#;]{1,32};?)", 1)
+        start = F.regexp_extract(part, f"^({'|'.join(bare)})", 1)
+        whole = F.concat(character(ref), F.substr(part, F.length(ref) + 1))
+        begun = F.concat(F.try_element_at(table, start), F.substr(part, F.length(start) + 1))
+        return F.coalesce(whole, begun, F.concat(F.lit("&"), part))
 
     parts = F.split(text, "&")
     decoded = F.concat(

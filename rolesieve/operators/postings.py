@@ -11,24 +11,14 @@ from rolesieve.functions.hashing import posting_hash
 from rolesieve.functions.text import first_non_empty, strip, text_or_empty
 from rolesieve.registry import TARGET_COLUMNS, UNKNOWN_TEXT
 
-# Bits of page and position in the packed order key; the query rank takes the 20 above them.
-_POS_BITS, _PAGE_BITS, _RANK_BITS = 30, 13, 20
-
 
 def result_seq(query_rank: Column, page: Column, pos: Column) -> Column:
-    """One BIGINT that orders search results by query, page and position.
+    """A struct that orders search results by query, page and position, whatever their size.
 
-    It comes from the data, so it is the same after any shuffle or retry. A part that does not fit fails.
+    It comes from the data, so it is the same after any shuffle or retry.
     """
-    fits = (
-        query_rank.between(0, 2**_RANK_BITS - 1) & page.between(0, 2**_PAGE_BITS - 1) & pos.between(0, 2**_POS_BITS - 1)
-    )
-    packed = (
-        F.shiftleft(query_rank.cast("bigint"), _PAGE_BITS + _POS_BITS)
-        + F.shiftleft(page.cast("bigint"), _POS_BITS)
-        + pos.cast("bigint")
-    )
-    return F.when(fits, packed).otherwise(F.raise_error(F.lit("search result position out of range")).cast("bigint"))
+    parts = {"query_rank": query_rank, "page": page, "pos": pos}
+    return F.struct(*[part.cast("bigint").alias(name) for name, part in parts.items()])
 
 
 def make_postings(results: DataFrame, extraction: DataFrame, source: str) -> DataFrame:

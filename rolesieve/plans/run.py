@@ -22,7 +22,7 @@ from rolesieve.operators.filters import (
 from rolesieve.operators.postings import make_postings
 from rolesieve.operators.search import merge_search_results
 from rolesieve.options import RunOptions
-from rolesieve.session import stage_name, stage_table
+from rolesieve.session import drop_stage, new_stage, stage_table
 from rolesieve.sources.crawl import latest_fetch
 from rolesieve.sources.seen import SEEN_SCHEMA, append_seen, read_seen
 from rolesieve.sources.tables import create_if_missing
@@ -37,37 +37,25 @@ POSTING_COLUMNS = [
 
 Cut = Callable[[DataFrame, str], DataFrame]
 
-# URLs of a run up to this many bytes are broadcast to pick their pages out of the crawl before any is parsed.
-SMALL_URL_BYTES = 32 * 1024 * 1024
-
-
-def pages_of(results: DataFrame, crawl: DataFrame, limit: int = SMALL_URL_BYTES) -> DataFrame:
-    """``crawl`` without the pages no result points at, if the URLs of ``results`` are few; else ``crawl``.
-
-    Their size is measured first, so ``results`` should be a staged table. Beyond ``limit`` bytes nothing is
-    filtered here: that would shuffle page bodies, and the join on extracted fields drops the rest anyway.
-    """
-    size = results.agg(F.sum(F.octet_length("url")).alias("bytes")).first()["bytes"] or 0
-    if size > limit:
-        return crawl
-    return crawl.join(F.broadcast(results.select("url")), "url", "left_semi")
+def extraction_of(pages: DataFrame, options: RunOptions) -> DataFrame:
+    """One row per URL: ``pages`` is a crawl, or the table that ``extract_new_pages`` keeps, which has no page bodies."""
+    if "html" in pages.columns:
+        keep = ["verdict"] if options.only_active else []
+        if options.fetched_at:
+            keep.append(options.fetched_at)
+        pages = extract_pages(with_verdict(pages) if options.only_active else pages, keep)
+    elif not options.only_active:
+        pages = pages.drop("verdict")
+    # a URL that was visited again must not give its posting twice
+    return latest_fetch(pages, options.fetched_at)
 
 
 def new_postings(
-    results: DataFrame, crawl: DataFrame, seen: DataFrame, options: RunOptions, cut: Cut | None = None
+    results: DataFrame, pages: DataFrame, seen: DataFrame, options: RunOptions, cut: Cut | None = None
 ) -> DataFrame:
     """The run up to deduplication: every row here becomes part of the state, whatever happens to it later."""
-    merged, keep = merge_search_results(results, options.max_results), []
-    if cut is not None:
-        merged = cut(merged, "results")
-        crawl = pages_of(merged, crawl)
-    if options.only_active:
-        crawl, keep = with_verdict(crawl), ["verdict"]
-    if options.fetched_at:
-        keep.append(options.fetched_at)
-    # a URL that was visited again must not give its posting twice
-    extraction = latest_fetch(extract_pages(crawl, keep), options.fetched_at)
-    postings = make_postings(merged, extraction, options.source)
+    merged = merge_search_results(results, options.max_results)
+    postings = make_postings(merged, extraction_of(pages, options), options.source)
     recent = filter_recent(postings, options.within_days, options.as_of)
     placed = filter_location_known(recent, options.locations, options.include_remote)
     first = dedup_first(placed)
@@ -93,7 +81,7 @@ def classify_and_filter(new: DataFrame, options: RunOptions, cut: Cut | None = N
 
 
 def run_pipeline(
-    results: DataFrame, crawl: DataFrame, seen: DataFrame, options: RunOptions, cut: Cut | None = None
+    results: DataFrame, pages: DataFrame, seen: DataFrame, options: RunOptions, cut: Cut | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(postings, new_hashes)``: what the run reports, and what it adds to the seen state.
 
@@ -101,13 +89,13 @@ def run_pipeline(
     function that materialises a frame under a name, such shared frames are computed once (``execute_run``
     stages them as tables); without it everything stays one lazy plan.
     """
-    new = new_postings(results, crawl, seen, options, cut)
+    new = new_postings(results, pages, seen, options, cut)
     return classify_and_filter(new, options, cut), new.select("hash")
 
 
 def execute_run(
     results: DataFrame,
-    crawl: DataFrame,
+    pages: DataFrame,
     seen_path: str,
     target_path: str,
     options: RunOptions,
@@ -115,15 +103,19 @@ def execute_run(
 ) -> int:
     """Run, append the new rows to the target, then append the new hashes to the state; returns the rows.
 
+    ``pages`` is best the table that ``extract_new_pages`` keeps: a crawl would be parsed as a whole by every run.
     The target comes first: if the job dies between the two writes, a repeat finds the rows in the target
     and only completes the state. The other way round the rows would be lost. One run per target at a time.
     """
     spark = results.sparkSession
-    folder = stage_name("run", seen_path, target_path)
+    folder = new_stage("run", seen_path, target_path)
     create_if_missing(spark, seen_path, SEEN_SCHEMA)
-    postings, hashes = run_pipeline(
-        results, crawl, read_seen(spark, seen_path), options, cut=lambda df, name: stage_table(df, f"{folder}/{name}")
-    )
-    appended = upsert_new_rows(postings, target_path, added_at or options.as_of)
-    append_seen(hashes, seen_path)
-    return appended
+    try:
+        postings, hashes = run_pipeline(
+            results, pages, read_seen(spark, seen_path), options, cut=lambda df, name: stage_table(df, f"{folder}/{name}")
+        )
+        appended = upsert_new_rows(postings, target_path, added_at or options.as_of, unique=True)
+        append_seen(hashes, seen_path)
+        return appended
+    finally:
+        drop_stage(spark, folder)

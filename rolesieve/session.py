@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,26 +17,29 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the session names it in ``spark.checkpoint.dir``.
-
-    Only a local session may go without: it gets a temporary folder of its own, kept in the same setting.
-    """
+    """The folder all executors can reach, as the session names it in ``spark.checkpoint.dir``."""
     path = spark.conf.get(CHECKPOINT_SETTING, None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not path:
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="rolesieve-")
-    spark.conf.set(CHECKPOINT_SETTING, path)
-    return path
+    return path.rstrip("/")
 
 
 def stage_name(kind: str, *paths: str) -> str:
-    """A folder name that belongs to the tables at ``paths``: runs on other tables never share it, and a repeat
-    overwrites what the run before it left."""
+    """A folder name that belongs to the tables at ``paths``: work on other tables never shares it."""
     return f"{kind}-{hashlib.sha256(chr(0).join(paths).encode()).hexdigest()[:24]}"
 
 
+def new_stage(kind: str, *paths: str) -> str:
+    """A folder name for one run on the tables at ``paths``; no other run uses it."""
+    return f"{stage_name(kind, *paths)}-{uuid.uuid4().hex}"
+
+
+def drop_stage(spark: SparkSession, name: str) -> None:
+    """Remove the staged tables of a run, after its last write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table under the shared folder and read it back.
 

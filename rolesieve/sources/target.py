@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from rolesieve.functions.text import strip
 from rolesieve.operators.dedup import dedup_first, dedup_unseen, known_hashes
-from rolesieve.operators.postings import export_rows
+from rolesieve.operators.postings import export_rows, with_hash
 from rolesieve.registry import TARGET_COLUMNS
-from rolesieve.session import stage_name, stage_table
+from rolesieve.session import drop_stage, new_stage, stage_table
 from rolesieve.sources.tables import create_if_missing, read_parquet_or_empty
 
 TARGET_SCHEMA = ", ".join(f"`{c}` string" for c in TARGET_COLUMNS)
@@ -49,17 +49,21 @@ def rows_to_append(postings: DataFrame, target: DataFrame, added_at: dt.date) ->
     return export_rows(dedup_unseen(dedup_first(postings), scan_target_hashes(target)), added_at)
 
 
-def upsert_new_rows(postings: DataFrame, target_path: str, added_at: dt.date) -> int:
+def upsert_new_rows(postings: DataFrame, target_path: str, added_at: dt.date, unique: bool = False) -> int:
     """Append the new rows to the table at ``target_path`` and return how many; existing rows stay as they are.
 
     The candidates are staged first, so a large target is scanned for the few hashes they carry instead of
-    being shuffled.
+    being shuffled. ``unique`` says that no hash is on two of them, which saves ranking them by hash.
     """
     spark = postings.sparkSession
     create_if_missing(spark, target_path, TARGET_SCHEMA)
-    candidates = stage_table(dedup_first(postings), stage_name("upsert", target_path))
-    present = known_hashes(candidates, scan_target_hashes(read_target(spark, target_path)))
-    counted = Observation()
-    rows = export_rows(dedup_unseen(candidates, present), added_at)
-    rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(target_path)
-    return counted.get["rows"]
+    stage = new_stage("upsert", target_path)
+    try:
+        candidates = stage_table(with_hash(postings) if unique else dedup_first(postings), stage)
+        present = known_hashes(candidates, scan_target_hashes(read_target(spark, target_path)))
+        counted = Observation()
+        rows = export_rows(dedup_unseen(candidates, present), added_at)
+        rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(target_path)
+        return counted.get["rows"]
+    finally:
+        drop_stage(spark, stage)

@@ -14,7 +14,7 @@ from rolesieve.session import prepare_session, shared_dir, stage_name
 
 def incremental_run(
     stream: DataFrame,
-    crawl: DataFrame,
+    pages: DataFrame,
     seen_path: str,
     target_path: str,
     options: RunOptions,
@@ -23,15 +23,15 @@ def incremental_run(
 ) -> StreamingQuery:
     """Process everything new in ``stream`` (a streaming frame of search results), one run per micro-batch.
 
-    A batch may be delivered twice. That is harmless: the target and the state are both checked before rows
-    are added, and staged rows are overwritten.
+    ``pages`` is best the table that ``extract_new_pages`` keeps, so that no batch reads or parses page bodies. A
+    batch may be delivered twice. That is harmless: the target and the state are both checked before rows are added.
     """
     folder = checkpoint or f"{shared_dir(stream.sparkSession)}/{stage_name('stream', seen_path, target_path)}"
 
     def run_batch(batch: DataFrame, _: int) -> None:
         prepare_session(batch.sparkSession)
         if not batch.isEmpty():
-            execute_run(batch, crawl, seen_path, target_path, options, added_at)
+            execute_run(batch, pages, seen_path, target_path, options, added_at)
 
     return (
         stream.writeStream.foreachBatch(run_batch)

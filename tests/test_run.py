@@ -1,12 +1,13 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from rolesieve import RunOptions, execute_run, incremental_run, run_pipeline
 from rolesieve.functions.hashing import posting_hash
-from rolesieve.operators.extraction import extract_pages
-from rolesieve.plans.run import pages_of
+from rolesieve.session import shared_dir, stage_name
+from rolesieve.sources.extracted import extract_new_pages
 from rolesieve.sources.seen import read_seen
 from rolesieve.sources.target import read_target
 from tests.helpers import RESULT_SCHEMA, crawl, ld, tree
@@ -148,29 +149,44 @@ def test_two_batches(spark, world, tmp_path):
     assert step(results.filter("false")) == (5, 5)
 
 
-def test_pages_of_a_small_run_are_picked_before_parsing(spark, world, tmp_path):
-    results, pages, _ = world
-    pages.write.parquet(str(tmp_path / "pages"))
-    archive = spark.read.parquet(str(tmp_path / "pages"))
-    few = results.filter("pos < 2")
-    picked = pages_of(few, archive)
-    assert sorted(r.url for r in picked.collect()) == ["https://x/far", "https://x/old"]
-    plan = tree(extract_pages(picked))
-    assert "BroadcastHashJoin" in plan and plan.index("Generate inline") < plan.index("BroadcastHashJoin")
-    assert "Exchange hashpartitioning" not in plan
-    assert pages_of(few, archive, limit=10) is archive
-    assert pages_of(results.filter("false"), archive).count() == 0
-
-
-def test_large_run_gives_the_same(spark, world, tmp_path, monkeypatch):
-    results, pages, _ = world
-    rows = []
-    for limit in (0, 10**6):
-        monkeypatch.setattr("rolesieve.plans.run.pages_of", lambda r, c, limit=limit: pages_of(r, c, limit))
-        paths = str(tmp_path / f"seen{limit}"), str(tmp_path / f"target{limit}")
-        execute_run(results, pages, *paths, options(only_active=True))
+def test_extracted_pages_give_the_same_run(spark, world, tmp_path):
+    results, pages, none = world
+    table, rows = str(tmp_path / "pages"), []
+    extract_new_pages(pages.limit(3), table)
+    extract_new_pages(pages, table)
+    extract_new_pages(pages, table)
+    extracted = spark.read.parquet(table)
+    assert "html" not in extracted.columns
+    assert sorted(r.url for r in extracted.collect()) == sorted(r.url for r in pages.collect())
+    for name, source in (("crawl", pages), ("table", extracted)):
+        paths = str(tmp_path / f"seen-{name}"), str(tmp_path / f"target-{name}")
+        execute_run(results, source, *paths, options(only_active=True))
         rows.append(sorted(tuple(r) for r in read_target(spark, paths[1]).collect()))
     assert rows[0] == rows[1] and len(rows[0]) == 4
+    for only_active in (False, True):
+        kept, _ = run_pipeline(results, extracted, none, options(only_active=only_active))
+        assert tree(kept).count("parseJson(") == 0
+
+
+def test_extraction_keeps_visits_apart_by_time(spark, world, tmp_path):
+    results, pages, none = world
+    table = str(tmp_path / "pages")
+    extract_new_pages(pages.withColumn("at", F.lit(1)), table, "at")
+    newer = crawl(spark, ("https://x/chef", page("Head Chef")), (None, "")).withColumn("at", F.lit(2))
+    extract_new_pages(newer, table, "at")
+    extract_new_pages(newer, table, "at")
+    extracted = spark.read.parquet(table)
+    assert extracted.count() == len(PAGES) + 1
+    kept, _ = run_pipeline(results, extracted, none, options(fetched_at="at"))
+    assert [r.title for r in kept.filter("posting_url LIKE '%chef'").collect()] == ["Head Chef"]
+
+
+def test_a_run_leaves_no_staged_tables(spark, world, tmp_path):
+    results, pages, _ = world
+    paths = str(tmp_path / "seen"), str(tmp_path / "target")
+    execute_run(results, pages, *paths, options(only_active=True))
+    left = {p.name for p in Path(shared_dir(spark)).iterdir()}
+    assert not [n for n in left if n.startswith((stage_name("run", *paths), stage_name("upsert", paths[1])))]
 
 
 def test_plan_of_a_run(spark, world, tmp_path):
