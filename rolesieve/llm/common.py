@@ -16,13 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach, as ``spark.checkpoint.dir`` names it. Only a local session may leave it
-    unset; it then gets a folder of its own, kept in the same setting."""
-    path = spark.conf.get(CHECKPOINT_SETTING, None)
+    unset; it then gets a folder of its own, kept as its checkpoint folder (the setting itself is fixed by then)."""
+    context = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
-        path = tempfile.mkdtemp(prefix="rolesieve-llm-")
-        spark.conf.set(CHECKPOINT_SETTING, path)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rolesieve-llm-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
