@@ -9,7 +9,8 @@ the input. Scoring is row-local and reads whole texts; a worker keeps word score
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as is every text where nothing could be
 learned; a character outside the vocabulary is a piece of small probability; ties go to the first language by name;
-words of any length are summed with rescaling; repeated rows get equal results; an empty table gives an empty result.
+pieces and
+words of any length count in training and scoring, summed with rescaling; repeated rows get equal results; an empty table gives an empty result.
 Other columns are not read.
 """
 
@@ -27,17 +28,28 @@ from pyspark.sql import functions as F
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-MOST_LETTERS = 6
 PER_LANGUAGE = 400
 ROUNDS = 4
 CACHE_WORDS = 300_000
 BATCH_CHARS = 8 << 20
+#: Places between two rescalings of the sums.
+RESCALE = 8
 
 
 def words(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
+@dataclass
+class Lattice:
+    """The pieces that words of one length can be cut into."""
+
+    #: [word, end - 1] to the row of the last letter alone.
+    letters: np.ndarray
+    #: For each end, its longer pieces: size, the words that have one there, and their rows.
+    pieces: list[list[tuple[int, np.ndarray, np.ndarray]]]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -46,39 +58,64 @@ class LanguageModel:
     probabilities: np.ndarray
     kept: dict[str, int] = field(default_factory=dict)
     scores: list[np.ndarray] = field(default_factory=list)
-
-    def lattice(self, same_length: list[str]) -> np.ndarray:
-        """[word, end - 1, length - 1] to the row of the piece of that length that ends there."""
-        n, get = len(same_length[0]) + 1, self.pieces.get
-        unknown, none = len(self.probabilities) - 2, len(self.probabilities) - 1
-        rows = []
-        for word in same_length:
+    #: Every beginning of a piece to the row of the piece, or -1 if it is none itself; made where words are cut.
+    beginnings: dict[str, int] = field(default_factory=dict)
+
+    def lattice(self, same_length: list[str]) -> Lattice:
+        if not self.beginnings:
+            self.beginnings.update({p[:n]: -1 for p in self.pieces for n in range(1, len(p))})
+            self.beginnings.update(self.pieces)
+        n, get, unknown = len(same_length[0]) + 1, self.beginnings.get, len(self.probabilities) - 2
+        letters = np.empty((len(same_length), n), np.int32)
+        found: list[dict[int, tuple[list[int], list[int]]]] = [{} for _ in range(n)]
+        for i, word in enumerate(same_length):
             w = "▁" + word
             row = []
-            for end in range(1, n + 1):
-                row.append(get(w[end - 1 : end], unknown))
-                for size in range(2, MOST_LETTERS + 1):
-                    row.append(get(w[end - size : end], none) if size <= end else none)
-            rows.append(row)
-        return np.array(rows, np.int32).reshape(len(rows), n, MOST_LETTERS)
-
-    def forward(self, lattice: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Log probability of each word per language, and the scaled sums up to each place."""
-        count, n, _ = lattice.shape
-        p = self.probabilities
-        sums = [np.ones((count, p.shape[1]))]
-        log = np.zeros((count, 1))
+            for begin in range(n):
+                at = get(w[begin : begin + 1])
+                row.append(unknown if at is None or at < 0 else at)
+                end = begin + 1
+                while at is not None and end < n:
+                    end += 1
+                    at = get(w[begin:end])
+                    if at is not None and at >= 0:
+                        where, rows = found[end - 1].setdefault(end - begin, ([], []))
+                        where.append(i)
+                        rows.append(at)
+            letters[i] = row
+        pieces = [[(size, np.array(a), np.array(b, np.int32)) for size, (a, b) in sorted(f.items())] for f in found]
+        return Lattice(letters, pieces)
+
+    def forward(self, lattice: Lattice) -> tuple[np.ndarray, tuple[list[np.ndarray], list]]:
+        """Log probability of each word per language, and the sums up to each place with the logs of their scales."""
+        p, n = self.probabilities, len(lattice.pieces)
+        longest = max((size for entries in lattice.pieces for size, _, _ in entries), default=1)
+        sums, logs = [np.ones((len(lattice.letters), p.shape[1]))], [0.0]
         for end in range(1, n + 1):
-            total = sums[end - 1] * p[lattice[:, end - 1, 0]]
-            for size in range(2, min(MOST_LETTERS, end) + 1):
-                total += sums[end - size] * p[lattice[:, end - 1, size - 1]]
+            total = sums[end - 1] * p[lattice.letters[:, end - 1]]
+            for size, where, rows in lattice.pieces[end - 1]:
+                total[where] += sums[end - size][where] * p[rows]
             sums.append(total)
-            if end % 16 == 0 and end < n:
-                top = total.max(axis=1, keepdims=True)
-                for back in range(max(0, end - MOST_LETTERS), end + 1):
-                    sums[back] = sums[back] / top
-                log += np.log(top)
-        return np.log(np.maximum(sums[n], 1e-300)) + log, sums
+            logs.append(logs[-1])
+            if end % RESCALE == 0 and end < n:
+                rescale(sums, logs, range(max(0, end - longest), end + 1), total)
+        return np.log(np.maximum(sums[n], 1e-300)) + logs[n], (sums, logs)
+
+    def backward(self, lattice: Lattice) -> tuple[list[np.ndarray], list]:
+        """The sums from each place to the end, with the logs of their scales."""
+        p, n = self.probabilities, len(lattice.pieces)
+        shape, logs = (len(lattice.letters), p.shape[1]), [0.0] * (n + 1)
+        sums = [*(np.zeros(shape) for _ in range(n)), np.ones(shape)]
+        longest = max((size for entries in lattice.pieces for size, _, _ in entries), default=1)
+        # a place is whole once all pieces that begin there, thus end behind it, have been added
+        for end in range(n, 0, -1):
+            logs[max(0, end - longest)] = logs[end]
+            if (n - end) % RESCALE == 0 and end < n:
+                rescale(sums, logs, range(max(0, end - longest), end + 1), sums[end])
+            sums[end - 1] += sums[end] * p[lattice.letters[:, end - 1]]
+            for size, where, rows in lattice.pieces[end - 1]:
+                sums[end - size][where] += sums[end][where] * p[rows]
+        return sums, logs
 
     def add(self, new: list[str]) -> None:
         """Score words that are not kept yet."""
@@ -119,7 +156,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    letters = {p for p in found if len(p) <= MOST_LETTERS and re.fullmatch(r"▁?[^\W\d_]*", p) and p}
+    letters = {p for p in found if re.fullmatch(r"▁?[^\W\d_]*", p) and p}
     return sorted(letters | {"▁"}, key=lambda p: (len(p), p))
 
 
@@ -133,12 +170,12 @@ def train(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -
     by_length: dict[int, list[str]] = {}
     for word in sorted(set().union(*counts.values())) if counts else ():
         by_length.setdefault(len(word), []).append(word)
-    # words of some hundred letters say nothing about spelling
-    groups = [(ws, model.lattice(ws)) for n, ws in sorted(by_length.items()) if n <= 200]
-    weights = [np.array([[counts[lang][w] for lang in languages] for w in ws], float) for ws, _ in groups]
+    parts = [same[at : at + 20_000] for _, same in sorted(by_length.items()) for at in range(0, len(same), 20_000)]
+    groups = [model.lattice(ws) for ws in parts]
+    weights = [np.array([[counts[lang][w] for lang in languages] for w in ws], float) for ws in parts]
     for _ in range(rounds if groups else 0):
         expected = np.zeros_like(model.probabilities)
-        for (_, lattice), weight in zip(groups, weights, strict=True):
+        for lattice, weight in zip(groups, weights, strict=True):
             expected += expectations(model, lattice, weight)
         expected[-1] = 0
         # a piece that a language has not shown keeps a small share of what all show, or of a uniform piece
@@ -150,28 +187,29 @@ def train(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -
     return model
 
 
-def expectations(model: LanguageModel, lattice: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def rescale(sums: list[np.ndarray], logs: list, places: range, by: np.ndarray) -> None:
+    """Divide the sums at ``places``, all on one scale, by a positive number for each word and language."""
+    log = logs[places[-1]] + np.log(by)
+    for at in places:
+        sums[at] = sums[at] / by
+        logs[at] = log
+
+
+def expectations(model: LanguageModel, lattice: Lattice, times: np.ndarray) -> np.ndarray:
     """How often each piece is used in the words, over all segmentations."""
-    count, n, _ = lattice.shape
-    p = model.probabilities
-    found = np.zeros_like(p)
-    for begin in range(0, count, 20_000):
-        part, times = lattice[begin : begin + 20_000], weight[begin : begin + 20_000]
-        # both directions unscaled: words in training are short; a word whose sum vanishes adds nothing
-        ahead = [np.ones((len(part), p.shape[1]))]
-        for end in range(1, n + 1):
-            ahead.append(sum(ahead[end - s] * p[part[:, end - 1, s - 1]] for s in range(1, min(MOST_LETTERS, end) + 1)))
-        back = [np.zeros_like(ahead[0])] * n + [np.ones_like(ahead[0])]
-        for at in range(n - 1, -1, -1):
-            back[at] = sum(back[at + s] * p[part[:, at + s - 1, s - 1]] for s in range(1, min(MOST_LETTERS, n - at) + 1))
-        share = np.divide(times, ahead[n], out=np.zeros_like(times), where=ahead[n] > 1e-290)
-        for end in range(1, n + 1):
-            for s in range(1, min(MOST_LETTERS, end) + 1):
-                rows = part[:, end - 1, s - 1]
-                uses = ahead[end - s] * p[rows] * back[end] * share
-                for lang in range(p.shape[1]):
-                    found[:, lang] += np.bincount(rows, uses[:, lang], minlength=len(p))
-    return found
+    p, n = model.probabilities, len(lattice.pieces)
+    _, (ahead, ahead_logs) = model.forward(lattice)
+    back, back_logs = model.backward(lattice)
+    share = times / ahead[n]
+    used, uses = [], []
+    for end in range(1, n + 1):
+        for size, where, rows in [(1, slice(None), lattice.letters[:, end - 1]), *lattice.pieces[end - 1]]:
+            scale = ahead_logs[end - size] + back_logs[end] - ahead_logs[n]
+            part = ahead[end - size][where] * p[rows] * back[end][where] * share[where]
+            used.append(rows)
+            uses.append(part * np.exp(scale[where]) if isinstance(scale, np.ndarray) else part)
+    rows, values = np.concatenate(used), np.concatenate(uses)
+    return np.stack([np.bincount(rows, values[:, i], minlength=len(p)) for i in range(p.shape[1])], axis=1)
 
 
 def fit(labelled: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",

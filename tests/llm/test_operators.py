@@ -181,6 +181,39 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(np.exp(logs[0, 0]), total)
 
 
+def test_long_pieces_and_long_words_count():
+    pieces = langid.vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    assert {"ability", "account"} <= set(pieces)
+    rows, p = {w: i for i, w in enumerate(pieces)}, np.random.default_rng(1).random((len(pieces) + 2, 2))
+    p[-1] = 0
+    model = langid.LanguageModel(["x", "y"], rows, p / p.sum(axis=0))
+
+    def plain(word, counts=None):
+        """The sum over all segmentations, and the expected uses of each piece, with exact products."""
+        w, n = "▁" + word, len(word) + 1
+        row = lambda b, e: rows.get(w[b:e], len(p) - 2 if e - b == 1 else -1)
+        ahead, back = [np.ones(2)] + [np.zeros(2)] * n, [np.zeros(2)] * n + [np.ones(2)]
+        for e in range(1, n + 1):
+            ahead[e] = sum(ahead[b] * model.probabilities[row(b, e)] for b in range(e))
+        for b in range(n - 1, -1, -1):
+            back[b] = sum(back[e] * model.probabilities[row(b, e)] for e in range(b + 1, n + 1))
+        uses = np.zeros_like(p)
+        for b, e in itertools.combinations(range(n + 1), 2):
+            uses[row(b, e)] += ahead[b] * model.probabilities[row(b, e)] * back[e] / ahead[n]
+        return np.log(ahead[n]), uses
+
+    for word in ("accountability", "internationalisation", "ability", "x", "accountability" * 3):
+        logs, uses = plain(word)
+        lattice = model.lattice([word])
+        assert np.allclose(model.forward(lattice)[0][0], logs)
+        uses[-1] = 0
+        assert np.allclose(langid.expectations(model, lattice, np.ones((1, 2))), uses)
+    # one word of more than 200 letters is all there is to learn from
+    learned = langid.train({"x": Counter({"account" * 300: 2}), "y": Counter({"ability" * 300: 1})}, pieces)
+    assert np.isfinite(learned.probabilities).all() and np.allclose(learned.probabilities.sum(axis=0), 1)
+    assert [r[0] for r in learned.score(["account", "ability", "ability" * 500])] == ["x", "y", "y"]
+
+
 def test_mix_reaches_targets(spark, docs):
     rows = [(i, sentence(i, 1 + (i * 37) % 400), f"s{i % 4}" if i % 7 else None) for i in range(400)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(docs.select("doc_id", "text", "source"))
