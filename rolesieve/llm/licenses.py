@@ -2,8 +2,10 @@
 
 A paragraph (a line, cut after sentence ends) becomes the set of its word pairs and triples. A sparse multinomial
 logistic regression over the n-grams of licence notices gives each family a probability, with a temperature and a
-floor for the unknown class set on rows held out of the training. A prediction counts only if enough of the
-paragraph's n-grams are found in a notice of that family.
+floor for the unknown class set on rows held out of the training. Two things are classified: a paragraph most of whose
+n-grams are found in notices of one family, and, where most n-grams of one notice stand in a paragraph, the run of
+that notice's length that holds most of them. So a notice counts whatever else its line or sentence says, and a
+paragraph may hold several licences.
 
 The model is small and fixed in size (at most ``VOCABULARY`` n-grams), so it travels with the expression: scanning is
 row-local, reads only the text, and shuffles nothing.
@@ -122,20 +124,28 @@ def paragraphs(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), SPLIT)
 
 
+def tokens(paragraph: Column) -> Column:
+    return F.regexp_extract_all(F.lower(paragraph), F.lit(TOKEN), F.lit(0))
+
+
 def ngrams(paragraph: Column) -> Column:
     """The distinct word pairs and triples of a paragraph, in lower case."""
-    words = F.regexp_extract_all(F.lower(paragraph), F.lit(TOKEN), F.lit(0))
+    return once(tokens(paragraph), ngrams_of)
+
+
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    def joined(words: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
-        triples = F.transform(
-            F.sequence(F.lit(0), F.size(words) - 3),
-            lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
-        )
-        none = F.array().cast("array<string>")
-        return F.when(F.size(words) > 2, F.array_distinct(F.concat(pairs, triples))).when(F.size(words) == 2, pairs).otherwise(none)
 
-    return F.transform(F.array(words), joined)[0]
+def ngrams_of(words: Column) -> Column:
+    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
+    triples = F.transform(
+        F.sequence(F.lit(0), F.size(words) - 3),
+        lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
+    )
+    none = F.array().cast("array<string>")
+    return F.when(F.size(words) > 2, F.array_distinct(F.concat(pairs, triples))).when(F.size(words) == 2, pairs).otherwise(none)
 
 
 def bucket(gram: Column) -> Column:
@@ -154,10 +164,21 @@ def training_rows(spark: SparkSession, variants: int) -> DataFrame:
     return texts.select("family", ngrams(F.array_join(kept, " ")).alias("grams"), held.alias("held_out"))
 
 
+def sentence_rows(spark: SparkSession) -> DataFrame:
+    """(family, n_words, grams) of every sentence of the notices that has two words."""
+    entries = constant([f"{f}\t{s}" for f, notices in NOTICES.items() for s in notices], "string")
+    fields = spark.range(1).select(F.explode(entries).alias("r")).select(F.split("r", "\t").alias("r"))
+    cut = fields.select(F.col("r")[0].alias("family"), F.explode(paragraphs(F.col("r")[1])).alias("text")).distinct()
+    rows = cut.select("family", F.size(tokens(F.col("text"))).alias("n_words"), ngrams(F.col("text")).alias("grams"))
+    return rows.filter("n_words > 1")
+
+
 class LicenseModel:
-    """Weights and thresholds as plain lists; ``scan`` turns them into expressions."""
+    """Weights and thresholds as plain lists; ``scan`` turns them into expressions. ``templates``: the n-grams of each
+    family; ``sentences``: family, words and n-grams of each sentence; ``slots``: the bucket of each of these n-grams."""
 
-    def __init__(self, families, grams, buckets, weights, intercepts, temperature, floor, templates):
+    def __init__(self, families, grams, buckets, weights, intercepts, temperature, floor, templates, sentences, slots):
+        self.sentences, self.slots = sentences, slots
         self.families, self.grams, self.buckets, self.weights = families, grams, buckets, weights
         self.intercepts, self.temperature, self.floor, self.templates = intercepts, temperature, floor, templates
 
@@ -189,8 +210,12 @@ def fit(spark: SparkSession, variants: int = 24, strength: float = 0.002) -> Lic
         for r in rows.filter(F.col("family") != UNKNOWN).groupBy("family")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("grams")))).alias("grams")).collect()
     }
+    sentences = [(r["family"], r["n_words"], r["grams"]) for r in sentence_rows(spark).collect()]
+    known = sorted({g for found in [*templates.values(), *(s[2] for s in sentences)] for g in found})
+    places = spark.range(1).select(F.transform(constant(known, "string"), bucket).alias("b")).first()["b"]
     return LicenseModel(families, [grams[j] for j in used], at, [[float(v) for v in matrix[:, j]] for j in used],
-                        [float(v) for v in fitted.interceptVector], temperature, floor, templates)
+                        [float(v) for v in fitted.interceptVector], temperature, floor, templates, sentences,
+                        dict(zip(known, places, strict=True)))
 
 
 def calibrate(scored: list[tuple[int, list[float]]], unknown: int) -> tuple[float, float]:
@@ -219,7 +244,8 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
          confirm: float = 0.6) -> DataFrame:
     """One row per row of ``docs``: id, licenses (families in order, joined by commas; null if none), n_paragraphs
     (those with a confirmed licence), score (the largest probability, else 0) and ``found``, one (paragraph number,
-    family, probability, share of the paragraph found in the templates) for each."""
+    family, probability, share) for each licence of a paragraph. The share is that of the sentence's n-grams found in
+    the run, or that of the paragraph's n-grams found in the family's notices."""
     classes, unknown = len(model.families), model.families.index(UNKNOWN)
     slots = [0] * BUCKETS
     merged: dict[int, list[float]] = {}
@@ -232,38 +258,90 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     start = constant(model.intercepts, "double")
     names = constant(model.families, "string")
     templates = F.array(*[constant(model.templates.get(f, []), "string") for f in model.families])
+    # a first look by buckets, which lets through all that the n-grams themselves would
+    marks = [0] * BUCKETS
+    for i, b in enumerate(sorted(set(model.slots.values()))):
+        marks[b] = i + 1
+    mark_of = constant(marks, "int")
+    marked = [sorted({marks[model.slots[g]] for g in grams}) for _, _, grams in model.sentences]
+    needed = [max(1, math.ceil(confirm * len(s[2]) - 1e-9) - len(s[2]) + len(m)) for s, m in zip(model.sentences, marked, strict=True)]
+    sentence_marks = F.array(*[constant(m, "int") for m in marked])
+    sentence_grams = F.array(*[constant(grams, "string") for _, _, grams in model.sentences])
+    sentence_words = constant([n for _, n, _ in model.sentences], "int")
+    sentence_family = constant([model.families.index(f) for f, _, _ in model.sentences], "int")
+    need, numbers = constant(needed, "int"), constant(list(range(len(model.sentences))), "int")
 
     def weights(slot: Column) -> Column:
         return F.slice(flat, (slot - 1) * classes + 1, F.lit(classes))
 
+    def looked_up(unit: Column) -> Column:
+        hits = F.filter(F.transform(unit["grams"], lambda g: F.get(mark_of, bucket(g))), lambda s: s > 0)
+        return F.struct(unit["at"].alias("at"), unit["text"].alias("text"), unit["grams"].alias("grams"), hits.alias("hits"))
+
+    def compared(unit: Column) -> Column:
+        near = F.filter(numbers, lambda t: F.size(F.array_intersect(F.get(sentence_marks, t), unit["hits"])) >= F.get(need, t))
+        whole = F.size(unit["hits"]) >= F.size(unit["grams"]) * confirm
+        return F.struct(unit["at"].alias("at"), unit["text"].alias("text"), unit["grams"].alias("grams"),
+                        whole.alias("whole"), near.alias("near"))
+
+    def best_run(words: Column, sentence: Column) -> Column:
+        """The n-grams of the first run that shares most with the sentence, of the same number of words."""
+        length = F.get(sentence_words, sentence)
+
+        def of(begin: Column) -> Column:
+            return once(F.slice(words, begin + 1, length), ngrams_of)
+
+        begins = F.sequence(F.lit(0), F.greatest(F.size(words) - length, F.lit(0)))
+        shared = F.transform(begins, lambda i: F.struct(F.size(F.array_intersect(F.get(sentence_grams, sentence), of(i))).alias("n"), (-i).alias("i")))
+        return once(F.array_max(shared), lambda best: of(-best["i"]))
+
+    def candidates(unit: Column) -> Column:
+        def candidate(grams: Column, sentence: Column) -> Column:
+            return F.struct(unit["at"].alias("at"), grams.alias("grams"), sentence.cast("int").alias("sentence"))
+
+        whole = F.filter(F.array(candidate(unit["grams"], F.lit(-1))), lambda _: unit["whole"])
+        return once(tokens(unit["text"]), lambda words: F.concat(whole, F.transform(unit["near"], lambda t: candidate(best_run(words, t), t))))
+
     def judged(unit: Column) -> Column:
         hits = F.filter(F.transform(unit["grams"], lambda g: F.get(slot_of, bucket(g))), lambda s: s > 0)
         raw = F.aggregate(hits, start, lambda acc, s: F.zip_with(acc, weights(s), lambda a, b: a + b))
-        return F.struct(unit["at"].alias("at"), unit["grams"].alias("grams"), F.size(hits).alias("hits"), raw.alias("raw"))
+        return F.struct(unit["at"].alias("at"), unit["grams"].alias("grams"), unit["sentence"].alias("sentence"),
+                        F.size(hits).alias("hits"), raw.alias("raw"))
 
     def decided(unit: Column) -> Column:
         top = F.array_max(unit["raw"])
         powers = F.transform(unit["raw"], lambda x: F.exp((x - top) / model.temperature))
         family = F.array_position(unit["raw"], top).cast("int") - 1
         probability = F.array_max(powers) / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
-        return F.struct(unit["at"].alias("at"), unit["grams"].alias("grams"), family.alias("family"), probability.alias("probability"))
+        return F.struct(unit["at"].alias("at"), unit["grams"].alias("grams"), unit["sentence"].alias("sentence"),
+                        family.alias("family"), probability.alias("probability"))
 
     def confirmed(unit: Column) -> Column:
-        shared = F.size(F.array_intersect(unit["grams"], F.get(templates, unit["family"])))
-        share = shared / F.size(unit["grams"])
+        sentence = F.get(sentence_grams, unit["sentence"])
+        whole = F.size(F.array_intersect(unit["grams"], F.get(templates, unit["family"]))) / F.size(unit["grams"])
+        run = F.size(F.array_intersect(unit["grams"], sentence)) / F.size(sentence)
+        share = F.when(unit["sentence"] < 0, whole).when(F.get(sentence_family, unit["sentence"]) == unit["family"], run)
         return F.struct(unit["at"].alias("paragraph"), F.get(names, unit["family"]).alias("family"),
-                        unit["probability"].alias("probability"), share.alias("share"))
+                        unit["probability"].alias("probability"), F.coalesce(share, F.lit(0.0)).alias("share"))
 
-    units = F.transform(paragraphs(F.col(text_col)), lambda p, i: F.struct(i.alias("at"), ngrams(p).alias("grams")))
-    with_hits = F.filter(F.transform(units, judged), lambda u: u["hits"] > 0)
-    likely = F.filter(F.transform(with_hits, decided), lambda u: (u["family"] != unknown) & (u["probability"] >= model.floor))
-    found = F.filter(F.transform(likely, confirmed), lambda u: u["share"] >= confirm)
+    units = F.transform(
+        paragraphs(F.col(text_col)), lambda p, i: F.struct(i.alias("at"), p.alias("text"), ngrams(p).alias("grams"))
+    )
+    with_hits = F.filter(F.transform(units, looked_up), lambda u: F.size(u["hits"]) > 0)
+    near = F.filter(F.transform(with_hits, compared), lambda u: u["whole"] | (F.size(u["near"]) > 0))
+    scored = F.filter(F.transform(F.flatten(F.transform(near, candidates)), judged), lambda u: u["hits"] > 0)
+    likely = F.filter(F.transform(scored, decided), lambda u: (u["family"] != unknown) & (u["probability"] >= model.floor))
+    every = F.filter(F.transform(likely, confirmed), lambda u: u["share"] >= confirm)
+    # several sentences of a family may be found in a paragraph; the one of most probability stays
+    kept = once(F.reverse(F.array_sort(every)), lambda rows: F.filter(rows, lambda u, i: (i == 0) | ~F.coalesce(
+        (F.get(rows, i - 1)["paragraph"] == u["paragraph"]) & (F.get(rows, i - 1)["family"] == u["family"]), F.lit(False))))
+    found = F.reverse(kept)
     scanned = docs.select(F.col(id_col), found.alias("found"))
     families = F.array_sort(F.array_distinct(F.transform("found", lambda u: u["family"])))
     return scanned.select(
         id_col,
         F.when(F.size("found") > 0, F.array_join(families, ",")).alias("licenses"),
-        F.size("found").alias("n_paragraphs"),
+        F.size(F.array_distinct(F.transform("found", lambda u: u["paragraph"]))).alias("n_paragraphs"),
         F.coalesce(F.array_max(F.transform("found", lambda u: u["probability"])), F.lit(0.0)).alias("score"),
         "found",
     )

@@ -281,3 +281,22 @@ def test_license_scan(spark):
     got = {r.doc_id: r.licenses for r in licenses.scan(frame, model).collect()}
     assert got == {i: want for i, (_, want) in cases.items()}
     assert licenses.scan(frame.limit(0), model).count() == 0
+
+
+def test_license_notices_among_other_words(spark):
+    model = licenses.fit(spark, variants=8)
+    filler = sentence(1, 50)
+    cases = {
+        1: ("Licensed under the Apache License, Version 2.0 (see the LICENSE file for details)", "apache-2.0"),
+        2: ("The code in this repository is licensed under the MIT License, see LICENSE for more", "mit"),
+        3: ("This package is distributed by its authors and released under the MIT License", "mit"),
+        4: ("(c) 2021 Foo Media Group, all rights reserved", "proprietary"),
+        5: (f"{filler} Licensed under the Apache License, Version 2.0 {filler}", "apache-2.0"),
+        6: (f"{filler} released under the MIT License or licensed under the Apache License, Version 2.0 {filler}", "apache-2.0,mit"),
+        7: (f"{filler} This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License {filler}", "cc-by-sa"),
+        8: (f"{filler} the children were under the table and all had rights reserved {filler}", None),
+    }
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(frame, model).collect()}
+    assert {i: r.licenses for i, r in got.items()} == {i: want for i, (_, want) in cases.items()}
+    assert [got[i].n_paragraphs for i in range(1, 9)] == [1] * 7 + [0] and len(got[6].found) == 2
