@@ -4,11 +4,13 @@ Three dimensions (id, text size, source) are quantised to a few bits each, every
 the Hilbert curve, and the order by that index is cut into runs whose row counts differ by one at most. Rows near in
 all dimensions share a shard, so the minima and maxima of its files prune scans on any of them.
 
-No row set is sorted as a whole: the cells (2^15 at most) are counted, large cells are split by a hash into parts of
-some 100,000 rows, and a row's place is the start of its part plus its rank there.
+The cells (2^15 at most) are counted, large cells are split by a hash into parts of some 100,000 rows, and a row's
+place is the start of its part plus its rank there. Whole rows move once, dealt by ranges of parts, and each task
+writes the shards its range covers.
 
-Edge cases: null ids and null sources take the first step of their dimension, a null text has no bytes. Rows that
-repeat everything are interchangeable. An empty table gives no rows. Other columns are not read.
+Edge cases: null ids and null sources take the first step of their dimension, a null text has no bytes. Rows are
+never looked up by id, so repeated and null ids are written like any others. Rows that repeat id and text are
+interchangeable. An empty table gives no rows. ``docs`` is read several times and must be the same each time.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesieve.llm.common import stage
+from rolesieve.llm.common import new_folder, stage
 
 DIMENSIONS = 3
 BITS = 5
@@ -78,16 +80,16 @@ def _steps(value: Column, low: float, high: float, bits: int) -> Column:
     return F.coalesce(F.greatest(F.lit(0), F.least(raw, F.lit((1 << bits) - 1))), F.lit(0)).cast("int")
 
 
+def _size(text: Column) -> Column:
+    return (F.octet_length(F.coalesce(text, F.lit(""))) + 8).cast("long")
+
+
+def _crc32(text: Column) -> Column:
+    return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+
+
 def curve_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, size, text_crc32, spread and cell of every row; staged, since it is read three times."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(F.col(id_col), text).alias("spread"),
-    )
+    """id, text_crc32, spread, cell and the whole ``row`` of every row."""
     ends = docs.agg(F.min(id_col), F.max(id_col)).first()
     sources = docs.select(F.col(source_col).alias("source")).distinct()
     order = Window.orderBy(F.col("source").asc_nulls_first())
@@ -98,19 +100,33 @@ def curve_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
         .alias("n"),
     )
     ranked = ranked.select("named", F.floor((F.col("rank") - 1) * (1 << BITS) / F.col("n")).cast("int").alias("z"))
-    x = _steps(F.col("id"), float(ends[0] or 0), float(ends[1] or 0) + 1, BITS)
-    y = _steps(F.log2(F.col("size")), 3.0, 27.0, BITS)
-    placed = rows.join(ranked, F.col("source").eqNullSafe(F.col("named")), "left").withColumns({"x": x, "y": y})
-    cell = hilbert_index(F.col("x"), F.col("y"), F.col("z"))
-    return stage(placed.select("id", "size", "text_crc32", "spread", cell.alias("cell")), "curve-rows")
+    # the first source of each step, 2^BITS rows at most
+    firsts = ranked.groupBy("z").agg(F.min("named").alias("first")).filter("first IS NOT NULL").collect()
+    source, text = F.col(source_col), F.col(text_col)
+    z = F.greatest(F.lit(0), F.lit(0), *[F.when(source >= F.lit(r["first"]), F.lit(r["z"])) for r in firsts])
+    x = _steps(F.col(id_col), float(ends[0] or 0), float(ends[1] or 0) + 1, BITS)
+    y = _steps(F.log2(_size(text)), 3.0, 27.0, BITS)
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        _crc32(text).alias("text_crc32"),
+        F.xxhash64(F.col(id_col), F.coalesce(text, F.lit(""))).alias("spread"),
+        F.struct(x.alias("x"), y.alias("y"), z.alias("z")).alias("at"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    return rows.select("id", "text_crc32", "spread", hilbert_index(F.col("at.x"), F.col("at.y"), F.col("at.z")).alias("cell"), "row")
 
 
-def global_place(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``place``, 0 to n - 1 in the order of (cell, part, spread, id)."""
-    cells = rows.groupBy("cell").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+def global_place(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with ``place``, 0 to n - 1 in the order of (cell, part, spread, id), dealt by ranges of it; and n."""
+    narrow = stage(rows.select("cell", "spread"), "curve-cells")
+    cells = narrow.groupBy("cell").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
     # at most 2^15 rows
-    split = rows.join(F.broadcast(cells), "cell").withColumn("part", F.pmod("spread", F.col("parts"))).drop("parts")
-    counts = split.groupBy("cell", "part").agg(F.count("*").alias("n"))
+    cells = stage(cells, "curve-parts")
+
+    def parted(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(cells), "cell").withColumn("part", F.pmod("spread", F.col("parts"))).drop("parts")
+
+    counts = parted(narrow).groupBy("cell", "part").agg(F.count("*").alias("n"))
     counts = counts.withColumn("region", F.floor(F.col("cell") / 256))
     within = Window.partitionBy("region").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0)))
@@ -121,16 +137,18 @@ def global_place(rows: DataFrame) -> DataFrame:
     starts = starts.join(F.broadcast(regions), "region").select(
         "cell", "part", (F.col("start") + F.col("offset")).alias("start")
     )
+    starts = stage(starts, "curve-starts")
+    # at most a row for each cell and one for each PART_ROWS rows
+    dealt = parted(rows).join(F.broadcast(starts), ["cell", "part"]).repartitionByRange("cell", "part")
     rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("spread", "id", "text_crc32"))
-    ranked = split.withColumn("rank", rank).join(starts, ["cell", "part"])
-    return ranked.withColumn("place", F.col("start") + F.col("rank") - 1)
+    return dealt.withColumn("place", F.col("start") + rank - 1), narrow.count()
 
 
-def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
-               source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard, cell."""
-    placed = global_place(curve_rows(docs, id_col, text_col, source_col))
-    total = docs.count()
+def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
+                 source_col: str = "source") -> DataFrame:
+    """``docs`` as one folder of Parquet per shard, each file in curve order; returns the table that was written: the
+    columns of ``docs``, _slot (the place in the shard), _cell and shard."""
+    placed, total = global_place(curve_rows(docs, id_col, text_col, source_col))
     base, longer = divmod(total, shards)
     edge = longer * (base + 1)
     place = F.col("place")
@@ -139,22 +157,22 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
     if base:
         shard = shard.otherwise(longer + F.floor((place - edge) / base))
         slot = slot.otherwise((place - edge) % base)
-    return placed.select(
-        F.col("id").alias(id_col),
-        "size",
-        "text_crc32",
+    laid = placed.select("row.*", slot.cast("long").alias("_slot"), F.col("cell").alias("_cell"), shard.cast("int").alias("shard"))
+    laid.sortWithinPartitions("shard", "_slot").write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(laid.schema).parquet(path)
+
+
+def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
+               source_col: str = "source") -> DataFrame:
+    """Writes the shards and gives one row per row in them: id, size, text_crc32, law, shard, slot, grown_shard, cell."""
+    written = write_shards(docs, new_folder(docs.sparkSession, "hilbert-shards"), shards, id_col, text_col, source_col)
+    return written.select(
+        id_col,
+        _size(F.col(text_col)).alias("size"),
+        _crc32(F.col(text_col)).alias("text_crc32"),
         F.lit("rows").alias("law"),
-        shard.cast("int").alias("shard"),
-        slot.cast("long").alias("slot"),
+        "shard",
+        F.col("_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        "cell",
+        F.col("_cell").alias("cell"),
     )
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", **columns: str) -> None:
-    """``docs`` as one folder of Parquet per shard, each in curve order. Rows find their shard by id, so ids must be
-    unique."""
-    where = shard_rows(docs, shards, id_col, **columns).select(F.col(id_col).alias("_id"), "shard", "slot")
-    laid = docs.join(where, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    ordered = laid.repartition(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot")
-    ordered.write.partitionBy("shard").parquet(path)

@@ -250,6 +250,20 @@ def test_shards_and_curve(spark, docs):
     assert sharding.shard_rows(docs.limit(0)).count() == 0 and len(sharding.shard_rows(docs.limit(3)).collect()) == 3
 
 
+def test_shards_hold_every_row_once(spark, docs, tmp_path):
+    """Also where ids repeat or are null."""
+    hot = [(None if k % 2 else 7, sentence(k % 3, 20), "en", f"s{k % 2}", k, "x", "y") for k in range(60)]
+    frame = docs.unionByName(spark.createDataFrame(hot, SCHEMA))
+    sharding.write_shards(frame, str(tmp_path / "shards"), shards=5)
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    rows = written.collect()
+    assert Counter(tuple(r[c] for c in frame.columns) for r in rows) == Counter(map(tuple, frame.collect()))
+    assert sorted(Counter(r.shard for r in rows).values()) == [15, 15, 15, 15, 16]
+    in_order = sorted(rows, key=lambda r: (r.shard, r._slot))
+    assert [r._cell for r in in_order] == sorted(r._cell for r in rows)
+    assert len({(r.shard, r._slot) for r in rows}) == len(rows)
+
+
 def test_url_rules_and_model(spark):
     rows = [(1, "http://EXAMPLE.com/en/x?q#f"), (2, "https://www.example.com/en/"), (3, "http://a.net/es/1"), (4, "http://a.net"), (5, None), (6, "no scheme"), (7, "http://xcom/"), (8, "ftp://é.com/p://q")]
     pages = spark.createDataFrame([(i, u, "h") for i, u in rows], "page_id long, url string, host string")
