@@ -12,7 +12,8 @@ full once that is few pairs (or a round of hubs took away less than a fifth of i
 not change it. Pairs whose sketches agree in fewer than 36 of the 64 samples are not verified: two texts of similarity 0.8
 do so once in some 10^5 pairs.
 
-Document frequencies are counted over all documents, in 2^18 hashed counters, which are the only thing sent around.
+Document frequencies are counted for each word, over all documents. Those of the 2^18 most frequent words are sent
+around; those of all other words stay a table and are joined to the texts that hold them.
 
 Edge cases: a null text counts as empty; texts without words are equal to each other; a text of fewer than five words
 is one shingle; a null id takes part, and the class id is the smallest id of the class (null if it has none); rows
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,8 @@ from rolesieve.llm.common import SPACES, stage
 SHINGLE = 5
 THRESHOLD = 0.8
 SAMPLES, BAND = 64, 4
-COUNTERS = 1 << 18
+#: Words whose document frequencies are sent to every worker; a bound on memory, not on the words counted.
+SENT_WORDS = 1 << 18
 #: Rows of the tables of random numbers; a shingle takes the row of its hash.
 DRAWS = 1 << 16
 CACHED_WORDS = 400_000
@@ -89,13 +92,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def weighted_shingles(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Frequencies:
+    """Documents, the sorted hashes of the most frequent words with their document frequencies, and, if there are
+    further words, node, words and counts (as bytes) of all texts that hold some."""
+
+    documents: int
+    words: np.ndarray
+    counts: np.ndarray
+    others: DataFrame | None = None
+
+    def sent(self) -> Frequencies:
+        return Frequencies(self.documents, self.words, self.counts)
+
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word stands among those sent around, and whether it is one of them."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return at, self.words[at] == hashes
+
+    def idf(self, hashes: np.ndarray, others: tuple[bytes, bytes] | None) -> np.ndarray:
+        """Inverse document frequency of each word of a text; ``others`` has the words that were not sent."""
+        at, sent = self.known(hashes)
+        counts = np.where(sent, self.counts[at] if len(self.counts) else 0, 0)
+        if not sent.all():
+            if others is None:
+                raise ValueError("a word without a document frequency: the documents changed between two reads")
+            words, n = np.frombuffer(others[0], np.uint64), np.frombuffer(others[1], np.int64)
+            rest = hashes[~sent]
+            where = np.minimum(np.searchsorted(words, rest), len(words) - 1)
+            if (words[where] != rest).any():
+                raise ValueError("a word without a document frequency: the documents changed between two reads")
+            counts[~sent] = n[where]
+        return (1 + np.log((1 + self.documents) / (1 + counts))).astype(np.float32)
+
+
+def weighted_shingles(text: str | None, idf: Frequencies, others: tuple[bytes, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles in order, and their weights."""
     words = (text or "").encode("utf-8", "replace").split()
     if not words:
         return np.array([], np.uint64), np.array([], np.float32)
     hashes = _hashes.of(words)
-    value = idf[hashes % np.uint64(COUNTERS)]
+    value = idf.idf(hashes, others)
     n = max(1, len(words) - SHINGLE + 1)
     width = min(SHINGLE, len(words))
     shingles, mean = np.zeros(n, np.uint64), np.zeros(n)
@@ -141,62 +180,100 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - least)
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
-    """The inverse document frequency of each counter."""
+def document_frequencies(docs: DataFrame, text_col: str) -> Frequencies:
+    """The exact document frequencies of all words."""
+
+    def distinct(text: str | None) -> np.ndarray:
+        return _hashes.of(list(set((text or "").encode("utf-8", "replace").split())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, documents = np.zeros(COUNTERS, np.int64), 0
         for part in batches:
-            for text in part.column(0).to_pylist():
-                words = list(set((text or "").encode("utf-8", "replace").split()))
-                seen[np.unique(_hashes.of(words) % np.uint64(COUNTERS)).astype(np.int64)] += 1
-                documents += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], documents))], ["at", "n"])
-
-    counted = docs.select(text_col).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    frequencies, total = np.zeros(COUNTERS), 0
-    for at, n in zip(*[c.to_numpy() for c in counted.toArrow().columns], strict=True):  # COUNTERS rows at most
-        if at < 0:
-            total = int(n)
-        else:
-            frequencies[at] = n
-    return (1 + np.log((1 + total) / (1 + frequencies))).astype(np.float32)
+            words = [distinct(text) for text in part.column(0).to_pylist()]
+            found, n = np.unique(np.concatenate([*words, np.array([], np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    counted = docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = stage(counted, "word-counts")
+    top = counted.orderBy(F.desc("n"), "word").limit(SENT_WORDS).toArrow()  # SENT_WORDS rows at most
+    words, counts = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(words)
+    frequencies = Frequencies(docs.count(), words[order], counts[order])
+    if counted.count() <= SENT_WORDS:
+        return frequencies
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            found = [distinct(text) for text in part.column(1).to_pylist()]
+            found = [w[~shared.value.known(w)[1]] for w in found]
+            nodes = pa.array(part.column(0)).take(pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found])))
+            joined = np.concatenate([*found, np.array([], np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(joined)], ["node", "word"])
+
+    # a word that was not sent is in few texts; equal texts are one node
+    held = docs.select(node(F.col(text_col)).alias("node"), text_col).mapInArrow(rare, "node string, word long").distinct()
+    lists = held.join(counted, "word").groupBy("node").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            words, counts = [], []
+            for found in part.column(1).to_pylist():
+                hashes = np.array([f["word"] for f in found], np.int64).view(np.uint64)
+                order = np.argsort(hashes)
+                words.append(hashes[order].tobytes())
+                counts.append(np.array([f["n"] for f in found], np.int64)[order].tobytes())
+            arrays = [part.column(0), pa.array(words, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "words", "counts"])
 
+    frequencies.others = stage(lists.mapInArrow(packed, "node string, words binary, counts binary"), "rare-words")
+    return frequencies
 
-def sketches(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+
+def with_rare_words(rows: DataFrame, idf: Frequencies) -> DataFrame:
+    """``rows``, which have a node, with the words and counts that were not sent to the workers."""
+    if idf.others is None:
+        return rows.withColumns({c: F.lit(None).cast("binary") for c in ("words", "counts")})
+    return rows.join(idf.others, "node", "left").select(*rows.columns, "words", "counts")
+
+
+def _others(part: pa.RecordBatch) -> list[tuple[bytes, bytes] | None]:
+    both = zip(part.column("words").to_pylist(), part.column("counts").to_pylist(), strict=True)
+    return [None if words is None else (words, counts) for words, counts in both]
+
+
+def sketches(docs: DataFrame, idf: Frequencies, id_col: str, text_col: str) -> DataFrame:
     """id, node and the sketch (no samples for a text without words) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared = docs.sparkSession.sparkContext.broadcast(idf.sent())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rows = []
-            for text in part.column(2).to_pylist():
-                shingles, weights = weighted_shingles(text, shared.value)
+            for text, others in zip(part.column(2).to_pylist(), _others(part), strict=True):
+                shingles, weights = weighted_shingles(text, shared.value, others)
                 rows.append(sketch(shingles, weights) if len(shingles) else None)
             lists = pa.array(rows, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "node", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), node(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, node string, sketch array<int>")
+    return with_rare_words(rows, idf).mapInArrow(run, f"id {kind}, node string, sketch array<int>")
 
 
-def vectors(docs: DataFrame, nodes: DataFrame, idf: np.ndarray, text_col: str) -> DataFrame:
+def vectors(docs: DataFrame, nodes: DataFrame, idf: Frequencies, text_col: str) -> DataFrame:
     """node, shingles and weights of ``nodes``."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    shared = docs.sparkSession.sparkContext.broadcast(idf.sent())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            sets = [weighted_shingles(text, shared.value) for text in part.column(1).to_pylist()]
+            texts = zip(part.column(1).to_pylist(), _others(part), strict=True)
+            sets = [weighted_shingles(text, shared.value, others) for text, others in texts]
             arrays = [pa.array([s[i].tobytes() for s in sets], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["node", "shingles", "weights"])
 
     texts = docs.select(node(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
     one = F.row_number().over(Window.partitionBy("node").orderBy(F.lit(0)))
-    return texts.withColumn("rank", one).filter("rank = 1").select("node", "text").mapInArrow(
-        run, "node string, shingles binary, weights binary"
-    )
+    first = texts.withColumn("rank", one).filter("rank = 1").select("node", "text")
+    return with_rare_words(first, idf).mapInArrow(run, "node string, shingles binary, weights binary")
 
 
 def verified(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:

@@ -101,6 +101,27 @@ def test_near_classes_equal_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+@pytest.mark.parametrize("sent", [1 << 18, 50])
+def test_word_weights_are_exact(spark, monkeypatch, sent):
+    """Also of words beyond those sent around, and where there are more words than any fixed number of counters."""
+    monkeypatch.setattr(minhash, "SENT_WORDS", sent)
+    texts = [" ".join(f"v{k * 40_000 + i}" for i in range(40_000)) for k in range(8)] if sent > 50 else [sentence(k, 90) for k in range(8)]
+    texts += ["the v1 v2", texts[0] + " the", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    documents = Counter(w for t in texts for w in set((t or "").split()))
+    idf = minhash.document_frequencies(frame, "text")
+    assert (idf.others is None) == (len(documents) <= sent)
+    rows = frame.select(minhash.node(F.col("text")).alias("node"), "text")
+    for r in minhash.with_rare_words(rows, idf).collect():
+        words = (r.text or "").split()
+        hashes = minhash._hashes.of([w.encode() for w in words])
+        got = idf.idf(hashes, None if r.words is None else (r.words, r.counts))
+        assert np.allclose(got, [1 + np.log((1 + len(texts)) / (1 + documents[w])) for w in words])
+    if sent == 50:
+        got = {r.doc_id: r.class_id for r in minhash.near_classes(frame).collect()}
+        assert got[0] == got[9] == 0 and got[10] == got[11] == 10 and len(set(got.values())) == 10
+
+
 def test_near_classes_with_odd_rows(docs):
     got = minhash.near_classes(docs)
     assert got.count() == len(TEXTS) and minhash.near_classes(docs.limit(0)).count() == 0
