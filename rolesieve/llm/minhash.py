@@ -313,6 +313,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, class_id, class_size (rows) and node (the identity of its words)."""
+    return labelled_classes(docs, id_col, text_col, threshold).drop("label")
+
+
+def labelled_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``near_classes`` with the label of the class, which no other class has."""
     idf = document_frequencies(docs, text_col)
     rows = stage(sketches(docs, idf, id_col, text_col), "sketches")
     nodes = rows.groupBy("node").agg(F.first("sketch").alias("sketch"))
@@ -379,16 +384,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if labels is not None:
         labelled = rows.select("id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return labelled.join(classes, "label").select(F.col("id").alias(id_col), "class_id", "class_size", "node")
+    return labelled.join(classes, "label").select(F.col("id").alias(id_col), "class_id", "class_size", "node", "label")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id, all columns as they are."""
-    classes = near_classes(docs, id_col, text_col, **options)
-    stay = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_id"), F.col("node").alias("_node"))
+    classes = labelled_classes(docs, id_col, text_col, **options)
+    # rows of a class share class_id, but so may classes without ids or with the same id: the label tells them apart
+    first = Window.partitionBy("label").orderBy(F.col(id_col).asc_nulls_last(), "node")
+    stay = classes.withColumn("rank", F.row_number().over(first)).filter("rank = 1")
+    stay = stay.select(F.col(id_col).alias("_id"), F.col("node").alias("_node"))
     marked = docs.withColumn("_words", node(F.col(text_col)))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_node"))
     # rows that repeat the id and the words are one document
     one = F.row_number().over(Window.partitionBy(id_col, "_words").orderBy(F.lit(0)))
-    kept = marked.join(stay.distinct(), same, "left_semi").withColumn("_rank", one)
+    kept = marked.join(stay, same, "left_semi").withColumn("_rank", one)
     return kept.filter("_rank = 1").drop("_words", "_rank")

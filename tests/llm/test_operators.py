@@ -127,6 +127,14 @@ def test_near_classes_with_odd_rows(docs):
     assert got.count() == len(TEXTS) and minhash.near_classes(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_where_ids_repeat_or_are_null(spark):
+    a, b, c = ([*sentence(k, 200).split()] for k in range(3))
+    near = lambda words, k: " ".join([*words[:-1], f"end{k}"])
+    rows = [(1, near(a, 0)), (1, near(a, 1)), (1, near(a, 2)), (None, near(b, 0)), (None, near(b, 1)), (1, near(c, 0)), (2, near(c, 1))]
+    kept = minhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.split()[0]) for r in kept) == sorted([(1, a[0]), (0, b[0]), (1, c[0])])
+
+
 def test_nearest_equals_brute_force(spark):
     random = np.random.default_rng(5)
     vectors = random.normal(size=(300, 8)).astype(np.float32)
