@@ -129,10 +129,21 @@ ld AS (
   status_code, error, body, raw_title, d AS raw_description, t, c, ordered_on
  FROM readable
 ),
+-- all postings in a page's blocks; every eighth page has two more
+found AS (
+ SELECT k, url, 0 AS pos, title, description, company, location, date_posted, date_posted_confidence, apply_url,
+  employment_type FROM ld WHERE k % 8 <= 5
+ UNION ALL
+ SELECT k, url, 1, 'Second ' || k, '', 'Text Co ' || k, 'Lyon, France', DATE '2024-01-31', 'exact', NULL, ''
+ FROM ld WHERE k % 8 = 2
+ UNION ALL
+ SELECT k, url, 2, 'Third ' || k, '', '', 'Paris, FR', NULL, 'unknown', 'https://apply.example.com/third', 'FULL_TIME'
+ FROM ld WHERE k % 8 = 2
+),
 visits AS (
- SELECT k AS seq, * FROM ld WHERE k % 10 <> 7
+ SELECT k AS seq, 0 AS page, * FROM ld
  UNION ALL
- SELECT k + 1 AS seq, * REPLACE ('{URL_PREFIX}P/' || k AS url) FROM ld WHERE k % 10 = 6
+ SELECT k AS seq, 1 AS page, * REPLACE ('{URL_PREFIX}P/' || k AS url) FROM ld WHERE k % 10 = 6
 ),
 marked AS (SELECT *, error <> '' OR status_code BETWEEN 400 AND 599 AS blocked FROM visits),
 extracted AS (
@@ -144,12 +155,12 @@ extracted AS (
   CASE WHEN blocked THEN 'unknown' ELSE date_posted_confidence END AS date_posted_confidence,
   -- the page's own URL under /P/ differs from the one it names
   CASE WHEN NOT blocked THEN coalesce(apply_url,
-   CASE WHEN k % 10 = 6 AND seq <> k AND k % 8 <= 5 THEN '{URL_PREFIX}p/' || k || '/' END) END AS apply_url,
+   CASE WHEN page = 1 AND k % 2 = 0 AND k % 8 <= 5 THEN '{URL_PREFIX}p/' || k || '/' END) END AS apply_url,
   CASE WHEN blocked THEN '' ELSE employment_type END AS employment_type)
  FROM marked
 ),
 built AS (
- SELECT ((seq % 40) << 43) + CAST(floor(seq / 40.0) AS BIGINT) AS order_key, url AS posting_url,
+ SELECT ((seq % 40) << 43) + (page::BIGINT << 30) + CAST(floor(seq / 40.0) AS BIGINT) AS order_key, url AS posting_url,
   coalesce(nullif(title, ''), trim(raw_title)) AS title,
   CASE WHEN company <> '' THEN company WHEN fallback THEN 'Unknown' ELSE '' END AS company,
   CASE WHEN location <> '' THEN location WHEN fallback THEN 'Unknown' ELSE '' END AS location,
@@ -162,6 +173,44 @@ run_seen AS (
 )
 """
 
+# The text of each block, put together piece by piece.
+BLOCKS = f"""{PAGES},
+pieces AS (
+ SELECT seq AS k, '{URL_PREFIX}p/' || seq AS url, strftime(date_posted, '%Y-%m-%d') AS day, contains(location, ', ') AS two, *
+ FROM fx WHERE seq % 8 <= 5
+),
+bodies AS (
+ SELECT k, url,
+  '{{"@context":"https://schema.org","@type":' || CASE k % 16 WHEN 4 THEN '[["JobPosting"],["Thing"]]' WHEN 12 THEN
+   '["JobPosting","Thing"]' WHEN 5 THEN '"schema:JobPosting"' WHEN 13 THEN '"schema:JobPosting"' ELSE '"JobPosting"' END
+  || ',"title":' || to_json(title) || ',"description":' || to_json(description)
+  || coalesce(',"datePosted":"' || CASE k % 4 WHEN 0 THEN day WHEN 1 THEN day || 'T09:00:00Z'
+   WHEN 2 THEN day || 'T23:30:00.250-05:00' ELSE strftime(date_posted, '%Y%m%d') END || '"', '')
+  || CASE WHEN k % 16 = 0 THEN ',"baseSalary":NaN,"bounds":[-Infinity,Infinity]' ELSE '' END
+  || ',"employmentType":"INTERN","hiringOrganization":{{' || coalesce('"name":' || to_json(nullif(company, '')), '') || '}}'
+  || ',"jobLocation":' || CASE WHEN k % 3 = 0 THEN '[' ELSE '' END || '{{"@type":"Place","address":{{' ||
+   CASE WHEN two THEN '"addressLocality":' || to_json(split_part(location, ', ', 1)) || ',"addressRegion":'
+    || to_json(split_part(location, ', ', 2)) || ',"addressCountry":"US"'
+   ELSE coalesce('"addressCountry":' || to_json(nullif(location, '')), '') END
+  || '}}}}' || CASE WHEN k % 3 = 0 THEN ']' ELSE '' END
+  || ',"url":"' || CASE WHEN k % 2 = 0 THEN '{URL_PREFIX}p/' || k || '/' ELSE 'https://apply.example.com/' || k END || '"'
+  || CASE WHEN k % 8 = 5 THEN ',"jobLocationType":"TELECOMMUTE"' ELSE '' END || '}}' AS body, trim(title) AS title
+ FROM pieces
+),
+blocks AS (
+ SELECT k, url, CASE WHEN k % 8 = 3 THEN 1 ELSE 0 END AS blk, CASE k % 8
+  WHEN 1 THEN '{{"@graph":[{{"@type":"WebPage","name":"Careers"}},' || body || ']}}'
+  WHEN 2 THEN '[{{"@type":"BreadcrumbList"}},[' || body || ',{{"@type":"JobPosting","title":"Second ' || k
+   || '","hiringOrganization":" Text Co ' || k || '","jobLocation":["Lyon, France"],"datePosted":"2024-W05-3"}}],'
+   || '{{"@type":"http://schema.org/JobPosting","title":"Third ' || k || '","jobLocation":{{"address":{{"addressLocality":'
+   || '"Paris","addressCountry":"FR"}}}},"datePosted":"soon","employmentType":"FULL_TIME",'
+   || '"url":"https://apply.example.com/third"}}]'
+  ELSE body END AS raw, CASE WHEN k % 8 IN (1, 2) THEN '' ELSE title END AS title FROM bodies
+ UNION ALL
+ SELECT k, url, 0, '{{ not: json }}', '' FROM bodies WHERE k % 8 = 3
+)
+"""
+
 EXTRACTED = (
     "url, title, company, location, description, date_posted, date_posted_confidence, apply_url, employment_type, "
     "blocked"
@@ -315,26 +364,32 @@ SQL: dict[str, str] = {
     "cap_per_query": f"{SEARCH} SELECT * FROM capped",
     "dedup_by_url": f"{SEARCH} SELECT * FROM search WHERE url <> '' {_FIRST_URL}",
     "cap_results": f"{SEARCH} SELECT * FROM search ORDER BY query_rank, page, pos LIMIT {OVERALL}",
+    "first_in_order": f"""{SEARCH} SELECT * FROM search ORDER BY query_rank, page, pos
+        LIMIT (SELECT count(*) // 2 FROM search)""",
+    "merge_search_results_campaigns": f"""{SEARCH}, shared AS (SELECT *, pos % 7 AS campaign_id FROM search),
+        firsts AS (SELECT * FROM shared
+         QUALIFY row_number() OVER (PARTITION BY campaign_id, query_rank ORDER BY page, pos) <= {PER_QUERY}),
+        distinct_urls AS (SELECT * FROM firsts WHERE url <> ''
+         QUALIFY row_number() OVER (PARTITION BY campaign_id, url ORDER BY query_rank, page, pos) = 1)
+        SELECT * FROM distinct_urls
+        QUALIFY row_number() OVER (PARTITION BY campaign_id ORDER BY query_rank, page, pos) <= {PER_QUERY}""",
     "merge_search_results": f"""{SEARCH} SELECT * FROM (SELECT * FROM capped WHERE url <> '' {_FIRST_URL})
         ORDER BY query_rank, page, pos LIMIT {PER_QUERY}""",
     # extraction
-    "jsonld_blocks": f"""{PAGES} SELECT url, CAST(blk AS INTEGER) AS blk, CASE WHEN shape = 3 AND blk = 0 THEN 'broken'
-        ELSE 'posting' END AS kind FROM (SELECT url, k % 8 AS shape, unnest(range(CASE WHEN k % 8 = 3 THEN 2
-        WHEN k % 8 <= 5 THEN 1 ELSE 0 END)) AS blk FROM ld)""",
-    "jsonld_parse": f"""{PAGES} SELECT url, CAST(blk AS INTEGER) AS blk, NOT (shape = 3 AND blk = 0) AS parsed
-        FROM (SELECT url, k % 8 AS shape, unnest(range(CASE WHEN k % 8 = 3 THEN 2
-        WHEN k % 8 <= 5 THEN 1 ELSE 0 END)) AS blk FROM ld)""",
+    "jsonld_blocks": f"{BLOCKS} SELECT url, CAST(blk AS INTEGER) AS blk, raw FROM blocks",
+    "jsonld_parse": f"""{BLOCKS} SELECT url, CAST(blk AS INTEGER) AS blk, raw <> '{{ not: json }}' AS parsed, title
+        FROM blocks""",
     "is_job_posting_type": f"""{PAGES} SELECT url, CAST(CASE WHEN k % 8 = 3 THEN 1 ELSE 0 END AS INTEGER) AS blk,
         k % 8 NOT IN (1, 2) AS is_posting FROM ld WHERE k % 8 <= 5""",
     "jsonld_walk": f"""{PAGES} SELECT url, CAST(CASE WHEN k % 8 = 3 THEN 1 ELSE 0 END AS INTEGER) AS blk,
-        CAST(0 AS INTEGER) AS pos, title FROM ld WHERE k % 8 <= 5""",
-    "first_job_posting": f"{PAGES} SELECT url, title FROM ld WHERE k % 8 <= 5",
-    "field_text": f"{PAGES} SELECT url, title, description FROM ld WHERE k % 8 <= 5",
-    "parse_company": f"{PAGES} SELECT url, company FROM ld WHERE k % 8 <= 5",
-    "parse_location": f"{PAGES} SELECT url, location FROM ld WHERE k % 8 <= 5",
-    "parse_date": f"{PAGES} SELECT url, date_posted, date_posted_confidence FROM ld WHERE k % 8 <= 5",
-    "parse_apply_url": f"{PAGES} SELECT url, apply_url FROM ld WHERE k % 8 <= 5",
-    "parse_employment_type": f"{PAGES} SELECT url, employment_type FROM ld WHERE k % 8 <= 5",
+        CAST(pos AS INTEGER) AS pos, title FROM found""",
+    "first_job_posting": f"{PAGES} SELECT url, title FROM found WHERE pos = 0",
+    "field_text": f"{PAGES} SELECT url, title, description FROM found",
+    "parse_company": f"{PAGES} SELECT url, company FROM found",
+    "parse_location": f"{PAGES} SELECT url, location FROM found",
+    "parse_date": f"{PAGES} SELECT url, date_posted, date_posted_confidence FROM found",
+    "parse_apply_url": f"{PAGES} SELECT url, apply_url FROM found",
+    "parse_employment_type": f"{PAGES} SELECT url, employment_type FROM found",
     "meta_fallback": rf"""SELECT url, {TITLE_TEXT} AS title, '' AS company, '' AS description FROM pages""",
     "meta_fallback_open_graph": f"""{PAGES} SELECT url, CASE WHEN k % 8 = 6 THEN title ELSE '' END AS title,
         CASE WHEN k % 8 = 6 THEN company ELSE '' END AS company,
@@ -371,6 +426,9 @@ SQL: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY hash ORDER BY seq) = 1""",
     "dedup_unseen": f"{P} SELECT seq, hash FROM p WHERE hash NOT IN (SELECT hash FROM seen)",
     "seen_count": f"{P} SELECT count(DISTINCT hash) AS seen_count FROM p",
+    "dedup_unseen_state": f"{P} SELECT seq, hash FROM p WHERE hash NOT IN (SELECT hash FROM seen)",
+    "compact_seen": f"{P} SELECT DISTINCT hash FROM p",
+    "seen_count_state": f"{P} SELECT count(DISTINCT hash) AS seen_count FROM p",
     "update_seen": f"""{P} SELECT hash FROM seen UNION
         SELECT hash FROM p WHERE {RECENT.format(days=365)}""",
     "new_hashes": f"{P} SELECT DISTINCT hash FROM p WHERE hash NOT IN (SELECT hash FROM seen)",
@@ -409,6 +467,9 @@ SQL: dict[str, str] = {
         SELECT {export_columns(AS_OF)} FROM firsts WHERE hash NOT IN (SELECT hash FROM target)""",
     "run_pipeline": f"""{RUN} finished AS (SELECT *, 'unknown' AS active_status, '' AS active_reason FROM labelled)
         SELECT {RUN_COLUMNS} FROM finished""",
+    "upsert_concurrent": f'{P} SELECT DISTINCT hash AS "Hash" FROM p',
+    "run_pipeline_recrawled": f"""{RUN} finished AS (SELECT *, 'unknown' AS active_status, '' AS active_reason
+        FROM labelled) SELECT {RUN_COLUMNS} FROM finished""",
     "run_pipeline_selected": _SELECTED,
     "run_pipeline_state": f"{RUN} state AS (SELECT hash FROM fresh) SELECT hash FROM state",
     "execute_run": f"""{RUN} earlier AS (SELECT 1)
@@ -418,3 +479,4 @@ SQL: dict[str, str] = {
         SELECT {export_columns(AS_OF, category='category', apply="coalesce(apply_url, '')", source="'brave'",
         label='track_match')} FROM labelled""",
 }
+SQL["keyed_incremental_run"] = SQL["incremental_run"]

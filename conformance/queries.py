@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from rolesieve.functions.hashing import posting_hash
 from rolesieve.functions.scoring import score_track
 from rolesieve.functions.text import kw_match
 from rolesieve.functions.verdict import active_verdict, apply_signal, closed_signal, fetch_error_verdict
-from rolesieve.operators import active, classify, dedup, extraction, filters, postings, search
+from rolesieve.operators import active, classify, dedup, extraction, filters, postings, ranking, search
 from rolesieve.options import RunOptions
 from rolesieve.plans.run import execute_run, run_pipeline
 from rolesieve.session import prepare_session, shared_dir, stage_table
@@ -26,6 +28,7 @@ from rolesieve.sources import search_api, seen, target
 from rolesieve.sources.crawl import scan_crawl
 from rolesieve.sources.extracted import extract_new_pages as append_extracted
 from rolesieve.streaming.incremental import incremental_run
+from rolesieve.streaming.keyed import keyed_incremental_run
 
 AS_OF_DATE = dt.date.fromisoformat(AS_OF)
 PLACES = ("New York", "Austin")
@@ -118,6 +121,18 @@ def cap_results(spark, sf_dir):
     return search.cap_results(V.search(spark, sf_dir), OVERALL)
 
 
+@query
+def first_in_order(spark, sf_dir):
+    """Half of the results, in query order, without one task that holds them."""
+    results = V.search(spark, sf_dir)
+    return ranking.first_in_order(results, search.RESULT_ORDER, results.count() // 2)
+
+
+@query
+def merge_search_results_campaigns(spark, sf_dir):
+    return search.merge_search_results(V.campaign_search(spark, sf_dir), PER_QUERY, ["campaign_id"])
+
+
 @query
 def merge_search_results(spark, sf_dir):
     return search.merge_search_results(V.search(spark, sf_dir), PER_QUERY)
@@ -128,15 +143,15 @@ def merge_search_results(spark, sf_dir):
 
 @query
 def jsonld_blocks(spark, sf_dir):
-    kind = F.when(F.contains("raw", F.lit("JobPosting")), F.lit("posting")).otherwise(F.lit("broken"))
-    return extraction.jsonld_blocks(V.ld_pages(spark, sf_dir)).select("url", "blk", kind.alias("kind"))
+    return extraction.jsonld_blocks(V.ld_pages(spark, sf_dir))
 
 
 @query
 def jsonld_parse(spark, sf_dir):
     prepare_session(spark)
     blocks = extraction.jsonld_blocks(V.ld_pages(spark, sf_dir))
-    return blocks.select("url", "blk", J.jsonld_parse(F.col("raw")).isNotNull().alias("parsed"))
+    parsed = blocks.select("url", "blk", J.jsonld_parse(F.col("raw")).alias("v"))
+    return parsed.select("url", "blk", F.col("v").isNotNull().alias("parsed"), J.field_text(F.col("v"), "$.title").alias("title"))
 
 
 @query
@@ -228,10 +243,12 @@ def extract_pages_raw(spark, sf_dir):
 @query
 def extract_new_pages(spark, sf_dir):
     """About half of the pages land first, then all of them; each is in the table once."""
-    path, crawl = _fresh_folder(spark, "extracted"), V.crawl(spark, sf_dir)
-    for landed in (crawl.filter("xxhash64(url) % 2 = 0"), crawl):
-        append_extracted(landed, path)
-    return spark.read.parquet(path).drop("verdict")
+    folder, crawl = _fresh_folder(spark, "extracted"), V.crawl(spark, sf_dir)
+    crawl.write.parquet(f"{folder}/landed")
+    landed = spark.read.parquet(f"{folder}/landed")
+    for part in (landed.filter("xxhash64(url) % 2 = 0"), landed):
+        append_extracted(part, f"{folder}/pages")
+    return spark.read.parquet(f"{folder}/pages").drop("verdict")
 
 
 def _packed(df):
@@ -326,6 +343,41 @@ def seen_count(spark, sf_dir):
     return dedup.seen_count(V.postings(spark, sf_dir), V.seen(spark, sf_dir))
 
 
+def _state(spark, sf_dir):
+    """The state as a table: what an earlier run left in files, compacted, and part of it again as a later batch."""
+    path, earlier = _fresh_folder(spark, "state"), V.seen(spark, sf_dir)
+    earlier.write.parquet(path)
+    seen.compact_seen(spark, path, folder_rows=512)
+    seen.append_seen(earlier.filter("hash < '2'"), path)
+    return path
+
+
+@query
+def dedup_unseen_state(spark, sf_dir):
+    """Looked up in the state's files that may hold a hash of the batch."""
+    path = _state(spark, sf_dir)
+    batch = stage_table(postings.with_hash(V.postings(spark, sf_dir)).select("seq", "hash"), f"batch-{uuid.uuid4().hex}")
+    table = seen.seen_table(spark, path)
+    return dedup.dedup_unseen(batch, dedup.known_in_table(batch, table, table.snapshot())).select("seq", "hash")
+
+
+@query
+def compact_seen(spark, sf_dir):
+    """The state after a run, rewritten as a sorted snapshot."""
+    path = _state(spark, sf_dir)
+    seen.append_seen(V.full_seen(spark, sf_dir), path)
+    seen.compact_seen(spark, path, folder_rows=512)
+    return seen.read_seen(spark, path)
+
+
+@query
+def seen_count_state(spark, sf_dir):
+    """From the manifest; no hash is read."""
+    path = _state(spark, sf_dir)
+    seen.append_seen(V.full_seen(spark, sf_dir), path)
+    return spark.range(1).select(F.lit(seen.count_seen(spark, path)).alias("seen_count"))
+
+
 @query
 def update_seen(spark, sf_dir):
     recent = filters.filter_recent(V.postings(spark, sf_dir), 365, AS_OF_DATE)
@@ -448,6 +500,16 @@ def upsert_new_rows(spark, sf_dir):
     return target.rows_to_append(V.postings(spark, sf_dir), V.target(spark, sf_dir), AS_OF_DATE)
 
 
+@query
+def upsert_concurrent(spark, sf_dir):
+    """Two runs on one target at once, each with two thirds of the postings; every hash is there once."""
+    path, rows = _fresh_folder(spark, "target"), V.postings(spark, sf_dir)
+    parts = [rows.filter("seq % 3 <> 0"), rows.filter("seq % 3 <> 1")]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda part: target.upsert_new_rows(part, path, AS_OF_DATE), parts))
+    return target.read_target(spark, path).select("Hash")
+
+
 def _run_inputs(spark, sf_dir):
     return V.run_search(spark, sf_dir), V.crawl(spark, sf_dir), V.run_seen(spark, sf_dir)
 
@@ -469,14 +531,41 @@ def run_pipeline_state(spark, sf_dir):
     return run_pipeline(*_run_inputs(spark, sf_dir), OPTIONS)[1]
 
 
+@query
+def run_pipeline_recrawled(spark, sf_dir):
+    """Every page was visited twice; the later visit counts."""
+    options = replace(OPTIONS, fetched_at="fetched_at")
+    inputs = V.run_search(spark, sf_dir), V.recrawled(spark, sf_dir), V.run_seen(spark, sf_dir)
+    return _packed(run_pipeline(*inputs, options)[0])
+
+
 @query
 def execute_run_(spark, sf_dir):
     """A run into tables, done twice: the second must add nothing."""
     folder = _fresh_folder(spark, "execute-run")
     results, crawl, known = _run_inputs(spark, sf_dir)
     known.write.parquet(f"{folder}/seen")
+    append_extracted(crawl, f"{folder}/pages")
+    pages = spark.read.parquet(f"{folder}/pages")
     for _ in range(2):
-        execute_run(results, crawl, f"{folder}/seen", f"{folder}/target", OPTIONS)
+        execute_run(results, pages, f"{folder}/seen", f"{folder}/target", OPTIONS)
+    return target.read_target(spark, f"{folder}/target")
+
+
+@query
+def keyed_incremental_run_(spark, sf_dir):
+    """Two overlapping batches, the first queries and then all of them, with the known hashes in the stream's state."""
+    folder = _fresh_folder(spark, "keyed-run")
+    results, crawl, known = _run_inputs(spark, sf_dir)
+    known.write.parquet(f"{folder}/seen")
+    append_extracted(crawl, f"{folder}/pages")
+    pages = spark.read.parquet(f"{folder}/pages")
+    for batch in (results.filter("query_rank < 15"), results):
+        batch.write.mode("append").parquet(f"{folder}/results")
+        stream = spark.readStream.schema(results.schema).parquet(f"{folder}/results")
+        keyed_incremental_run(
+            stream, pages, f"{folder}/seen", f"{folder}/target", OPTIONS, checkpoint=f"{folder}/checkpoint"
+        ).awaitTermination()
     return target.read_target(spark, f"{folder}/target")
 
 

@@ -20,7 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {n: table(spark, sf_dir, n) for n in ("customer", "nation")}
-    return spark.sql(FX_TEMPLATE, orders=table(spark, sf_dir, "orders"), **tables)
+    # a given table is one row group, so one task: its narrow rows are dealt before titles and pages are made of them
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    return spark.sql(FX_TEMPLATE, orders=orders, **tables)
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +59,11 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx(spark, sf_dir).select(*_ranks(), url.alias("url"), "title", F.col("description").alias("snippet"))
 
 
+def campaign_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search results of seven campaigns in one table; queries, positions and URLs repeat across them."""
+    return search(spark, sf_dir).withColumn("campaign_id", F.col("pos") % 7)
+
+
 def _ranks() -> list[Column]:
     seq = F.col("seq")
     return [
@@ -129,11 +137,25 @@ def _page(k: Column) -> Column:
         named = F.replace(body, F.lit("jobLocationList"), F.lit("jobLocation"))
         return F.concat(F.lit('<script type="application/ld+json">'), named, F.lit("</script>"))
 
-    plain = posting(F.lit("JobPosting"))
+    # numbers that JSON does not have but parsers accept, and types in lists of lists
+    odd = F.lit('"baseSalary":NaN,"bounds":[-Infinity,Infinity],"employmentType"')
+    whole = posting(F.lit("JobPosting"))
+    plain = F.when(k % 16 == 0, F.replace(whole, F.lit('"employmentType"'), odd)).otherwise(whole)
     remote = posting(F.lit("schema:JobPosting"), F.lit("TELECOMMUTE").alias("jobLocationType"))
-    listed = posting(F.array(F.lit("JobPosting"), F.lit("Thing")))
+    nested = posting(F.array(F.array(F.lit("JobPosting")), F.array(F.lit("Thing"))))
+    listed = F.when(k % 16 == 4, nested).otherwise(posting(F.array(F.lit("JobPosting"), F.lit("Thing"))))
+    # two more postings: company and place as text, an ISO week; a foreign country, no company, no date
+    second = F.concat(
+        F.lit('{"@type":"JobPosting","title":"Second '), k, F.lit('","hiringOrganization":" Text Co '), k,
+        F.lit('","jobLocation":["Lyon, France"],"datePosted":"2024-W05-3"}'),
+    )
+    third = F.concat(
+        F.lit('{"@type":"http://schema.org/JobPosting","title":"Third '), k,
+        F.lit('","jobLocation":{"address":{"addressLocality":"Paris","addressCountry":"FR"}},"datePosted":"soon"'),
+        F.lit(',"employmentType":"FULL_TIME","url":"https://apply.example.com/third"}'),
+    )
     graph = F.concat(F.lit('{"@graph":[{"@type":"WebPage","name":"Careers"},'), plain, F.lit("]}"))
-    array = F.concat(F.lit('[{"@type":"BreadcrumbList"},['), plain, F.lit("]]"))
+    array = F.concat(F.lit('[{"@type":"BreadcrumbList"},['), plain, F.lit(","), second, F.lit("],"), third, F.lit("]"))
     broken = F.concat(F.lit('<script type="application/ld+json">{ not: json }</script>'), script(plain))
     og = F.concat(
         F.lit("<head><title>Careers</title><!-- <meta property='og:title' content='old'> -->"),
@@ -165,19 +187,19 @@ def ld_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with status and error. Row k+1 of ten-row blocks re-crawls page k under /P/ in place of its own."""
+    """The page of every row with status and error; every tenth is crawled under /P/ as well, found on a second page."""
     k = F.col("seq")
     visits = F.array(
-        F.when(k % 10 != 7, F.struct(k.alias("seq"), F.lit("p/").alias("path"))),
-        F.when(k % 10 == 6, F.struct((k + 1).alias("seq"), F.lit("P/").alias("path"))),
+        F.struct(F.lit(0).cast("bigint").alias("page"), F.lit("p/").alias("path")),
+        F.when(k % 10 == 6, F.struct(F.lit(1).cast("bigint").alias("page"), F.lit("P/").alias("path"))),
     )
     source = fx(spark, sf_dir).select(
-        k.alias("k"), "title", "description", "status_code", "error",
+        "seq", "title", "description", "status_code", "error",
         F.concat(_page(k), F.col("html")).alias("html"), F.explode(F.array_compact(visits)).alias("visit"),
     )
     return source.select(
-        F.col("visit.seq").alias("seq"), F.concat(F.lit(URL_PREFIX), "visit.path", "k").alias("url"), "title",
-        "description", "status_code", "html", "error",
+        "seq", "visit.page", F.concat(F.lit(URL_PREFIX), "visit.path", "seq").alias("url"), "title", "description",
+        "status_code", "html", "error",
     )
 
 
@@ -185,9 +207,17 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crawled(spark, sf_dir).select("url", "status_code", "html", F.col("url").alias("final_url"), "error")
 
 
+def recrawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page visited twice: the first visit found it gone, the second found what ``crawl`` has."""
+    pages = crawl(spark, sf_dir)
+    first = pages.withColumns({"html": F.lit("<p>Position has been filled</p>"), "status_code": F.lit(200), "error": F.lit("")})
+    return first.withColumn("fetched_at", F.lit(1)).unionByName(pages.withColumn("fetched_at", F.lit(2)))
+
+
 def run_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results that point at the crawled pages."""
-    return _crawled(spark, sf_dir).select(*_ranks(), "url", "title", F.col("description").alias("snippet"))
+    rank, _, pos = _ranks()
+    return _crawled(spark, sf_dir).select(rank, "page", pos, "url", "title", F.col("description").alias("snippet"))
 
 
 def run_seen(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,13 +45,36 @@ def _is_object(value: Column) -> Column:
     return _at(value, "$", "map<string, variant>").isNotNull()
 
 
+# What the numbers that JSON does not have read as; the scan for them writes strings.
+_NOT_JSON = {"-Infinity": "-inf", "Infinity": "inf", "NaN": "nan"}
+# Stand for an escaped backslash and an escaped quote while a text is cut at its quotes.
+_BACKSLASH, _QUOTE = "\ue002", "\ue003"
+
+
+def _plain_numbers(raw: Column) -> Column:
+    """``raw`` with bare NaN, Infinity and -Infinity as strings. Cut at its quotes, every second piece is a string."""
+    masked = F.replace(F.replace(raw, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+    def outside(piece: Column) -> Column:
+        for name, text in _NOT_JSON.items():
+            piece = F.regexp_replace(piece, rf"(?<![\w.+-]){name}(?![\w.])", f'"{text}"')
+        return piece
+
+    pieces = F.transform(F.split(masked, '"'), lambda piece, i: F.when(i % 2 == 0, outside(piece)).otherwise(piece))
+    joined = F.array_join(pieces, '"')
+    return F.replace(F.replace(joined, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+
+
 def jsonld_parse(raw: Column) -> Column:
-    """VARIANT of ``raw``; NULL unless the whole text is exactly one JSON value.
+    """VARIANT of ``raw``; NULL unless the whole text is exactly one JSON value. NaN and infinities are accepted and read
+    as the texts ``nan``, ``inf`` and ``-inf``.
 
     Spark's parser stops after the first value and lets anything follow it. Parsing the text as the first
     of two list items makes such a rest an error or changes the number of items.
     """
-    pair = _items(F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{_GUARD}"]'))))
+    odd = F.contains(raw, F.lit("NaN")) | F.contains(raw, F.lit("Infinity"))
+    text = F.when(odd, _plain_numbers(raw)).otherwise(raw)
+    pair = _items(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_GUARD}"]'))))
     return let(
         pair,
         lambda p: F.when(
@@ -61,12 +84,24 @@ def jsonld_parse(raw: Column) -> Column:
 
 
 def is_job_posting_type(type_value: Column) -> Column:
-    """``@type`` names a job posting: a string or a list with one, with at most one schema.org prefix."""
-    names = F.coalesce(
-        _at(type_value, "$", "array<string>"), F.array(_at(type_value, "$", "string"))
-    )
+    """``@type`` names a job posting: a string or a list with one at any depth, with at most one schema.org prefix."""
     accepted = [prefix + JOB_POSTING_TYPE for prefix in ["", *TYPE_PREFIXES]]
-    return F.coalesce(F.exists(names, lambda name: name.isin(accepted)), F.lit(False))
+
+    def named(names: Column) -> Column:
+        return F.exists(names, lambda name: name.isin(accepted))
+
+    listed = _items(type_value)
+
+    def opened(items: Column, _: Column) -> Column:
+        return F.flatten(F.transform(items, lambda item: F.coalesce(_items(item), F.array(item))))
+
+    # each bracket but the first opens one list at most
+    spare = F.array_repeat(F.lit(0), _open_brackets(F.to_json(type_value)) - 1)
+    flat = F.aggregate(spare, listed, opened)
+    deep = F.exists(flat, lambda item: _is_string(item) & _at(item, "$", "string").isin(accepted))
+    names = F.coalesce(_at(type_value, "$", "array<string>"), F.array(_at(type_value, "$", "string")))
+    inner = F.exists(listed, lambda item: _items(item).isNotNull())
+    return F.coalesce(F.when(inner, deep).otherwise(named(names)), F.lit(False))
 
 
 def _children(value: Column) -> Column:

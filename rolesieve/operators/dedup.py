@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolesieve.operators.postings import with_hash
 from rolesieve.operators.ranking import first_per_key
+from rolesieve.sources.committed import CommittedTable, Snapshot
 
 
 def dedup_first(postings: DataFrame) -> DataFrame:
@@ -32,6 +33,13 @@ def known_hashes(postings: DataFrame, seen: DataFrame) -> DataFrame:
     return seen.select("hash").join(with_hash(postings).select("hash"), "hash", "left_semi")
 
 
+def known_in_table(postings: DataFrame, table: CommittedTable, snapshot: Snapshot) -> DataFrame:
+    """The hashes of ``postings``, a staged table, that a version of the state holds. Only files whose filters may hold
+    one of them are read."""
+    keys = with_hash(postings).select(F.col("hash").alias("key"))
+    return table.known(keys, snapshot).select(F.col("key").alias("hash"))
+
+
 def seen_count(postings: DataFrame, seen: DataFrame) -> DataFrame:
     """One row: how many distinct hashes are known after ``postings``."""
     return (

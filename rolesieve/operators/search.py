@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolesieve.functions.text import let, string_array, strip
-from rolesieve.operators.ranking import first_per_key
+from rolesieve.operators.ranking import MOST_IN_A_TASK, first_in_order, first_per_key
 from rolesieve.registry import ATS_DOMAINS, DEFAULT_TERMS, TRACK_QUERY_TEMPLATES
 
 RESULT_ORDER = ["query_rank", "page", "pos"]
@@ -63,24 +63,36 @@ def expand_search_queries(
     )
 
 
-def cap_per_query(results: DataFrame, n: int) -> DataFrame:
+def cap_per_query(results: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
     """At most ``n`` results of each query, counted before empty or repeated URLs are removed."""
-    return first_per_key(results, ["query_rank"], ["page", "pos"], n)
+    return first_per_key(results, [*keys, "query_rank"], ["page", "pos"], n)
 
 
-def dedup_by_url(results: DataFrame) -> DataFrame:
+def dedup_by_url(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The first result of each stripped, non-empty, case-sensitive URL in query order."""
     named = results.withColumn("url", strip(F.col("url"))).filter(F.col("url") != "")
-    return first_per_key(named, ["url"], RESULT_ORDER)
+    return first_per_key(named, [*keys, "url"], RESULT_ORDER)
 
 
-def cap_results(results: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` results in query order."""
-    return results.orderBy(*RESULT_ORDER).limit(n)
+def cap_results(results: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` results in query order, or of each campaign if ``keys`` name it.
+
+    As many as a task holds with ease are picked by a top-n; of more, the n-th order key is looked for first, which runs
+    some small jobs, and the results up to it are kept where they are.
+    """
+    if keys:
+        return first_per_key(results, keys, RESULT_ORDER, n)
+    if n <= MOST_IN_A_TASK:
+        return results.orderBy(*RESULT_ORDER).limit(n)
+    return first_in_order(results, RESULT_ORDER, n)
 
 
-def merge_search_results(results: DataFrame, max_results: int | None = None) -> DataFrame:
-    """Cap per query, remove repeated URLs, cap the whole; without ``max_results`` only the second."""
+def merge_search_results(results: DataFrame, max_results: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Cap per query, remove repeated URLs, cap the whole; without ``max_results`` only the second.
+
+    ``keys``, such as ``["campaign_id"]``, name the columns that tell runs apart which share the table: each has its own
+    order, its own URLs and its own caps.
+    """
     if max_results is None:
-        return dedup_by_url(results)
-    return cap_results(dedup_by_url(cap_per_query(results, max_results)), max_results)
+        return dedup_by_url(results, keys)
+    return cap_results(dedup_by_url(cap_per_query(results, max_results, keys), keys), max_results, keys)

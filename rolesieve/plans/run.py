@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rolesieve.operators.active import check_first_n, with_verdict
 from rolesieve.operators.classify import add_scores, categorize, track_label
-from rolesieve.operators.dedup import dedup_first, dedup_unseen, known_hashes
+from rolesieve.operators.dedup import dedup_first, dedup_unseen, known_hashes, known_in_table
 from rolesieve.operators.extraction import extract_pages
 from rolesieve.operators.filters import (
     filter_active,
@@ -24,8 +24,7 @@ from rolesieve.operators.search import merge_search_results
 from rolesieve.options import RunOptions
 from rolesieve.session import drop_stage, new_stage, stage_table
 from rolesieve.sources.crawl import latest_fetch
-from rolesieve.sources.seen import SEEN_SCHEMA, append_seen, read_seen
-from rolesieve.sources.tables import create_if_missing
+from rolesieve.sources.seen import append_seen, seen_table
 from rolesieve.sources.target import upsert_new_rows
 
 POSTING_COLUMNS = [
@@ -34,8 +33,11 @@ POSTING_COLUMNS = [
     "hash",
 ]
 
-
 Cut = Callable[[DataFrame, str], DataFrame]
+Known = Callable[[DataFrame], DataFrame]
+#: A run compacts a state of more segments than this.
+COMPACT_AFTER = 64
+
 
 def extraction_of(pages: DataFrame, options: RunOptions) -> DataFrame:
     """One row per URL: ``pages`` is a crawl, or the table that ``extract_new_pages`` keeps, which has no page bodies."""
@@ -51,9 +53,12 @@ def extraction_of(pages: DataFrame, options: RunOptions) -> DataFrame:
 
 
 def new_postings(
-    results: DataFrame, pages: DataFrame, seen: DataFrame, options: RunOptions, cut: Cut | None = None
+    results: DataFrame, pages: DataFrame, seen: DataFrame | Known, options: RunOptions, cut: Cut | None = None
 ) -> DataFrame:
-    """The run up to deduplication: every row here becomes part of the state, whatever happens to it later."""
+    """The run up to deduplication: every row here becomes part of the state, whatever happens to it later.
+
+    With ``cut``, ``seen`` may be a function that looks up which hashes of a staged table are known.
+    """
     merged = merge_search_results(results, options.max_results)
     postings = make_postings(merged, extraction_of(pages, options), options.source)
     recent = filter_recent(postings, options.within_days, options.as_of)
@@ -62,7 +67,8 @@ def new_postings(
     if cut is None:
         return dedup_unseen(first, seen)
     staged = cut(first, "first")
-    return cut(dedup_unseen(staged, known_hashes(staged, seen)), "new")
+    known = known_hashes(staged, seen) if isinstance(seen, DataFrame) else seen(staged)
+    return cut(dedup_unseen(staged, known), "new")
 
 
 def classify_and_filter(new: DataFrame, options: RunOptions, cut: Cut | None = None) -> DataFrame:
@@ -81,7 +87,7 @@ def classify_and_filter(new: DataFrame, options: RunOptions, cut: Cut | None = N
 
 
 def run_pipeline(
-    results: DataFrame, pages: DataFrame, seen: DataFrame, options: RunOptions, cut: Cut | None = None
+    results: DataFrame, pages: DataFrame, seen: DataFrame | Known, options: RunOptions, cut: Cut | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(postings, new_hashes)``: what the run reports, and what it adds to the seen state.
 
@@ -100,22 +106,28 @@ def execute_run(
     target_path: str,
     options: RunOptions,
     added_at: dt.date | None = None,
+    batch: str | None = None,
 ) -> int:
     """Run, append the new rows to the target, then append the new hashes to the state; returns the rows.
 
     ``pages`` is best the table that ``extract_new_pages`` keeps: a crawl would be parsed as a whole by every run.
     The target comes first: if the job dies between the two writes, a repeat finds the rows in the target
-    and only completes the state. The other way round the rows would be lost. One run per target at a time.
+    and only completes the state. The other way round the rows would be lost. Runs at the same time add each hash
+    once to either; a ``batch`` that is given again adds no rows.
     """
     spark = results.sparkSession
     folder = new_stage("run", seen_path, target_path)
-    create_if_missing(spark, seen_path, SEEN_SCHEMA)
+    state = seen_table(spark, seen_path)
+    base = state.snapshot()
     try:
         postings, hashes = run_pipeline(
-            results, pages, read_seen(spark, seen_path), options, cut=lambda df, name: stage_table(df, f"{folder}/{name}")
-        )
-        appended = upsert_new_rows(postings, target_path, added_at or options.as_of, unique=True)
-        append_seen(hashes, seen_path)
-        return appended
+            results, pages, lambda staged: known_in_table(staged, state, base), options,
+            cut=lambda df, name: stage_table(df, f"{folder}/{name}"),
+        )
+        appended = upsert_new_rows(postings, target_path, added_at or options.as_of, unique=True, batch=batch)
+        append_seen(hashes, seen_path, None, base)
     finally:
         drop_stage(spark, folder)
+    if len(state.snapshot().segments) > COMPACT_AFTER:
+        state.compact()
+    return appended

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rolesieve.functions.text import strip
 from rolesieve.registry import HASH_LENGTH
-from rolesieve.sources.tables import read_parquet_or_empty
+from rolesieve.sources.committed import FOLDER_ROWS, CommittedTable, Snapshot
 
 SEEN_SCHEMA = "hash string"
 # Line ends of Python's text reader that Spark's does not split on.
@@ -33,10 +33,26 @@ def save_seen_hashes(seen: DataFrame, path: str) -> None:
     seen.select("hash").distinct().orderBy("hash").write.mode("overwrite").text(path)
 
 
+def seen_table(spark: SparkSession, path: str) -> CommittedTable:
+    """The state at ``path``: hashes, each once, as snapshots that several runs may add to."""
+    return CommittedTable(spark, path, SEEN_SCHEMA, "hash")
+
+
 def read_seen(spark: SparkSession, path: str) -> DataFrame:
-    return read_parquet_or_empty(spark, path, SEEN_SCHEMA)
+    return seen_table(spark, path).read()
+
+
+def append_seen(hashes: DataFrame, path: str, batch: str | None = None, absent_from: Snapshot | None = None) -> int:
+    """Append those of the distinct ``hashes`` that the state lacks; returns how many."""
+    return seen_table(hashes.sparkSession, path).append(hashes, batch, absent_from)
+
+
+def compact_seen(spark: SparkSession, path: str, folder_rows: int = FOLDER_ROWS) -> int:
+    """Rewrite the state as one sorted segment, in folders by hash prefix; returns how many hashes it has."""
+    CommittedTable(spark, path, SEEN_SCHEMA, "hash", folder_rows).compact()
+    return count_seen(spark, path)
 
 
-def append_seen(hashes: DataFrame, path: str) -> None:
-    """Append hashes that are known to be new; the state is never rewritten."""
-    hashes.select("hash").write.mode("append").parquet(path)
+def count_seen(spark: SparkSession, path: str) -> int:
+    """How many hashes are known: from the manifest, no hash is read."""
+    return seen_table(spark, path).count()

@@ -6,15 +6,15 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesieve.functions.text import strip
-from rolesieve.operators.dedup import dedup_first, dedup_unseen, known_hashes
+from rolesieve.operators.dedup import dedup_first, dedup_unseen
 from rolesieve.operators.postings import export_rows, with_hash
 from rolesieve.registry import TARGET_COLUMNS
 from rolesieve.session import drop_stage, new_stage, stage_table
-from rolesieve.sources.tables import create_if_missing, read_parquet_or_empty
+from rolesieve.sources.committed import LOOSE, CommittedTable
 
 TARGET_SCHEMA = ", ".join(f"`{c}` string" for c in TARGET_COLUMNS)
 
@@ -27,14 +27,21 @@ def align_target_schema(target: DataFrame, columns: Sequence[str] = tuple(TARGET
     return target.select(*[F.col(f"`{c}`") for c in present], *[F.lit("").alias(c) for c in columns[len(present) :]])
 
 
+def target_table(spark: SparkSession, path: str) -> CommittedTable:
+    """The table at ``path``. Files from before its first commit must have the target's columns, or the leading ones."""
+    table = CommittedTable(spark, path, TARGET_SCHEMA, "Hash")
+    if any(s.name == LOOSE for s in table.snapshot().segments):
+        try:
+            align_target_schema(spark.read.parquet(path).limit(0))
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    return table
+
+
 def read_target(spark: SparkSession, path: str) -> DataFrame:
     """The table at ``path`` with all columns, whatever mixture of old and new files it holds."""
-    try:
-        align_target_schema(spark.read.parquet(path).limit(0))
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    return read_parquet_or_empty(spark, path, TARGET_SCHEMA).na.fill("")
+    return target_table(spark, path).read().na.fill("")
 
 
 def scan_target_hashes(target: DataFrame) -> DataFrame:
@@ -49,21 +56,20 @@ def rows_to_append(postings: DataFrame, target: DataFrame, added_at: dt.date) ->
     return export_rows(dedup_unseen(dedup_first(postings), scan_target_hashes(target)), added_at)
 
 
-def upsert_new_rows(postings: DataFrame, target_path: str, added_at: dt.date, unique: bool = False) -> int:
+def upsert_new_rows(
+    postings: DataFrame, target_path: str, added_at: dt.date, unique: bool = False, batch: str | None = None
+) -> int:
     """Append the new rows to the table at ``target_path`` and return how many; existing rows stay as they are.
 
-    The candidates are staged first, so a large target is scanned for the few hashes they carry instead of
-    being shuffled. ``unique`` says that no hash is on two of them, which saves ranking them by hash.
+    The candidates are staged first, so a large target is only read where its filters may hold one of their hashes.
+    ``unique`` says that no hash is on two of them, which saves ranking them by hash. Runs at the same time append each
+    hash once, and a ``batch`` that is given again adds nothing.
     """
     spark = postings.sparkSession
-    create_if_missing(spark, target_path, TARGET_SCHEMA)
+    table = target_table(spark, target_path)
     stage = new_stage("upsert", target_path)
     try:
         candidates = stage_table(with_hash(postings) if unique else dedup_first(postings), stage)
-        present = known_hashes(candidates, scan_target_hashes(read_target(spark, target_path)))
-        counted = Observation()
-        rows = export_rows(dedup_unseen(candidates, present), added_at)
-        rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(target_path)
-        return counted.get["rows"]
+        return table.append(export_rows(candidates, added_at), batch)
     finally:
         drop_stage(spark, stage)

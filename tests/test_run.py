@@ -8,8 +8,9 @@ from rolesieve import RunOptions, execute_run, incremental_run, run_pipeline
 from rolesieve.functions.hashing import posting_hash
 from rolesieve.session import shared_dir, stage_name
 from rolesieve.sources.extracted import extract_new_pages
-from rolesieve.sources.seen import read_seen
+from rolesieve.sources.seen import append_seen, read_seen
 from rolesieve.sources.target import read_target
+from rolesieve.streaming.keyed import keyed_incremental_run
 from tests.helpers import RESULT_SCHEMA, crawl, ld, tree
 
 AS_OF = dt.date(2024, 6, 30)
@@ -214,3 +215,28 @@ def test_pages_visited_again_without_fetch_time(spark, world):
     once = [r.posting_url for r in run_pipeline(results, pages, none, options())[0].collect()]
     twice, _ = run_pipeline(results, pages.unionByName(pages), none, options())
     assert sorted(r.posting_url for r in twice.collect()) == sorted(once)
+
+
+def test_keyed_state_over_two_batches(spark, world, tmp_path):
+    """Overlapping batches, a state from earlier runs, and a hash that another run adds in between."""
+    results, pages, _ = world
+    paths, landing, plans = (str(tmp_path / "seen"), str(tmp_path / "target")), str(tmp_path / "landing"), []
+    append_seen(spark.createDataFrame([(hash_of(spark, "Chef", "Acme", "https://x/chef"),)], "hash string"), paths[0])
+
+    def step(batch):
+        batch.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(results.schema).parquet(landing)
+        query = keyed_incremental_run(stream, pages, *paths, options(), checkpoint=str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        assert query.exception() is None
+        plans.append(query._jsq.explainInternal(True))
+        return sorted(r["Title"] for r in read_target(spark, paths[1]).collect()), read_seen(spark, paths[0]).count()
+
+    assert step(results.filter("pos < 4")) == (["Security Analyst"], 2)
+    other = results.filter("pos = 5")
+    execute_run(other, pages, *paths, options())
+    assert step(results) == (["Data Engineer", "Data Gone", "Result blocked", "Security Analyst"], 5)
+    assert step(results) == (["Data Engineer", "Data Gone", "Result blocked", "Security Analyst"], 5)
+    # the state is read once, by the first batch
+    assert all("TransformWithState" in plan for plan in plans)
+    assert ["_segments" in plan or f"{paths[0]}" in plan for plan in plans][1:] == [False, False]
