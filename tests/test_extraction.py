@@ -11,6 +11,7 @@ from rolesieve.operators.extraction import (
     meta_fallback,
 )
 from rolesieve.functions.jsonld import field_text
+from rolesieve.session import prepare_session
 from pyspark.sql import functions as F
 from tests.helpers import apply, crawl, ld, tree
 
@@ -155,3 +156,34 @@ def test_named_references_are_those_of_the_standard_library(spark):
     texts = [*names, *[f"x{n}y" for n in names], *[f"{n[:-1]}2" for n in names], "&NotEqualTilde;&nGt;", "&ampfoo", "&copy2024",
              "&nbspx &middotx", "&;&&#;&#x;", "&notit;", "&#1;&#11;&#13;&#127;&#129;&#xFDD0;&#x1FFFF;", "&" + "a" * 40 + ";"]
     assert apply(spark, unescape_html, texts) == [html.unescape(t) for t in texts]
+
+
+def test_numbers_that_json_does_not_have(spark):
+    prepare_session(spark)
+    cases = {
+        '{"@type":"JobPosting","title":"A","x":NaN}': "A",
+        '{"@type":"JobPosting","title":"B","x":[-Infinity, Infinity ,NaN]}': "B",
+        '{"@type":"JobPosting","title":"NaN, \\"Infinity\\" \\\\","x":NaN}': 'NaN, "Infinity" \\',
+        '{"@type":"JobPosting","title":"-Infinity NaN"}': "-Infinity NaN",
+        '{"@type":"JobPosting","title":NaN}': "nan",
+        '{"@type":"JobPosting","title":-Infinity}': "-inf",
+        '{"@type":"JobPosting","title":"C","x":-NaN}': None,
+        '{"@type":"JobPosting","title":"C","x":NaNs}': None,
+        '{"@type":"JobPosting","title":"C","x":1NaN}': None,
+        '{"@type":"JobPosting","title":"C","x":nan}': None,
+    }
+    pages = crawl(spark, *[(str(i), ld(body)) for i, body in enumerate(cases)])
+    got = {r.url: r.title for r in extract_pages(pages).collect()}
+    assert got == {str(i): title or "" for i, title in enumerate(cases.values())}
+
+
+def test_types_in_nested_lists(spark):
+    prepare_session(spark)
+    types = {
+        '[["JobPosting"]]': True, '[[["x",["https://schema.org/JobPosting"]]]]': True, '["a",["b"]]': False, "[[]]": False,
+        '[[{"a":"JobPosting"}]]': False, '[{"@type":"JobPosting"}]': False, '["[\\"JobPosting\\"]"]': False, "[[1,null],[true]]": False,
+        '["x",["JobPosting"]]': True, "[" * 60 + '"JobPosting"' + "]" * 60: True,
+    }
+    pages = crawl(spark, *[(str(i), ld('{"@type":%s,"title":"T"}' % t)) for i, t in enumerate(types)])
+    got = {r.url: r.title == "T" for r in extract_pages(pages).collect()}
+    assert got == {str(i): hit for i, hit in enumerate(types.values())}

@@ -2,10 +2,12 @@ import datetime as dt
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from rolesieve import RunOptions, execute_run, incremental_run, run_pipeline
 from rolesieve.functions.hashing import posting_hash
+from rolesieve.operators.extraction import extract_pages
 from rolesieve.session import shared_dir, stage_name
 from rolesieve.sources.extracted import extract_new_pages
 from rolesieve.sources.seen import append_seen, read_seen
@@ -240,3 +242,42 @@ def test_keyed_state_over_two_batches(spark, world, tmp_path):
     # the state is read once, by the first batch
     assert all("TransformWithState" in plan for plan in plans)
     assert ["_segments" in plan or f"{paths[0]}" in plan for plan in plans][1:] == [False, False]
+
+
+def test_known_pages_are_not_parsed(spark, world, tmp_path, monkeypatch):
+    """Only new pages reach the extraction, in files of several stretches; no body is shuffled."""
+    _, pages, _ = world
+    landed, table = str(tmp_path / "landed"), str(tmp_path / "pages")
+    many = spark.range(70_000).selectExpr(
+        "concat('https://x/', id) AS url", "200 AS status_code", "concat('<title>T', id, '</title>') AS html", "'' AS final_url", "'' AS error"
+    )
+    many.coalesce(1).write.parquet(landed)
+    counts, plans = [], []
+
+    def counted(crawl, keep=()):
+        counted_rows = Observation()
+        counts.append(counted_rows)
+        made = extract_pages(crawl.observe(counted_rows, F.count(F.lit(1)).alias("n")), keep)
+        plans.append(tree(made))
+        return made
+
+    monkeypatch.setattr("rolesieve.sources.extracted.extract_pages", counted)
+    monkeypatch.setattr("rolesieve.sources.extracted.MOST_BITMAPS", 2)
+
+    def parsed():
+        got = sum(c.get["n"] for c in counts[1:])  # the first is asked for its schema only
+        counts.clear()
+        return got
+
+    first = spark.read.parquet(landed)
+    extract_new_pages(first.filter("cast(substring(url, 11) AS int) % 3 = 0"), table)
+    assert parsed() == spark.read.parquet(table).count() == 23_334
+    pages.write.mode("append").parquet(landed)
+    again = spark.read.parquet(landed)
+    extract_new_pages(again, table)
+    assert parsed() == 70_000 - 23_334 + len(PAGES)
+    titles = {r.url: r.title for r in spark.read.parquet(table).collect()}
+    assert len(titles) == 70_000 + len(PAGES) and all(t == f"T{u[10:]}" for u, t in titles.items() if u[10:].isdigit())
+    extract_new_pages(again, table)
+    assert parsed() == 0 and spark.read.parquet(table).count() == 70_000 + len(PAGES)
+    assert all("Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan for plan in plans)

@@ -1,7 +1,12 @@
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
-from rolesieve.operators.ranking import first_per_key
+from rolesieve.operators.ranking import first_in_order, first_per_key
 from rolesieve.operators.search import (
+    RESULT_ORDER,
     cap_per_query,
     cap_results,
     dedup_by_url,
@@ -95,3 +100,38 @@ def test_large_caps_on_one_hot_query_equal_brute_force(spark):
     capped = first_per_key(rows, ["k"], ["o", "id"], 1500)
     assert {r.id for r in capped.collect()} == expected
     assert "row_number(), 1500, Partial" in tree(capped)
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 777, 1200, 1201, 5000])
+def test_first_in_order_equals_sorting(spark, n):
+    draw = random.Random(n)
+    rows = [(draw.choice([None, 0, 3, -7, 2**62]), draw.randint(0, 2), draw.randint(0, 90), draw.choice("ab")) for _ in range(1200)]
+    results = spark.createDataFrame(rows, "query_rank long, page long, pos long, url string")
+    got = first_in_order(results, RESULT_ORDER, n).collect()
+
+    def key(r):
+        return r[0] is not None, r[0] or 0, r[1], r[2]
+
+    assert sorted(map(key, got)) == sorted(map(key, rows))[:n] and not Counter(map(tuple, got)) - Counter(rows)
+
+
+def test_many_results_are_not_brought_into_one_task(spark, monkeypatch):
+    monkeypatch.setattr("rolesieve.operators.search.MOST_IN_A_TASK", 100)
+    results = spark.range(1000).selectExpr("id % 10 AS query_rank", "0L AS page", "id div 10 AS pos", "cast(id AS string) AS url")
+    capped = cap_results(results, 500)
+    assert sorted(r.query_rank * 1000 + r.pos for r in capped.collect()) == sorted(q * 1000 + p for q in range(5) for p in range(100))
+    plan = tree(capped)
+    assert "TakeOrdered" not in plan and "Limit" not in plan and "Exchange" not in plan
+    assert cap_results(results, 100).count() == 100 and "TakeOrdered" in tree(cap_results(results, 100))
+
+
+def test_campaigns_do_not_share_order_urls_and_caps(spark):
+    rows = [(c, q, 0, p, f"u{p}") for c in (1, 2, None) for q in (0, 1) for p in range(5)]
+    results = spark.createDataFrame(rows, "campaign_id long, query_rank long, page long, pos long, url string")
+    merged = merge_search_results(results, 3, ["campaign_id"])
+    got = Counter((r.campaign_id, r.query_rank, r.url) for r in merged.collect())
+    assert got == Counter((c, 0, f"u{p}") for c in (1, 2, None) for p in range(3))
+    one = merge_search_results(results.filter("campaign_id = 1").drop("campaign_id"), 3)
+    assert sorted(r.url for r in one.collect()) == ["u0", "u1", "u2"]
+    assert merge_search_results(results, None, ["campaign_id"]).count() == 15
+    assert "SinglePartition" not in tree(merged)
