@@ -1,7 +1,7 @@
 """WARC archives with an index: written and read by byte ranges.
 
-A task writes its pages, record after record, to an archive of its own and returns one index row per record: archive,
-offset, length, url and digest. The index is a Parquet table, committed by Spark; an archive of a task that was lost
+A task writes its pages, record after record and each a gzip member of its own, to an archive and returns one index row
+per record: archive, offset, length, url and digest. The index is a Parquet table, committed by Spark; an archive of a task that was lost
 is in no index. Reading starts from selected index rows, sorted by archive and offset: ranges that touch or nearly do
 are fetched together, a few megabytes at a time.
 
@@ -16,6 +16,7 @@ payload are all responses if theirs is the largest id; an empty table gives an e
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest stri
 #: Bytes between two ranges that are fetched together, and bytes fetched at once.
 GAP, SPAN = 64 << 10, 8 << 20
 ROLL = 512 << 20
+#: Compression of a record; higher levels cost more than they save here.
+LEVEL = 5
 
 
 def open_store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -95,10 +98,11 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     if out is None or offset > ROLL:
                         if out is not None:
                             out.close()
-                        archive, offset = f"{uuid.uuid4().hex}.warc", 0
+                        archive, offset = f"{uuid.uuid4().hex}.warc.gz", 0
                         store.create_dir(base, recursive=True)
-                        out = store.open_output_stream(f"{base}/{archive}")
+                        out = store.open_output_stream(f"{base}/{archive}", compression=None)
                     data, sha, kind = record(page_id, url, html.encode("utf-8", "replace"), ref)
+                    data = gzip.compress(data, LEVEL, mtime=0)
                     out.write(data)
                     rows.append((page_id, url, sha, kind, archive, offset, len(data)))
                     offset += len(data)
@@ -139,7 +143,7 @@ def read_records(selected: DataFrame, folder: str, payloads: bool = False) -> Da
                 with store.open_input_file(f"{base}/{archive}") as f:
                     data = f.read_at(end - begin, begin)
                 for page_id, url, _, offset, length in wanted[at:last]:
-                    headers, payload = parse(data[offset - begin : offset - begin + length])
+                    headers, payload = parse(gzip.decompress(data[offset - begin : offset - begin + length]))
                     sha = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     whole = headers["WARC-Type"] == "response"
                     if whole and digest(payload) != sha:

@@ -315,7 +315,7 @@ def test_license_scan(spark):
     filler = sentence(1, 50)
     cases = {
         1: (f"{filler}\nReleased under the MIT License.\n{filler}", "mit"),
-        2: (f"{filler} Licensed under the Apache License, Version 2.0.", None),
+        2: (f"{filler} Licensed under the Apache License, Version 2.0.", "apache-2.0"),
         3: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
         4: ("This work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License.", "gpl,mit"),
         5: (None, None), 6: ("", None), 7: ("He was licensed to drive a bus in the version of the city.", None), 8: (LONG * 3, None),
