@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from rolesieve.llm.common import at_work
+
 #: The word pattern of the byte-level tokenizer; white space is spelled out because \s differs between engines.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -197,6 +199,7 @@ _open: dict[str, Encoding] = {}
 
 def encoding(path: str) -> Encoding:
     """The encoding of a worker, read once."""
+    at_work("bpe", _open.clear)
     if path not in _open:
         _open[path] = Encoding(path)
     return _open[path]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +15,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors reach, as ``spark.checkpoint.dir`` names it. Only a local session may leave it
-    unset; it then gets a folder of its own, kept as its checkpoint folder (the setting itself is fixed by then)."""
-    context = spark.sparkContext
-    path = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
+    """The folder all executors reach, as ``spark.checkpoint.dir`` names it."""
+    path = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rolesieve-llm-"))
-        path = context.getCheckpointDir()
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
     return path.rstrip("/")
 
 
@@ -46,3 +41,22 @@ def normalised(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def at_work(owner: str, clear: Callable[[], None]) -> None:
+    """Called in a worker process by an operator that keeps tables there: what other operators keep is dropped, as
+    Spark uses a worker for one operator after the other."""
+    for other in [o for o in _caches if o != owner]:
+        _caches.pop(other)()
+    _caches[owner] = clear

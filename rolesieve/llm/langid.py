@@ -23,15 +23,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+from rolesieve.llm.common import at_work, free_name
+
+#: Letters, and combining marks behind one; numerals of any kind are no letters.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 UNDETERMINED = "und"
 PER_LANGUAGE = 400
 ROUNDS = 4
-CACHE_WORDS = 300_000
-BATCH_CHARS = 8 << 20
+#: Words whose scores a worker keeps, characters it cuts into words at once, words of one length it scores at once.
+CACHE_WORDS = 100_000
+BATCH_CHARS = 1 << 20
+LATTICE_WORDS = 2_000
 #: Places between two rescalings of the sums.
 RESCALE = 8
 
@@ -57,10 +64,16 @@ class LanguageModel:
     pieces: dict[str, int]
     probabilities: np.ndarray
     kept: dict[str, int] = field(default_factory=dict)
-    scores: list[np.ndarray] = field(default_factory=list)
+    #: The kept words' log probabilities; rows beyond them are room.
+    scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     #: Every beginning of a piece to the row of the piece, or -1 if it is none itself; made where words are cut.
     beginnings: dict[str, int] = field(default_factory=dict)
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.scores = np.zeros((0, 0))
+        self.beginnings.clear()
+
     def lattice(self, same_length: list[str]) -> Lattice:
         if not self.beginnings:
             self.beginnings.update({p[:n]: -1 for p in self.pieces for n in range(1, len(p))})
@@ -123,12 +136,16 @@ class LanguageModel:
         for word in new:
             by_length.setdefault(len(word), []).append(word)
         for same in by_length.values():
-            for begin in range(0, len(same), 20_000):
-                part = same[begin : begin + 20_000]
+            for begin in range(0, len(same), LATTICE_WORDS):
+                part = same[begin : begin + LATTICE_WORDS]
                 logs, _ = self.forward(self.lattice(part))
-                for word, row in zip(part, logs, strict=True):
-                    self.kept[word] = len(self.scores)
-                    self.scores.append(row)
+                held = len(self.kept)
+                if held + len(part) > len(self.scores):
+                    room = np.empty((2 * held + len(part), logs.shape[1]))
+                    room[:held] = self.scores[:held] if held else 0
+                    self.scores = room
+                self.scores[held : held + len(part)] = logs
+                self.kept.update(zip(part, range(held, held + len(part)), strict=True))
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.languages:
@@ -136,16 +153,16 @@ class LanguageModel:
         cut = [words(t) for t in texts]
         if len(self.kept) > CACHE_WORDS:
             self.kept.clear()
-            self.scores.clear()
         self.add(list(set().union(*cut) - self.kept.keys()))
-        table, place = np.array(self.scores).reshape(-1, len(self.languages)), self.kept.__getitem__
+        table, place = self.scores, self.kept.__getitem__
         out = []
         for ws in cut:
             if not ws:
                 out.append((UNDETERMINED, 0.0))
                 continue
             logs = table[np.fromiter(map(place, ws), np.int64, len(ws))].sum(axis=0)
-            shares = np.exp(logs - logs.max())
+            # by word, so that long texts are not all equally certain
+            shares = np.exp((logs - logs.max()) / len(ws))
             out.append((self.languages[int(logs.argmax())], float(shares.max() / shares.sum())))
         return out
 
@@ -170,7 +187,7 @@ def train(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -
     by_length: dict[int, list[str]] = {}
     for word in sorted(set().union(*counts.values())) if counts else ():
         by_length.setdefault(len(word), []).append(word)
-    parts = [same[at : at + 20_000] for _, same in sorted(by_length.items()) for at in range(0, len(same), 20_000)]
+    parts = [same[at : at + LATTICE_WORDS] for _, same in sorted(by_length.items()) for at in range(0, len(same), LATTICE_WORDS)]
     groups = [model.lattice(ws) for ws in parts]
     weights = [np.array([[counts[lang][w] for lang in languages] for w in ws], float) for ws in parts]
     for _ in range(rounds if groups else 0):
@@ -239,28 +256,36 @@ def fit(labelled: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
     return train(counts, vocabulary(vocabulary_path))
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs``, lang_pred and score."""
-    at_text = keep.index(text_col) if text_col in keep else len(keep)
-    source = docs.select(*keep, *([] if text_col in keep else [text_col]))
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+def with_language(docs: DataFrame, model: LanguageModel, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` and a column ``name``: struct of lang and score. Only texts are sent to Python."""
     plain = LanguageModel(model.languages, model.pieces, model.probabilities)
+    sent = docs.sparkSession.sparkContext.broadcast(plain)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = sent.value
+        at_work("langid", own.forget)
         for part in batches:
-            texts, found, at = part.column(at_text).to_pylist(), [], 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= BATCH_CHARS):
-                    size += len(texts[end] or "")
-                    end += 1
-                found += plain.score(texts[at:end])
+            found, at = [], 0
+            sizes = pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            while at < len(part):
+                # texts of BATCH_CHARS together, or one
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + BATCH_CHARS, side="right")))
+                found += own.score(part.slice(at, end - at).to_pylist())
                 at = end
-            columns = [part.column(i) for i in range(len(keep))]
-            columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+            langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
+            yield pa.StructArray.from_arrays([langs, scores], ["lang", "score"])
 
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    # said to be random, so that a filter on it does not score a text again
+    judged = F.arrow_udf(judge, "struct<lang: string, score: double>").asNondeterministic()
+    return docs.withColumn(name, judged(F.col(text_col).cast("string")))
+
+
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs``, lang_pred and score."""
+    name = free_name(docs.columns, "_language")
+    found = with_language(docs, model, name, text_col)
+    return found.select(*[F.col(f"`{c}`") for c in keep], F.col(name)["lang"].alias("lang_pred"), F.col(name)["score"].alias("score"))
 
 
 def held_out(id_column: Column) -> Column:

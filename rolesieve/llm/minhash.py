@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesieve.llm.common import SPACES, stage
+from rolesieve.llm.common import SPACES, at_work, stage
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -75,8 +75,14 @@ _hashes = WordHashes()
 _draws: list[np.ndarray] = []
 
 
+def forget() -> None:
+    _hashes.clear()
+    _draws.clear()
+
+
 def draws() -> list[np.ndarray]:
     """Tables of r, 1/r, beta and ln c; made once by a worker, the same in all."""
+    at_work("minhash", forget)
     if not _draws:
         random = np.random.Generator(np.random.Philox(2010))
         shape = (DRAWS, SAMPLES)
