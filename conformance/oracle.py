@@ -12,7 +12,7 @@ from conformance.fx import (
     PER_QUERY,
     URL_PREFIX,
 )
-from rolesieve.registry import (
+from conformance.lists import (
     APPLY_SIGNALS,
     ATS_DOMAINS,
     CATEGORY_KEYWORDS,
@@ -325,6 +325,8 @@ DOC_TRACKS = {
     "germanic": {"strong": ["of the", "und", "the"], "weak": ["nicht", "and", "that"]},
 }
 
+PHRASE_LETTERS = "adeilnorst"
+
 # Title of a raw page with its character references decoded; the ampersand last, so nothing is decoded twice.
 # A title cut short may end in a reference without its semicolon.
 TITLE_TEXT = r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)"
@@ -437,6 +439,11 @@ SQL: dict[str, str] = {
         {kw('été', 'lower(text)')} AS has_ete, {kw('of the', 'lower(text)')} AS has_of_the FROM documents""",
     "kw_match_postings": f"""{P} SELECT seq, {kw('data', 'td')} AS has_data, {kw('it analyst', 'td')} AS has_it_analyst,
         {kw('full-stack', 'td')} AS has_full_stack FROM p""",
+    "kw_match_many": f"""WITH letters AS (SELECT unnest(string_split('{PHRASE_LETTERS}', '')) AS c),
+        pieces AS (SELECT a.c || b.c AS piece FROM letters a, letters b),
+        phrases AS (SELECT a.piece || ' ' || b.piece AS phrase FROM pieces a, pieces b)
+        SELECT doc_id, CAST(count(phrase) AS INTEGER) AS n_phrases, min(phrase) AS first_phrase
+        FROM documents LEFT JOIN phrases ON contains(lower(text), phrase) GROUP BY doc_id""",
     "categorize": f"{P} SELECT seq, title, {category_case('td')} AS category FROM p",
     "categorize_documents": f"""SELECT doc_id, {category_case("lower(' ' || text)", DOC_CATEGORIES)} AS category
         FROM documents""",

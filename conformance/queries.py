@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from conformance import views as V
 from conformance.fx import AS_OF, CHECKED, OVERALL, PER_QUERY
-from conformance.oracle import DOC_CATEGORIES, DOC_TRACKS
+from conformance.oracle import DOC_CATEGORIES, DOC_TRACKS, PHRASE_LETTERS
 from rolesieve.functions import jsonld as J
 from rolesieve.functions.dates import freshness_bucket
 from rolesieve.functions.hashing import posting_hash
 from rolesieve.functions.scoring import score_track
-from rolesieve.functions.text import kw_match
+from rolesieve.functions.text import kw_match, matched_keywords, string_array
 from rolesieve.functions.verdict import active_verdict, apply_signal, closed_signal, fetch_error_verdict
 from rolesieve.operators import active, classify, dedup, extraction, filters, postings, ranking, search
 from rolesieve.options import RunOptions
@@ -38,6 +38,10 @@ SELECTIVE = RunOptions(
     only_active=True, active_check_max=CHECKED, drop_unknown_active=True,
 )
 
+#: Every pair of two-letter pieces: they lie across the blanks of ordinary words.
+PIECES = [a + b for a in PHRASE_LETTERS for b in PHRASE_LETTERS]
+MANY_PHRASES = [f"{a} {b}" for a in PIECES for b in PIECES]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -407,6 +411,14 @@ def kw_match_postings(spark, sf_dir):
     return lowered.select("seq", *[kw_match(k, F.col("text")).alias(n) for n, k in tests.items()])
 
 
+@query
+def kw_match_many(spark, sf_dir):
+    """Ten thousand phrases, in whole texts."""
+    lowered = V.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    found = lowered.select("doc_id", matched_keywords(MANY_PHRASES, F.col("text"), string_array([])).alias("found"))
+    return found.select("doc_id", F.size("found").alias("n_phrases"), F.array_min("found").alias("first_phrase"))
+
+
 @query
 def categorize(spark, sf_dir):
     return classify.categorize(V.postings(spark, sf_dir)).select("seq", "title", "category")

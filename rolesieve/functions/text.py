@@ -107,18 +107,68 @@ def listed_words(keywords: Sequence[str], text: Column) -> Column:
     return F.array_distinct(F.filter(words_of(text), lambda w: w.isin(plain))) if plain else string_array([])
 
 
+#: Up to so many phrases are searched for one by one, which is quicker for few.
+FEW_PHRASES = 256
+
+
+def phrases_in(phrases: Sequence[str], text: Column) -> Column:
+    """Array of the distinct ``phrases`` (keywords with a blank) found anywhere in ``text``, however many they are.
+
+    The text is cut at its blanks once. Where a phrase with k blanks lies, it begins with the end of one piece, goes on
+    with whole pieces and ends with the beginning of the k-th piece behind it: few ends and beginnings are in the sets of
+    first and last pieces of the phrases, and what they make up together is looked up in the set of phrases.
+    """
+    by_blanks: dict[int, list[str]] = {}
+    for phrase in dict.fromkeys(phrases):
+        by_blanks.setdefault(phrase.count(" "), []).append(phrase)
+
+    def lengths(parts: set[str]) -> Column:
+        return F.array(*[F.lit(n) for n in sorted({len(p) for p in parts})])
+
+    def found(pieces: Column, k: int, listed: list[str]) -> Column:
+        firsts, lasts = {p.split(" ")[0] for p in listed}, {p.split(" ")[-1] for p in listed}
+
+        def ends_of(piece: Column, parts: set[str], cut: Callable[[Column, Column], Column]) -> Column:
+            fitting = F.filter(lengths(parts), lambda n: n <= F.length(piece))
+            return F.filter(F.transform(fitting, lambda n: cut(piece, n)), lambda e: e.isin(list(parts)))
+
+        def at(i: Column) -> Column:
+            middle = F.concat(F.lit(" "), F.array_join(F.slice(pieces, i + 2, k - 1), " ")) if k > 1 else F.lit("")
+            starts = ends_of(F.get(pieces, i), firsts, F.right)
+
+            def whole(starts: Column) -> Column:
+                stops = ends_of(F.get(pieces, i + k), lasts, F.left)
+                made = F.transform(
+                    starts,
+                    lambda a: F.transform(stops, lambda b: F.concat(a, middle, F.lit(" "), b)),
+                )
+                return F.filter(F.flatten(made), lambda p: p.isin(listed))
+
+            return let(starts, lambda s: F.when(F.size(s) > 0, whole(s)).otherwise(string_array([])))
+
+        places = F.when(F.size(pieces) > k, F.sequence(F.lit(0), F.size(pieces) - 1 - k))
+        return F.coalesce(F.flatten(F.transform(places, at)), string_array([]))
+
+    def searched(pieces: Column) -> Column:
+        return F.array_distinct(F.concat(*[found(pieces, k, listed) for k, listed in sorted(by_blanks.items())]))
+
+    return let(F.split(text, " "), searched) if by_blanks else string_array([])
+
+
 def matched_keywords(keywords: Sequence[str], text: Column, words: Column) -> Column:
     """Array of the distinct ``keywords`` found in ``text`` (lower case), whose listed words are ``words``.
 
     Words are looked up in the list instead of the list being searched for in the text; only phrases and
     hyphenated words scan it. The expression stays small however long the registry is, so it never
-    outgrows one JIT method. ``text`` must be a column or a variable: it is used once per phrase.
+    outgrows one JIT method. ``text`` must be a column or a variable: it may be used once per phrase.
     """
     plain, phrases, mixed = split_keywords(keywords)
     parts = []
     if plain:
         parts.append(F.array_distinct(F.filter(words, lambda w: w.isin(plain))))
-    if phrases:
+    if len(phrases) > FEW_PHRASES:
+        parts.append(phrases_in(phrases, text))
+    elif phrases:
         parts.append(F.filter(string_array(phrases), lambda k: F.contains(text, k)))
     if mixed:
         parts.append(F.array_compact(F.array(*[F.when(kw_match(k, text), F.lit(k)) for k in mixed])))
@@ -131,7 +181,9 @@ def any_keyword(keywords: Sequence[str], text: Column, words: Column) -> Column:
     tests = []
     if plain:
         tests.append(F.exists(words, lambda w: w.isin(plain)))
-    if phrases:
+    if len(phrases) > FEW_PHRASES:
+        tests.append(F.size(phrases_in(phrases, text)) > 0)
+    elif phrases:
         tests.append(F.exists(string_array(phrases), lambda k: F.contains(text, k)))
     tests += [kw_match(k, text) for k in mixed]
     return F.coalesce(reduce(or_, tests), F.lit(False)) if tests else F.lit(False)
