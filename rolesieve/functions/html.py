@@ -12,11 +12,12 @@ from rolesieve.functions.text import string_array, string_map, strip, text_or_em
 # Comments, scripts and styles are consumed as whole tokens, so tags inside them are never seen. An
 # unclosed one reaches to the end of the page, which also keeps the scan linear.
 _COMMENT = r"!--.*?(?:-->|\z)"
-_SCRIPT = r"script\b[^>]*>.*?(?:</script\s*>|\z)"
+# A quoted attribute value may hold ">". The plain form reads tags whose quotes are not closed.
+_TAG_REST = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
+_SCRIPT = rf"script\b{_TAG_REST}.*?(?:</script\s*>|\z)"
 _STYLE = r"style\b[^>]*>.*?(?:</style\s*>|\z)"
 _TITLE = r"title\b[^>]*>.*?</title\s*>"
-# A quoted attribute value may hold ">". The plain form reads tags whose quotes are not closed.
-_META = r"""meta\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|meta\b[^>]*>"""
+_META = rf"meta\b{_TAG_REST}"
 
 # One "<" in front of all alternatives lets the scan skip everything else by a single comparison.
 _BLOCK_TOKENS = rf"(?is)<(?:{_COMMENT}|{_SCRIPT})"
@@ -25,9 +26,10 @@ _HEAD_TOKENS = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE}|{_TITLE}|{_META})"
 _PLUS = r"(?:\+|&#43;|&#[xX]2[bB];|&plus;)"
 _LD_JSON = rf"application/ld{_PLUS}json"
 _LD_JSON_TAG = (
-    rf"""^<(?i:script)\b(?:[^>]*?\s)?(?i:type)\s*=\s*(?:"{_LD_JSON}"|'{_LD_JSON}'|{_LD_JSON}(?=[\s>]))[^>]*>"""
+    r"""^<(?i:script)\b(?:(?:[^>"'\s]++|"[^"]*+"|'[^']*+'|\s)*?|[^>]*?)(?<=\s)(?i:type)\s*=\s*"""
+    rf"""(?:"{_LD_JSON}"|'{_LD_JSON}'|{_LD_JSON}(?=[\s>]))"""
 )
-_SCRIPT_OPEN = r"^<[^>]*>"
+_SCRIPT_OPEN = rf"(?is)^<script\b{_TAG_REST}"
 _SCRIPT_CLOSE = r"(?i)</script\s*>$"
 
 _ATTRIBUTE = r"""(?s)([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']*)"""

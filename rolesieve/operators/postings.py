@@ -21,11 +21,11 @@ def result_seq(query_rank: Column, page: Column, pos: Column) -> Column:
     return F.struct(*[part.cast("bigint").alias(name) for name, part in parts.items()])
 
 
-def make_postings(results: DataFrame, extraction: DataFrame, source: str) -> DataFrame:
+def make_postings(results: DataFrame, extraction: DataFrame, source: str, crawled_only: bool = False) -> DataFrame:
     """Join search results with the extraction of their page.
 
     A blocked page, or one that gave neither title, company nor description, falls back to the search
-    result. A result whose page was not crawled counts as blocked.
+    result. A result whose page was not crawled counts as blocked, or gives no posting if ``crawled_only``.
     """
     seq = F.col("seq") if "seq" in results.columns else result_seq(*[F.col(c) for c in ("query_rank", "page", "pos")])
     left = results.select(
@@ -34,7 +34,7 @@ def make_postings(results: DataFrame, extraction: DataFrame, source: str) -> Dat
     blocked = F.coalesce("blocked", F.lit(True))
     nothing = first_non_empty(F.col("title"), F.col("company"), F.col("description")) == ""
     fallback = F.when(blocked | nothing, F.lit(UNKNOWN_TEXT)).otherwise(F.lit(""))
-    joined = left.join(extraction, "url", "left").withColumn("blocked", blocked).withColumn("_fallback", fallback)
+    joined = left.join(extraction, "url", "inner" if crawled_only else "left").withColumn("blocked", blocked).withColumn("_fallback", fallback)
     snippet = F.when(F.col("_fallback") != "", F.col("_snippet"))
     built = joined.select(
         "seq",

@@ -60,7 +60,7 @@ def new_postings(
     With ``cut``, ``seen`` may be a function that looks up which hashes of a staged table are known.
     """
     merged = merge_search_results(results, options.max_results)
-    postings = make_postings(merged, extraction_of(pages, options), options.source)
+    postings = make_postings(merged, extraction_of(pages, options), options.source, options.crawled_only)
     recent = filter_recent(postings, options.within_days, options.as_of)
     placed = filter_location_known(recent, options.locations, options.include_remote)
     first = dedup_first(placed)

@@ -26,6 +26,7 @@ from rolesieve.session import drop_stage, new_stage, prepare_session, shared_dir
 from rolesieve.sources.files import list_files
 from rolesieve.sources.seen import SEEN_SCHEMA, append_seen, read_seen
 from rolesieve.sources.target import upsert_new_rows
+from rolesieve.streaming.incremental import hold, with_held
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -52,7 +53,7 @@ class FirstOfHash(StatefulProcessor):
 def land_candidates(results: DataFrame, pages: DataFrame, options: RunOptions, path: str) -> None:
     """The run of one batch up to deduplication within the batch."""
     merged = merge_search_results(results, options.max_results)
-    postings = make_postings(merged, extraction_of(pages, options), options.source)
+    postings = make_postings(merged, extraction_of(pages, options), options.source, options.crawled_only)
     recent = filter_recent(postings, options.within_days, options.as_of)
     placed = filter_location_known(recent, options.locations, options.include_remote)
     dedup_first(placed).write.mode("overwrite").parquet(path)
@@ -82,15 +83,18 @@ def keyed_incremental_run(
 
     def land(batch: DataFrame, number: int) -> None:
         prepare_session(batch.sparkSession)
-        if not batch.isEmpty():
-            land_candidates(batch, pages, options, f"{landed}/batch={number}")
+        results = with_held(batch, number, folder) if options.crawled_only else batch
+        if not results.isEmpty():
+            land_candidates(results, pages, options, f"{landed}/batch={number}")
+        if options.crawled_only:
+            hold(results, pages, number, folder)
 
     first = stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{folder}/landing")
     first.trigger(availableNow=True).start().awaitTermination()
 
     prepare_session(spark)
     empty = spark.createDataFrame([], stream.schema)
-    merged = make_postings(merge_search_results(empty, options.max_results), extraction_of(pages, options), options.source)
+    merged = make_postings(merge_search_results(empty, options.max_results), extraction_of(pages, options), options.source, options.crawled_only)
     schema = dedup_first(filter_location_known(filter_recent(merged, options.within_days, options.as_of), options.locations,
                                                options.include_remote)).schema
 

@@ -187,3 +187,16 @@ def test_types_in_nested_lists(spark):
     pages = crawl(spark, *[(str(i), ld('{"@type":%s,"title":"T"}' % t)) for i, t in enumerate(types)])
     got = {r.url: r.title == "T" for r in extract_pages(pages).collect()}
     assert got == {str(i): hit for i, hit in enumerate(types.values())}
+
+
+def test_script_tags_with_a_quoted_bracket(spark):
+    body = '{"@type":"JobPosting","title":"T"}'
+    tags = {
+        '<script data-x="a>b" type="application/ld+json">': "T", "<script type='application/ld+json' data-x='>'>": "T",
+        '<script data-x="1 > 0"\ndata-y=\'">"\' TYPE=application/ld+json id=">">': "T", '<script data-x="type=application/ld+json">': "",
+        '<script data-type="application/ld+json">': "", '<script data-x="> type=" id="application/ld+json">': "",
+        "<script type=application/ld+json data-x='>": "T", '<script async type = "application/ld+json" >': "T",
+    }
+    pages = crawl(spark, *[(str(i), f"<p>x</p>{tag}{body}</script><p>y</p>") for i, tag in enumerate(tags)])
+    got = {r.url: r.title for r in extract_pages(pages).collect()}
+    assert got == {str(i): title for i, title in enumerate(tags.values())}

@@ -281,3 +281,23 @@ def test_known_pages_are_not_parsed(spark, world, tmp_path, monkeypatch):
     extract_new_pages(again, table)
     assert parsed() == 0 and spark.read.parquet(table).count() == 70_000 + len(PAGES)
     assert all("Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan for plan in plans)
+
+
+def test_results_wait_for_their_page(spark, world, tmp_path):
+    """Held back in one run, and over a stream until a later batch finds the page."""
+    results, pages, none = world
+    some = pages.filter("url NOT LIKE '%sec' AND url NOT LIKE '%data'")
+    assert names(run_pipeline(results, some, none, options(crawled_only=True))[0]) == ["chef", "gone", "blocked"]
+    assert names(run_pipeline(results, some, none, options())[0]) == ["chef", "sec", "data", "gone", "blocked"]
+    paths, landing = (str(tmp_path / "seen"), str(tmp_path / "target")), str(tmp_path / "landing")
+
+    def step(batch, crawled):
+        batch.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(results.schema).parquet(landing)
+        incremental_run(stream, crawled, *paths, options(crawled_only=True), checkpoint=str(tmp_path / "c")).awaitTermination()
+        return sorted(r["Title"] for r in read_target(spark, paths[1]).collect()), read_seen(spark, paths[0]).count()
+
+    first = ["Chef", "Data Gone"]
+    assert step(results.filter("pos < 6"), some) == (first, 2)
+    assert step(results.filter("pos = 6"), some) == ([*first, "Result blocked"], 3)
+    assert step(results.filter("pos = 6"), pages) == (["Chef", "Data Engineer", "Data Gone", "Result blocked", "Security Analyst"], 5)
