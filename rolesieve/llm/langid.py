@@ -36,9 +36,9 @@ UNDETERMINED = "und"
 PER_LANGUAGE = 400
 ROUNDS = 4
 #: Words whose scores a worker keeps, characters it cuts into words at once, words of one length it scores at once.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 BATCH_CHARS = 1 << 20
-LATTICE_WORDS = 2_000
+LATTICE_WORDS = 4_000
 #: Places between two rescalings of the sums.
 RESCALE = 8
 
