@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolesieve.llm.common import new_folder, stage
+from rolesieve.llm.common import free_name, new_folder, stage
 
 DIMENSIONS = 3
 BITS = 5
@@ -144,10 +144,17 @@ def global_place(rows: DataFrame) -> tuple[DataFrame, int]:
     return dealt.withColumn("place", F.col("start") + rank - 1), narrow.count()
 
 
+def own_names(docs: DataFrame) -> list[str]:
+    """The names of slot, cell and shard in the table that is written."""
+    return [free_name(docs.columns, name) for name in ("_slot", "_cell", "shard")]
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
                  source_col: str = "source") -> DataFrame:
     """``docs`` as one folder of Parquet per shard, each file in curve order; returns the table that was written: the
-    columns of ``docs``, _slot (the place in the shard), _cell and shard."""
+    columns of ``docs``, _slot (the place in the shard), _cell and shard, with further underscores where ``docs`` has
+    columns of these names."""
+    in_slot, in_cell, in_shard = own_names(docs)
     placed, total = global_place(curve_rows(docs, id_col, text_col, source_col))
     base, longer = divmod(total, shards)
     edge = longer * (base + 1)
@@ -157,8 +164,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "do
     if base:
         shard = shard.otherwise(longer + F.floor((place - edge) / base))
         slot = slot.otherwise((place - edge) % base)
-    laid = placed.select("row.*", slot.cast("long").alias("_slot"), F.col("cell").alias("_cell"), shard.cast("int").alias("shard"))
-    laid.sortWithinPartitions("shard", "_slot").write.partitionBy("shard").parquet(path)
+    laid = placed.select("row.*", slot.cast("long").alias(in_slot), F.col("cell").alias(in_cell), shard.cast("int").alias(in_shard))
+    laid.sortWithinPartitions(in_shard, in_slot).write.partitionBy(in_shard).parquet(path)
     return docs.sparkSession.read.schema(laid.schema).parquet(path)
 
 
@@ -166,13 +173,14 @@ def shard_rows(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_c
                source_col: str = "source") -> DataFrame:
     """Writes the shards and gives one row per row in them: id, size, text_crc32, law, shard, slot, grown_shard, cell."""
     written = write_shards(docs, new_folder(docs.sparkSession, "hilbert-shards"), shards, id_col, text_col, source_col)
+    in_slot, in_cell, in_shard = own_names(docs)
     return written.select(
-        id_col,
+        F.col(f"`{id_col}`"),
         _size(F.col(text_col)).alias("size"),
         _crc32(F.col(text_col)).alias("text_crc32"),
         F.lit("rows").alias("law"),
-        "shard",
-        F.col("_slot").alias("slot"),
+        F.col(in_shard).alias("shard"),
+        F.col(in_slot).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        F.col("_cell").alias("cell"),
+        F.col(in_cell).alias("cell"),
     )

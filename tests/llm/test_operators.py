@@ -344,3 +344,12 @@ def test_license_notices_among_other_words(spark):
     got = {r.doc_id: r for r in licenses.scan(frame, model).collect()}
     assert {i: r.licenses for i, r in got.items()} == {i: want for i, (_, want) in cases.items()}
     assert [got[i].n_paragraphs for i in range(1, 9)] == [1] * 7 + [0] and len(got[6].found) == 2
+
+
+def test_shards_of_a_table_that_has_such_columns(spark):
+    rows = [(i, sentence(i, 20 + i), f"s{i % 3}", i, -i, 7, "r") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, shard long, _slot long, _cell int, row string")
+    got = sharding.shard_rows(frame, shards=7).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [8, 8, 8, 9, 9, 9, 9]
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in Counter(r.shard for r in got).items())
+    assert {r.doc_id for r in got} == set(range(60))
