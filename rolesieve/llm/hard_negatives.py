@@ -41,6 +41,8 @@ STRIP_ROWS = 65536
 GROUP_ROWS = 8192
 #: Anchors of a tile that are scored against a block at once.
 SLICE = 512
+#: Tasks of one join of tiles; beyond it a task takes several tiles, one after the other.
+MOST_TASKS = 20_000
 BLOCK = "block long, n int, dims int, uids binary, ids binary, named binary, labels binary, values binary, kind string"
 FOUND = "g long, anchor long, anchor_id long, of long, uid long, id long, score long"
 NONE = np.iinfo(np.int64).min
@@ -175,17 +177,21 @@ def in_windows(a: Side, b: Side, k: int, windows: dict[int, list[tuple[int, int,
         order = np.lexsort((columns, -values, rows))
         rows, columns, values = rows[order], columns[order], values[order]
         ends = np.searchsorted(rows, np.arange(len(score) + 1))
+        taken, positives = [], []
         for at in np.unique(rows).tolist():
             begin, end = ends[at], ends[at + 1]
             falling = -values[begin:end]
             for of, least, most in windows[int(a.uids[start + at])]:
                 first = begin + np.searchsorted(falling, -most)
                 last = min(first + k, begin + np.searchsorted(falling, -least, side="right"))
-                if first < last:
-                    yield found(a, b, np.full(last - first, start + at), columns[first:last], values[first:last], of)
+                taken.append(np.arange(first, last))
+                positives.append(np.full(len(taken[-1]), of))
+        if taken:
+            some = np.concatenate(taken)
+            yield found(a, b, start + rows[some], columns[some], values[some], np.concatenate(positives))
 
 
-def found(a: Side, b: Side, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, of: int) -> pd.DataFrame:
+def found(a: Side, b: Side, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, of: int | np.ndarray) -> pd.DataFrame:
     ids = pd.array(b.ids[columns], dtype="Int64")
     ids[~b.named[columns]] = pd.NA
     return pd.DataFrame({
@@ -215,8 +221,11 @@ def tiles(asked: DataFrame, base: DataFrame, groups: int, strips: int, extra: Da
     left = asked.select("*", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("g"))
     if extra is not None:
         left = left.unionByName(extra, allowMissingColumns=True)
-    left = left.select("*", every_strip)
+    # a task for each tile: tiles are work, however few bytes they are
+    tasks = min(groups * strips, MOST_TASKS)
+    left = left.select("*", every_strip).repartition(tasks, "g", "s")
     right = base.select("*", F.pmod(F.xxhash64("block"), F.lit(strips)).alias("s")).select("*", every_group)
+    right = right.repartition(tasks, "g", "s")
     return left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInPandas(tile, FOUND)
 
 
