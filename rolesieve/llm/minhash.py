@@ -12,9 +12,10 @@ full once that is few pairs (or a round of hubs took away less than a fifth of i
 not change it. Pairs whose sketches agree in fewer than half of the samples are not verified: two texts of similarity 0.8
 do so once in some 10^6 pairs.
 
-Document frequencies are counted for each word, over all documents. Those of the 2^18 most frequent words are sent
+Document frequencies are counted for each word, over all documents. Those of the 2^20 most frequent words are sent
 around; of the others those in two documents or more stay a table and are joined to the texts that hold them. A word
-that is neither sent nor joined is in one document.
+that is neither sent nor joined is in one document. So that such words are not shuffled, a bitmap of 16 MB tells the
+workers which words may be in the table; where it errs, the join finds nothing.
 
 Edge cases: a null text counts as empty; texts without words are equal to each other; a text of fewer than five words
 is one shingle; a null id takes part, and the class id is the smallest id of the class (null if it has none); rows
@@ -41,8 +42,10 @@ THRESHOLD = 0.8
 #: Ten bands of five: two texts of similarity 0.8 share one in 98 of 100 cases, of 0.9 in all but one of 7,500, of 0.3 in
 #: 2 of 100.
 SAMPLES, BAND = 50, 5
-#: Words whose document frequencies are sent to every worker; a bound on memory, not on the words counted.
-SENT_WORDS = 1 << 18
+#: Words whose document frequencies are sent to every worker (16 MB); a bound on memory, not on the words counted.
+SENT_WORDS = 1 << 20
+#: Bits of the bitmap of the other words in two documents or more, in pieces as Spark's bitmap functions make them.
+BITS, PIECE_BITS = 1 << 27, 1 << 15
 #: Rows of the tables of random numbers; a shingle takes the row of its hash.
 DRAWS = 1 << 16
 CACHED_WORDS = 400_000
@@ -104,7 +107,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Frequencies:
     """Documents, the sorted hashes of the most frequent words with their document frequencies, and, if further words are
-    in two documents or more, node, words and counts (as bytes) of all texts that hold some. Other words are in one."""
+    in two documents or more, node, words in order and counts of all texts that hold some. Other words are in one."""
 
     documents: int
     words: np.ndarray
@@ -121,19 +124,19 @@ class Frequencies:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return at, self.words[at] == hashes
 
-    def idf(self, hashes: np.ndarray, others: tuple[bytes, bytes] | None) -> np.ndarray:
+    def idf(self, hashes: np.ndarray, others: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
         """Inverse document frequency of each word of a text; ``others`` has the words that were not sent."""
         at, sent = self.known(hashes)
         counts = np.where(sent, self.counts[at] if len(self.counts) else 0, 1)
         if others is not None and not sent.all():
-            words, n = np.frombuffer(others[0], np.uint64), np.frombuffer(others[1], np.int64)
-            rest = hashes[~sent]
+            words, n = others
+            rest = hashes[~sent].view(np.int64)
             where = np.minimum(np.searchsorted(words, rest), len(words) - 1)
             counts[~sent] = np.where(words[where] == rest, n[where], 1)
         return (1 + np.log((1 + self.documents) / (1 + counts))).astype(np.float32)
 
 
-def weighted_shingles(text: str | None, idf: Frequencies, others: tuple[bytes, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def weighted_shingles(text: str | None, idf: Frequencies, others: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles in order, and their weights."""
     words = (text or "").encode("utf-8", "replace").split()
     if not words:
@@ -159,14 +162,16 @@ def sketch(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     columns = np.arange(SAMPLES)
     for at in range(0, len(shingles), 1024):
         part = shingles[at : at + 1024]
-        rows = (part % np.uint64(DRAWS)).astype(np.int64)
-        level = logs[at : at + 1024] * inverse[rows]
-        b = beta[rows]
+        rows = (part % np.uint64(DRAWS)).astype(np.intp)
+        # take copies whole rows, which indexing does number by number
+        level = inverse.take(rows, 0)
+        level *= logs[at : at + 1024]
+        b = beta.take(rows, 0)
         level += b
         np.floor(level, out=level)
         cost = level - b
-        cost *= r[rows]
-        np.subtract(shifted[rows], cost, out=cost)
+        cost *= r.take(rows, 0)
+        np.subtract(shifted.take(rows, 0), cost, out=cost)
         first = cost.argmin(axis=0)
         least = cost[first, columns]
         better = least < best
@@ -206,45 +211,57 @@ def document_frequencies(docs: DataFrame, text_col: str) -> Frequencies:
     frequencies = Frequencies(docs.count(), words[order], counts[order])
     if counted.count() <= SENT_WORDS:
         return frequencies
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
+    context = docs.sparkSession.sparkContext
+    shared, bitmap = context.broadcast(frequencies), context.broadcast(maybe_shared(counted))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             found = [distinct(text) for text in part.column(1).to_pylist()]
-            found = [w[~shared.value.known(w)[1]] for w in found]
+            found = [w[~shared.value.known(w)[1] & holds(bitmap.value, w)] for w in found]
             nodes = pa.array(part.column(0)).take(pa.array(np.repeat(np.arange(len(found)), [len(w) for w in found])))
             joined = np.concatenate([*found, np.array([], np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([nodes, pa.array(joined)], ["node", "word"])
 
     # a word that was not sent is in few texts; equal texts are one node
     held = docs.select(node(F.col(text_col)).alias("node"), text_col).mapInArrow(rare, "node string, word long").distinct()
-    lists = held.join(counted, "word").groupBy("node").agg(F.collect_list(F.struct("word", "n")).alias("found"))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            words, counts = [], []
-            for found in part.column(1).to_pylist():
-                hashes = np.array([f["word"] for f in found], np.int64).view(np.uint64)
-                order = np.argsort(hashes)
-                words.append(hashes[order].tobytes())
-                counts.append(np.array([f["n"] for f in found], np.int64)[order].tobytes())
-            arrays = [part.column(0), pa.array(words, pa.binary()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "words", "counts"])
-
-    frequencies.others = stage(lists.mapInArrow(packed, "node string, words binary, counts binary"), "rare-words")
+    lists = held.join(counted, "word").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("word", "n"))).alias("found"))
+    lists = lists.select("node", F.col("found.word").alias("words"), F.col("found.n").alias("counts"))
+    frequencies.others = stage(lists, "rare-words")
     return frequencies
 
 
+def maybe_shared(counted: DataFrame) -> np.ndarray:
+    """A bitmap (as bytes) with the bit of every word of ``counted``; BITS / 8 bytes, whatever the corpus."""
+    bit = F.pmod("word", F.lit(BITS))
+    pieces = counted.select((bit / PIECE_BITS).cast("int").alias("piece"), (bit % PIECE_BITS).alias("at"))
+    pieces = pieces.groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits")).toArrow()  # BITS / PIECE_BITS rows
+    bits = np.zeros((BITS // PIECE_BITS, PIECE_BITS // 8), np.uint8)
+    for piece, found in zip(pieces.column("piece").to_pylist(), pieces.column("bits").to_pylist(), strict=True):
+        bits[piece] = np.frombuffer(found, np.uint8)
+    return bits.ravel()
+
+
+def holds(bits: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which words have their bit in the bitmap; all that were put there do."""
+    at = words & np.uint64(BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def with_rare_words(rows: DataFrame, idf: Frequencies) -> DataFrame:
     """``rows``, which have a node, with the words and counts that were not sent to the workers."""
     if idf.others is None:
-        return rows.withColumns({c: F.lit(None).cast("binary") for c in ("words", "counts")})
+        return rows.withColumns({c: F.lit(None).cast("array<long>") for c in ("words", "counts")})
     return rows.join(idf.others, "node", "left").select(*rows.columns, "words", "counts")
 
 
-def _others(part: pa.RecordBatch) -> list[tuple[bytes, bytes] | None]:
-    both = zip(part.column("words").to_pylist(), part.column("counts").to_pylist(), strict=True)
-    return [None if words is None else (words, counts) for words, counts in both]
+def _others(part: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    lists = part.column("words"), part.column("counts")
+    (words, starts), (counts, _) = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in lists]
+    known = lists[0].is_valid().to_pylist()
+    # both lists of a row have one length; a batch's lists begin where its offsets say
+    shift = lists[1].offsets[0].as_py() - starts[0] if len(known) else 0
+    spans = zip(known, starts[:-1], starts[1:], strict=True)
+    return [(words[a:b], counts[a + shift : b + shift]) if some else None for some, a, b in spans]
 
 
 def sketches(docs: DataFrame, idf: Frequencies, id_col: str, text_col: str) -> DataFrame:

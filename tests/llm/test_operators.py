@@ -116,9 +116,12 @@ def test_word_weights_are_exact(spark, monkeypatch, sent):
     for r in minhash.with_rare_words(rows, idf).collect():
         words = (r.text or "").split()
         hashes = minhash._hashes.of([w.encode() for w in words])
-        got = idf.idf(hashes, None if r.words is None else (r.words, r.counts))
+        got = idf.idf(hashes, None if r.words is None else (np.array(r.words), np.array(r.counts)))
         assert np.allclose(got, [1 + np.log((1 + len(texts)) / (1 + documents[w])) for w in words])
     if sent == 50:
+        bits = minhash.maybe_shared(frame.sparkSession.createDataFrame([(-1,), (5,), (-(1 << 62),)], "word long"))
+        words = np.array([-1, 5, -(1 << 62), 4, 6, 1 << 26], np.int64).view(np.uint64)
+        assert minhash.holds(bits, words).tolist() == [True, True, True, False, False, False]
         got = {r.doc_id: r.class_id for r in minhash.near_classes(frame).collect()}
         assert got[0] == got[9] == 0 and got[10] == got[11] == 10 and len(set(got.values())) == 10
 
