@@ -334,6 +334,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after further links: only the links between labels are followed, so earlier ones are not again."""
+    if labels is None:
+        return components(links)
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    known = stage(labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("label", F.col("node"))), "labels")
+    first = known.select(F.col("node").alias("a"), F.col("label").alias("first"))
+    second = known.select(F.col("node").alias("b"), F.col("label").alias("second"))
+    between = links.join(first, "a").join(second, "b").select(F.col("first").alias("a"), F.col("second").alias("b"))
+    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("onto"))
+    return stage(known.join(moved, "label", "left").select("node", F.coalesce("onto", "label").alias("label")), "labels")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, class_id, class_size (rows) and node (the identity of its words)."""
     return labelled_classes(docs, id_col, text_col, threshold).drop("label")
@@ -351,7 +364,7 @@ def labelled_classes(docs: DataFrame, id_col: str, text_col: str, threshold: flo
     keyed = nodes.filter("sketch IS NOT NULL").select("node", F.explode(bands).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = stage(keyed.join(shared, "key"), "band-members")
-    links, tried, known = None, None, None
+    tried, known = None, None
     labels, before = None, math.inf
     patterns = stage(nodes.join(members.select("node").distinct(), "node", "left_semi"), "member-sketches")
     linear = max(1000, PAIRS_PER_ROW * rows.count())
@@ -398,9 +411,8 @@ def labelled_classes(docs: DataFrame, id_col: str, text_col: str, threshold: flo
             known = known.union(more)
             covered = known.select("node")
         found = stage(verified(likely, known, threshold), "near-links")
-        links = found if links is None else links.union(found)
         if found.limit(1).count():
-            labels = components(links)
+            labels = merged(labels, found)
         if last:
             break
     labelled = rows.select("id", "node").withColumn("label", F.col("node"))
