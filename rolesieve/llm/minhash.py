@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +48,8 @@ SENT_WORDS = 1 << 20
 BITS, PIECE_BITS = 1 << 27, 1 << 15
 #: Rows of the tables of random numbers; a shingle takes the row of its hash.
 DRAWS = 1 << 16
-CACHED_WORDS = 400_000
+#: Shingles sampled at a time; few enough for their numbers to stay in the processor's cache.
+ROWS = 512
 HUB_ROUNDS = 12
 #: Members of a bucket that all its others are compared with in one round.
 HUBS = 8
@@ -66,23 +67,15 @@ def node(text: Column) -> Column:
     return F.md5(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES + "++", " ")))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A hash of 64 bits of each word, the same in all workers."""
+    return hash_array(np.array(words, object), categorize=False) if words else np.array([], np.uint64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-
-_hashes = WordHashes()
 _draws: list[np.ndarray] = []
 
 
 def forget() -> None:
-    _hashes.clear()
     _draws.clear()
 
 
@@ -117,11 +110,23 @@ class Frequencies:
     def sent(self) -> Frequencies:
         return Frequencies(self.documents, self.words, self.counts)
 
+    def __post_init__(self) -> None:
+        # where the words with the same first bits begin; about one word has the same, so a look-up takes a step or two
+        bits = max(1, len(self.words).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(self.words, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
     def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each word stands among those sent around, and whether it is one of them."""
         if not len(self.words):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        last = len(self.words) - 1
+        at = np.minimum(self.begins[(hashes >> self.shift).astype(np.intp)], last)
+        further = np.flatnonzero(self.words[at] < hashes)
+        while len(further):
+            further = further[at[further] < last]
+            at[further] += 1
+            further = further[self.words[at[further]] < hashes[further]]
         return at, self.words[at] == hashes
 
     def idf(self, hashes: np.ndarray, others: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
@@ -141,7 +146,7 @@ def weighted_shingles(text: str | None, idf: Frequencies, others: tuple[np.ndarr
     words = (text or "").encode("utf-8", "replace").split()
     if not words:
         return np.array([], np.uint64), np.array([], np.float32)
-    hashes = _hashes.of(words)
+    hashes = word_hashes(words)
     value = idf.idf(hashes, others)
     n = max(1, len(words) - SHINGLE + 1)
     width = min(SHINGLE, len(words))
@@ -160,12 +165,12 @@ def sketch(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     found = np.zeros(SAMPLES, np.uint64)
     logs = np.log(weights)[:, None]
     columns = np.arange(SAMPLES)
-    for at in range(0, len(shingles), 1024):
-        part = shingles[at : at + 1024]
+    for at in range(0, len(shingles), ROWS):
+        part = shingles[at : at + ROWS]
         rows = (part % np.uint64(DRAWS)).astype(np.intp)
         # take copies whole rows, which indexing does number by number
         level = inverse.take(rows, 0)
-        level *= logs[at : at + 1024]
+        level *= logs[at : at + ROWS]
         b = beta.take(rows, 0)
         level += b
         np.floor(level, out=level)
@@ -194,7 +199,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> Frequencies:
     """The exact document frequencies of all words."""
 
     def distinct(text: str | None) -> np.ndarray:
-        return _hashes.of(list(set((text or "").encode("utf-8", "replace").split())))
+        return word_hashes(list(set((text or "").encode("utf-8", "replace").split())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:

@@ -115,10 +115,14 @@ def test_word_weights_are_exact(spark, monkeypatch, sent):
     rows = frame.select(minhash.node(F.col("text")).alias("node"), "text")
     for r in minhash.with_rare_words(rows, idf).collect():
         words = (r.text or "").split()
-        hashes = minhash._hashes.of([w.encode() for w in words])
+        hashes = minhash.word_hashes([w.encode() for w in words])
         got = idf.idf(hashes, None if r.words is None else (np.array(r.words), np.array(r.counts)))
         assert np.allclose(got, [1 + np.log((1 + len(texts)) / (1 + documents[w])) for w in words])
     if sent == 50:
+        known = np.sort(minhash.word_hashes([f"k{i}".encode() for i in range(3000)]))
+        asked = np.concatenate([known, known + np.uint64(1), known - np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        at, found = minhash.Frequencies(3, known, np.ones(3000, np.int64)).known(asked)
+        assert (found == np.isin(asked, known)).all() and (known[at[found]] == asked[found]).all()
         bits = minhash.maybe_shared(frame.sparkSession.createDataFrame([(-1,), (5,), (-(1 << 62),)], "word long"))
         words = np.array([-1, 5, -(1 << 62), 4, 6, 1 << 26], np.int64).view(np.uint64)
         assert minhash.holds(bits, words).tolist() == [True, True, True, False, False, False]
