@@ -12,6 +12,7 @@ from rolesieve.session import shared_dir, stage_name
 from rolesieve.sources.extracted import extract_new_pages
 from rolesieve.sources.seen import append_seen, read_seen
 from rolesieve.sources.target import read_target
+from rolesieve.streaming import keyed
 from rolesieve.streaming.keyed import keyed_incremental_run
 from tests.helpers import RESULT_SCHEMA, crawl, ld, tree
 
@@ -244,6 +245,32 @@ def test_keyed_state_over_two_batches(spark, world, tmp_path):
     assert ["_segments" in plan or f"{paths[0]}" in plan for plan in plans][1:] == [False, False]
 
 
+def test_state_is_asked_once_for_each_bucket():
+    """However many hashes a batch has in it; the first and last batch that have a new hash come with it."""
+
+    class Value:
+        def __init__(self):
+            self.held, self.asked, self.updated = None, 0, 0
+
+        def get(self):
+            self.asked += 1
+            return self.held
+
+        def update(self, value):
+            self.updated += 1
+            self.held = value
+
+    value = Value()
+    processor = keyed.NewHashes()
+    processor.init(type("Handle", (), {"getValueState": lambda self, name, schema: value})())
+    processor.handleInitialState((0,), {"known": ["h0"]}, None)
+    rows = [{"hash": f"h{i}", "batch": batch} for batch in (3, 4) for i in range(1000)]
+    got = list(processor.handleInputRows((0,), iter(rows), None))
+    assert [(r.hash, r.least, r.most) for r in got] == [(f"h{i}", 3, 4) for i in range(1, 1000)]
+    assert (value.asked, value.updated) == (1, 2)
+    assert list(processor.handleInputRows((0,), iter(rows), None)) == [] and (value.asked, value.updated) == (2, 2)
+
+
 def test_known_pages_are_not_parsed(spark, world, tmp_path, monkeypatch):
     """Only new pages reach the extraction, in files of several stretches; no body is shuffled."""
     _, pages, _ = world
