@@ -23,6 +23,8 @@ import time
 import uuid
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def _block(key: Column, blocks: Column) -> Column:
 
 def _positions(key: Column) -> Column:
     """The bits of a key in its block."""
-    return F.transform(F.sequence(F.lit(1), F.lit(PROBES)), lambda i: F.pmod(F.xxhash64(key, i), F.lit(BITS)))
+    return F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BITS)) for i in range(1, PROBES + 1)])
 
 
 def _holds(bits: Column, key: Column) -> Column:
@@ -87,6 +89,13 @@ def _holds(bits: Column, key: Column) -> Column:
     return F.forall(_positions(key), lambda position: bit_is_set(bits, position))
 
 
+def _bitmap(keys: pa.Table) -> pa.Table:
+    """The filter of one block, as ``bitmap_construct_agg`` makes it, of the rows (block, positions) of its keys."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[keys.column("positions").combine_chunks().flatten().to_numpy(zero_copy_only=False)] = 1
+    return pa.table({"block": keys.column("block")[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
 class CommittedTable:
     """The table at ``path`` with columns ``schema`` (DDL) and unique strings in column ``key``."""
 
@@ -213,27 +222,35 @@ class CommittedTable:
         if prefix:
             parts = self.spark.read.schema(f"{self.schema}, _prefix string").parquet(folder).groupBy("_prefix").count()
             segment = replace(segment, folders={r["_prefix"]: r["count"] for r in parts.collect()})
-        keys = self._keys_of(segment).withColumn("block", _block(F.col("key"), F.lit(blocks).cast("long")))
-        # by block first, so that no task makes a bitmap of a block that another one makes too
-        bits = keys.repartition("block").select("block", F.explode(_positions(F.col("key"))).alias("bit"))
-        bits.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits")).write.parquet(f"{self.path}/_filters/{name}")
+        keys = self._keys_of(segment)
+        # a block has some BLOCK_KEYS keys at most, however many there are
+        bits = keys.select(_block(F.col("key"), F.lit(blocks).cast("long")).alias("block"), _positions(F.col("key")).alias("positions"))
+        bits.groupBy("block").applyInArrow(_bitmap, "block long, bits binary").write.parquet(f"{self.path}/_filters/{name}")
         return segment
 
     def _drop(self, segment: Segment) -> None:
         for kind in ("_segments", "_filters"):
             files.delete(self.spark, f"{self.path}/{kind}/{segment.name}")
 
-    def append(self, rows: DataFrame, batch: str | None = None, absent_from: Snapshot | None = None) -> int:
+    def append(self, rows: DataFrame, batch: str | None = None, absent_from: Snapshot | None = None, staged: bool = False) -> int:
         """Append the rows whose key the table lacks; returns how many. Keys must not repeat within ``rows``, which is
-        read more than once: best a staged table. ``absent_from``: a version that is known to have none of them."""
+        computed once, or read more than once if it is ``staged``. ``absent_from``: a version that is known to have none
+        of them."""
         base = self.snapshot() if absent_from is None else absent_from
         if batch is not None and batch in base.batches:
             return 0
-        rows = rows.select(self.columns)
-        if absent_from is None:
+        rows, landed = rows.select(self.columns), None
+        if absent_from is None and base.segments:
+            if not staged:
+                # like a segment that is in no manifest yet
+                landed = Segment(uuid.uuid4().hex, None)
+                rows.write.parquet(self._folder(landed))
+                rows = self._rows(landed)
             named = rows.withColumn("key", self._key())
             rows = named.join(self.known(named, base), "key", "left_anti").select(self.columns)
         segment = self._write(rows)
+        if landed is not None:
+            self._drop(landed)
         while True:
             if not segment.rows and batch is None:
                 self._drop(segment)

@@ -70,6 +70,6 @@ def upsert_new_rows(
     stage = new_stage("upsert", target_path)
     try:
         candidates = stage_table(with_hash(postings) if unique else dedup_first(postings), stage)
-        return table.append(export_rows(candidates, added_at), batch)
+        return table.append(export_rows(candidates, added_at), batch, staged=True)
     finally:
         drop_stage(spark, stage)

@@ -273,3 +273,21 @@ def test_files_are_created_once(spark, tmp_path):
     assert files.create_once(spark, name, "ä") and not files.create_once(spark, name, "b")
     assert files.read_text(spark, name) == "ä" and list(files.list_files(spark, str(tmp_path / "log"))) == ["1.json"]
     assert files.list_files(spark, str(tmp_path / "none")) == {}
+
+
+def test_appended_rows_are_computed_once(spark, path):
+    """Looking the keys up does not run the plan of the rows again."""
+    append_seen(hashes(spark, range(50)), path)
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for part in batches:
+            asked.add(part.num_rows)
+            yield part
+
+    rows = hashes(spark, range(30, 100)).mapInArrow(counted, "hash string")
+    assert append_seen(rows, path) == 50 and asked.value == 70
+    assert {r.hash for r in read_seen(spark, path).collect()} == {h(i) for i in range(100)}
+    # what the rows were kept in meanwhile is gone
+    needed = {s.name for s in seen_table(spark, path).snapshot().segments}
+    assert set(files.list_files(spark, f"{path}/_segments")) == needed
