@@ -7,14 +7,16 @@ from html.entities import html5, name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolesieve.functions.text import string_array, string_map, strip, text_or_empty
+from rolesieve.functions.text import let, string_array, string_map, strip, text_or_empty
 
 # Comments, scripts and styles are consumed as whole tokens, so tags inside them are never seen. An
 # unclosed one reaches to the end of the page, which also keeps the scan linear.
 _COMMENT = r"!--.*?(?:-->|\z)"
 # A quoted attribute value may hold ">". The plain form reads tags whose quotes are not closed.
 _TAG_REST = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
-_SCRIPT = rf"script\b{_TAG_REST}.*?(?:</script\s*>|\z)"
+# Up to the next closing tag or the end, in steps from "<" to "<".
+_SCRIPT_BODY = r"(?:[^<]++|<(?!/script\s*+>))*+"
+_SCRIPT = rf"script\b{_TAG_REST}{_SCRIPT_BODY}(?:</script\s*+>|\z)"
 _STYLE = r"style\b[^>]*>.*?(?:</style\s*>|\z)"
 _TITLE = r"title\b[^>]*>.*?</title\s*>"
 _META = rf"meta\b{_TAG_REST}"
@@ -29,8 +31,7 @@ _LD_JSON_TAG = (
     r"""^<(?i:script)\b(?:(?:[^>"'\s]++|"[^"]*+"|'[^']*+'|\s)*?|[^>]*?)(?<=\s)(?i:type)\s*=\s*"""
     rf"""(?:"{_LD_JSON}"|'{_LD_JSON}'|{_LD_JSON}(?=[\s>]))"""
 )
-_SCRIPT_OPEN = rf"(?is)^<script\b{_TAG_REST}"
-_SCRIPT_CLOSE = r"(?i)</script\s*>$"
+_SCRIPT_CONTENT = rf"(?is)^<script\b{_TAG_REST}({_SCRIPT_BODY})"
 
 _ATTRIBUTE = r"""(?s)([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']*)"""
 _QUOTES = r"""^["']|["']$"""
@@ -40,9 +41,7 @@ def jsonld_scripts(html: Column) -> Column:
     """Bodies of the ``application/ld+json`` scripts of a page, in order, as ``array<string>``."""
     tokens = F.regexp_extract_all(html, F.lit(_BLOCK_TOKENS), F.lit(0))
     blocks = F.filter(tokens, lambda t: F.rlike(t, F.lit(_LD_JSON_TAG)))
-    bodies = F.transform(
-        blocks, lambda t: F.regexp_replace(F.regexp_replace(t, _SCRIPT_OPEN, ""), _SCRIPT_CLOSE, "")
-    )
+    bodies = F.transform(blocks, lambda t: F.regexp_extract(t, _SCRIPT_CONTENT, 1))
     # Most pages carry no such block: a byte scan settles that before the tokenizer runs.
     return F.when(F.contains(html, F.lit("application/ld")), bodies).otherwise(string_array([]))
 
@@ -129,11 +128,11 @@ def meta_attributes(tokens: Column) -> Column:
             lambda key, val: F.struct(F.lower(key).alias("key"), val.alias("val")),
         )
 
-        def value(name: str) -> Column:
+        def value(pairs: Column, name: str) -> Column:
             same = F.filter(pairs, lambda p: p["key"] == name)
             return F.regexp_replace(F.try_element_at(same, F.lit(-1))["val"], _QUOTES, "")
 
-        return F.struct(*[value(n).alias(n) for n in ("property", "name", "content")])
+        return let(pairs, lambda ps: F.struct(*[value(ps, n).alias(n) for n in ("property", "name", "content")]))
 
     metas = F.filter(tokens, lambda t: F.rlike(t, F.lit(r"(?i)^<meta\b")))
     return F.transform(metas, attributes)

@@ -6,6 +6,8 @@ explodes it into rows or shuffles it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ def _is_string(value: Column) -> Column:
 
 
 def _is_object(value: Column) -> Column:
-    return _at(value, "$", "map<string, variant>").isNotNull()
+    """Only objects become a struct, whatever their fields; of this one no value is copied."""
+    return _at(value, "$", "struct<`@`: boolean>").isNotNull()
 
 
 # What the numbers that JSON does not have read as; the scan for them writes strings.
@@ -101,7 +104,9 @@ def is_job_posting_type(type_value: Column) -> Column:
     deep = F.exists(flat, lambda item: _is_string(item) & _at(item, "$", "string").isin(accepted))
     names = F.coalesce(_at(type_value, "$", "array<string>"), F.array(_at(type_value, "$", "string")))
     inner = F.exists(listed, lambda item: _items(item).isNotNull())
-    return F.coalesce(F.when(inner, deep).otherwise(named(names)), F.lit(False))
+    # nearly all types are strings; the text of a list or object is none of the accepted ones
+    plain = _at(type_value, "$", "string").isin(accepted)
+    return F.coalesce(F.when(plain, F.lit(True)).when(inner, deep).otherwise(named(names)), F.lit(False))
 
 
 def _children(value: Column) -> Column:
@@ -110,7 +115,8 @@ def _children(value: Column) -> Column:
 
 
 def _node(value: Column) -> Column:
-    return F.struct(value.alias("v"), is_job_posting_type(_at(value, "$['@type']", "variant")).alias("hit"))
+    hit = let(_at(value, "$['@type']", "variant"), is_job_posting_type)
+    return F.struct(value.alias("v"), hit.alias("hit"))
 
 
 def _relevant(values: Column) -> Column:
@@ -144,7 +150,8 @@ def _search(roots: Column, steps: Column, settled) -> Column:
 
 
 def _open_brackets(raw: Column) -> Column:
-    return F.length(raw) - F.length(F.replace(raw, F.lit("["), F.lit("")))
+    # a bracket is one byte, and bytes need no counting
+    return F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit("["), F.lit("")))
 
 
 def job_postings_in(raw: Column) -> Column:
@@ -169,15 +176,30 @@ def first_job_posting_in(blocks: Column) -> Column:
 # -- fields --------------------------------------------------------------------------------------------
 
 
+def _shown(text: Column, value: Column, path: str) -> Column:
+    """The text of the value at ``path``, stripped. Its kind is asked only where the text is that of a boolean."""
+    # a null in front of "and" would have the kind asked too
+    boolean = F.coalesce(text.isin("true", "false"), F.lit(False)) & (_kind(_at(value, path, "variant")) == "BOOLEAN")
+    return text_or_empty(strip(F.when(boolean, F.initcap(text)).otherwise(text)))
+
+
 def field_text(value: Column, path: str = "$") -> Column:
     """Stripped text of the value at ``path``; empty when absent or null. Booleans read True / False."""
-    part = _at(value, path, "variant")
-    text = F.when(_kind(part) == "BOOLEAN", F.initcap(_at(part, "$", "string"))).otherwise(_at(part, "$", "string"))
-    return text_or_empty(strip(text))
+    return let(_at(value, path, "string"), lambda text: _shown(text, value, path))
+
+
+def _field_texts(value: Column, names: list[str], body: Callable[[dict[str, Column]], Column]) -> Column:
+    """``body`` of the ``field_text`` of each name; the object is read once for all of them."""
+    parts = _at(value, "$", f"struct<{', '.join(f'{n}: string' for n in names)}>")
+    texts = let(parts, lambda p: F.struct(*[_shown(p[n], value, f"$.{n}").alias(n) for n in names]))
+    return let(texts, lambda t: body({n: t[n] for n in names}))
 
 
 def parse_company(posting: Column) -> Column:
-    org = _at(posting, "$.hiringOrganization", "variant")
+    return let(_at(posting, "$.hiringOrganization", "variant"), _company)
+
+
+def _company(org: Column) -> Column:
     return (
         F.when(_is_object(org), field_text(org, "$.name")).when(_is_string(org), field_text(org)).otherwise("")
     )
@@ -185,28 +207,33 @@ def parse_company(posting: Column) -> Column:
 
 def parse_location(posting: Column) -> Column:
     """``Remote``, or the place as free text or as "locality, region, country"."""
-    location = _at(posting, "$.jobLocation", "variant")
-    items = _items(location)
-    place = F.when(items.isNotNull(), F.get(items, F.lit(0))).otherwise(location)
-
-    def address_text(address: Column) -> Column:
-        locality = F.nullif(field_text(address, "$.addressLocality"), F.lit(""))
-        region = F.nullif(field_text(address, "$.addressRegion"), F.lit(""))
-        country = F.nullif(field_text(address, "$.addressCountry"), F.lit(""))
+    return _location(field_text(posting, "$.jobLocationType"), _at(posting, "$.jobLocation", "variant"))
+
+
+def _location(location_type: Column, location: Column) -> Column:
+    def place(value: Column) -> Column:
+        return let(_items(value), lambda items: F.when(items.isNotNull(), F.get(items, F.lit(0))).otherwise(value))
+
+    def address_text(t: dict[str, Column]) -> Column:
+        locality = F.nullif(t["addressLocality"], F.lit(""))
+        region = F.nullif(t["addressRegion"], F.lit(""))
+        country = F.nullif(t["addressCountry"], F.lit(""))
         alone = locality.isNull() & region.isNull()
         shown = F.when(alone | ~country.isin(HOME_COUNTRY_NAMES), country)
         return F.concat_ws(", ", locality, region, shown)
 
     def place_text(value: Column) -> Column:
-        address = _at(value, "$.address", "variant")
-        return (
-            F.when(_is_object(address), address_text(address))
+        names = ["addressLocality", "addressRegion", "addressCountry"]
+        return let(
+            _at(value, "$.address", "variant"),
+            lambda address: F.when(_is_object(address), _field_texts(address, names, address_text))
             .when(address.isNotNull(), F.when(_is_string(address), field_text(address)))
-            .when(_is_string(value), field_text(value))
+            .when(_is_string(value), field_text(value)),
         )
 
-    remote = F.upper(field_text(posting, "$.jobLocationType")) == REMOTE_LOCATION_TYPE
-    return F.when(remote, F.lit("Remote")).otherwise(text_or_empty(let(place, place_text)))
+    remote = F.upper(location_type) == REMOTE_LOCATION_TYPE
+    found = let(location, lambda value: let(place(value), place_text))
+    return F.when(remote, F.lit("Remote")).otherwise(text_or_empty(found))
 
 
 def parse_date(value: Column) -> Column:
@@ -222,13 +249,42 @@ def parse_date(value: Column) -> Column:
 
 def parse_apply_url(posting: Column, source_url: Column) -> Column:
     """The posting's own URL when it is not just the page it was found on."""
+    return let(field_text(posting, "$.url"), lambda url: _apply_url(url, source_url))
+
 
+def _apply_url(url: Column, source_url: Column) -> Column:
     def bare(url: Column) -> Column:
         return F.rtrim(url, F.lit("/"))
 
-    url = field_text(posting, "$.url")
     return F.when((url != "") & (bare(url) != bare(text_or_empty(source_url))), url)
 
 
 def parse_employment_type(posting: Column) -> Column:
     return field_text(posting, "$.employmentType")
+
+
+def posting_fields(posting: Column, source_url: Column) -> Column:
+    """Struct of all fields of a posting, NULL where there is none.
+
+    Each has the value of its own function above, but the posting is read once: taking a field out of a VARIANT
+    copies it, and a VARIANT column is copied as a whole by each expression that reads it.
+    """
+    texts = ["title", "description", "employmentType", "url", "jobLocationType"]
+    parts = [f"{n}: string" for n in texts] + [f"{n}: variant" for n in ("hiringOrganization", "jobLocation", "datePosted")]
+
+    def fields(value: Column, part: Column) -> Column:
+        text = {n: _shown(part[n], value, f"$.{n}") for n in texts}
+        return F.struct(
+            text["title"].alias("title"),
+            let(part["hiringOrganization"], _company).alias("company"),
+            _location(text["jobLocationType"], part["jobLocation"]).alias("location"),
+            text["description"].alias("description"),
+            let(part["datePosted"], parse_date).alias("_date"),
+            let(text["url"], lambda url: _apply_url(url, source_url)).alias("apply_url"),
+            text["employmentType"].alias("employment_type"),
+        )
+
+    def of(value: Column) -> Column:
+        return F.when(value.isNotNull(), let(_at(value, "$", f"struct<{', '.join(parts)}>"), lambda p: fields(value, p)))
+
+    return let(posting, of)

@@ -38,18 +38,6 @@ def first_job_posting(walk: DataFrame) -> DataFrame:
     return walk.groupBy("url").agg(F.min_by("v", F.struct("blk", "pos")).alias("v"))
 
 
-def _posting_fields(posting: Column, url: Column) -> dict[str, Column]:
-    return {
-        "title": J.field_text(posting, "$.title"),
-        "company": J.parse_company(posting),
-        "location": J.parse_location(posting),
-        "description": J.field_text(posting, "$.description"),
-        "_date": J.parse_date(F.try_variant_get(posting, "$.datePosted", "variant")),
-        "apply_url": J.parse_apply_url(posting, url),
-        "employment_type": J.parse_employment_type(posting),
-    }
-
-
 def _meta_texts(tokens: Column, metas: Column) -> Column:
     return H.readable_texts(
         [
@@ -96,17 +84,19 @@ def extract_pages(crawl: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     readable = F.when(F.col("blocked"), F.lit("")).otherwise(text_or_empty(F.col("html")))
     pages = scan_crawl(crawl).select(*kept, readable.alias("_html"))
     blocks = pages.select(*kept, "_html", H.jsonld_scripts(F.col("_html")).alias("_blocks"))
-    found = blocks.select(*kept, "_html", J.first_job_posting_in(F.col("_blocks")).alias("_posting"))
-    tokens = F.when(F.col("_posting").isNull(), H.head_tokens(F.col("_html")))
+    posting = J.posting_fields(J.first_job_posting_in(F.col("_blocks")), F.col("url"))
+    found = blocks.select(*kept, "_html", posting.alias("_posting"))
+    # most pages without a posting are blocked and have no tags to look for
+    tokens = F.when(F.col("_posting").isNull() & (F.col("_html") != ""), H.head_tokens(F.col("_html")))
     ready = _with_meta(found, tokens)
 
     posting, has_posting = F.col("_posting"), F.col("_posting").isNotNull()
     meta = _meta_fields(F.col("_texts"))
     fields = {
-        name: F.when(has_posting, value).otherwise(meta.get(name, F.lit("")))
+        name: F.when(has_posting, posting[name]).otherwise(meta.get(name, F.lit("")))
         if name not in ("_date", "apply_url")
-        else F.when(has_posting, value)
-        for name, value in _posting_fields(posting, F.col("url")).items()
+        else posting[name]
+        for name in ("title", "company", "location", "description", "_date", "apply_url", "employment_type")
     }
     return with_computed(ready.select(*kept, "_posting", "_texts"), fields).select(
         "url",

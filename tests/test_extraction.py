@@ -200,3 +200,33 @@ def test_script_tags_with_a_quoted_bracket(spark):
     pages = crawl(spark, *[(str(i), f"<p>x</p>{tag}{body}</script><p>y</p>") for i, tag in enumerate(tags)])
     got = {r.url: r.title for r in extract_pages(pages).collect()}
     assert got == {str(i): title for i, title in enumerate(tags.values())}
+
+
+def test_posting_is_no_column_and_tags_are_cut_once(spark):
+    """Every expression that reads a VARIANT column copies all of it, and a tag was cut once for each attribute."""
+    page = crawl(spark, ("https://x/1", "", 200, ""))
+    plan = extract_pages(page)._jdf.queryExecution().optimizedPlan()
+    nodes, kinds = [plan], []
+    while nodes:
+        node = nodes.pop()
+        children, output = node.children(), node.output()
+        nodes.extend(children.apply(i) for i in range(children.size()))
+        kinds.extend(output.apply(i).dataType().simpleString() for i in range(output.size()))
+    assert kinds and not [k for k in kinds if "variant" in k]
+    tag = F.concat(F.lit("<meta name=x content="), F.col("id"), F.lit(">"))
+    tags = spark.range(1).select(meta_attributes(F.array(tag)).alias("metas"))
+    cuts = tags._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(")
+    assert cuts == 2
+
+
+def test_script_bodies(spark):
+    pages = [
+        "<script type='application/ld+json'>a < b </scrip </script x </SCRIPT\n>rest</script>",
+        "<script type='application/ld+json'></script>",
+        "<script type='application/ld+json'>open </script",
+        "<script type='application/ld+json'>ends\n",
+    ]
+    assert apply(spark, jsonld_scripts, pages) == [["a < b </scrip </script x "], [""], ["open </script"], ["ends\n"]]
+    # a long body takes no stack
+    body = "<" * 200_000
+    assert apply(spark, jsonld_scripts, [f"<script type='application/ld+json'>{body}</script>"]) == [[body]]

@@ -136,3 +136,30 @@ def test_apply_url(spark):
     urls = ["https://x/1", "https://x/1//", "https://x/2", "", None, " https://x/1/ "]
     got = on_json(spark, lambda v: J.parse_apply_url(v, F.lit(source)), [{"url": u} for u in urls] + [{}])
     assert got == [None, None, "https://x/2", None, None, None, None]
+
+
+ODD_POSTINGS = [
+    {}, {"title": True, "url": False, "jobLocationType": "telecommute"}, {"title": "true", "description": None, "url": 7},
+    {"title": ["a"], "description": {"b": 1}, "employmentType": ["FULL_TIME", "INTERN"], "hiringOrganization": " Text "},
+    {"hiringOrganization": {"name": True}, "jobLocation": [], "datePosted": 20240601, "url": "https://s/1/"},
+    {"hiringOrganization": ["x"], "jobLocation": ["Lyon, France", "Paris"], "datePosted": "2024-W05-3"},
+    {"hiringOrganization": {}, "jobLocation": {"address": {"addressLocality": " SF ", "addressCountry": "US"}}},
+    {"jobLocation": [{"address": {"addressRegion": True, "addressCountry": "FR"}}], "url": "https://s/2"},
+    {"jobLocation": {"address": "true"}}, {"jobLocation": {"address": None}}, {"jobLocation": {"address": ["x"]}}, [1], "x",
+]
+
+
+def test_fields_read_at_once_are_those_read_one_by_one(spark):
+    url = F.lit("https://s/1")
+    rows = spark.createDataFrame([(json.dumps(p),) for p in ODD_POSTINGS], "raw string").select(J.jsonld_parse(F.col("raw")).alias("v"))
+    v = F.col("v")
+    single = F.struct(
+        J.field_text(v, "$.title").alias("title"), J.parse_company(v).alias("company"),
+        J.parse_location(v).alias("location"), J.field_text(v, "$.description").alias("description"),
+        J.parse_date(F.try_variant_get(v, "$.datePosted", "variant")).alias("_date"),
+        J.parse_apply_url(v, url).alias("apply_url"), J.parse_employment_type(v).alias("employment_type"),
+    )
+    found = rows.select(J.posting_fields(v, url).alias("once"), single.alias("single")).collect()
+    assert [r.once for r in found] == [r.single for r in found]
+    assert found[1].once.title == "True" and found[2].once.title == "true"
+    assert rows.limit(1).select(J.posting_fields(F.lit(None).cast("variant"), url).alias("f")).collect()[0].f is None
