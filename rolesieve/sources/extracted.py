@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolesieve.functions.bits import BITS, bit_is_set
@@ -16,21 +17,40 @@ from rolesieve.sources.tables import read_parquet_or_empty
 
 #: Bitmaps of new rows (4 KB each, for 32,768 rows of a file) that one job broadcasts.
 MOST_BITMAPS = 8192
+#: Keys of a crawl that one task compares and sorts; a larger crawl gets more tasks, not larger ones.
+ROWS_OF_A_TASK = 500_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """So many tasks for the keys of a crawl, not fewer than the session has for a shuffle; 0: what Spark sees fit."""
+    if rows <= ROWS_OF_A_TASK:
+        return 0
+    return max(-(-rows // ROWS_OF_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def new_pages(crawl: DataFrame, keys: list[str], known: DataFrame, folder: str) -> Iterator[DataFrame]:
     """The rows of ``crawl``, read from files, whose keys are not in ``known``, in parts that are whole files.
 
     Only keys and row positions are compared with what is known. The rows are then picked where they lie, by a bitmap of
-    positions for each stretch of a file, so no page body is shuffled and none of a known page is parsed.
+    positions for each stretch of a file, so no page body is shuffled and none of a known page is parsed. Files are
+    numbered: their paths, which are longer than most keys, would be sorted and shuffled with every row.
     """
     file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    sizes = dict(crawl.groupBy(file).count().orderBy(file).collect())  # one row for each file
+    paths, parts = list(sizes), tasks_for(crawl.sparkSession, sum(sizes.values()))
+    numbered = pa.table({"_number": pa.array(range(len(paths)), pa.int32()), "_file": pa.array(paths, pa.string())})
+    numbers = F.broadcast(crawl.sparkSession.createDataFrame(numbered))
     rows = crawl.filter("url IS NOT NULL").select(*[f"`{k}`" for k in keys], file.alias("_file"), row.alias("_row"))
+    rows = rows.join(numbers, "_file").drop("_file")
+    if parts and keys == ["url"]:
+        rows, known = rows.repartition(parts, "url"), known.repartition(parts, "url")
     same = [rows[k].eqNullSafe(known[k]) if k != "url" else rows[k] == known[k] for k in keys]
-    new = rows.join(known, same, "left_anti")
-    stretch = F.floor(F.col("_row") / BITS).alias("_stretch")
-    marked = new.groupBy("_file", stretch).agg(F.bitmap_construct_agg(F.col("_row") % BITS).alias("_bits"))
-    marked = stage_table(marked, f"{folder}/rows")
+    new = rows.join(known, same, "left_anti").select("_number", F.floor(F.col("_row") / BITS).alias("_stretch"), "_row")
+    if parts:
+        # rows are dealt, not a bitmap of each stretch by each task: that would be tasks times stretches
+        new = new.repartition(parts, "_number", "_stretch")
+    marked = new.groupBy("_number", "_stretch").agg(F.bitmap_construct_agg(F.col("_row") % BITS).alias("_bits"))
+    marked = stage_table(marked.join(numbers, "_number").drop("_number"), f"{folder}/rows")
     # one row for each file that has new pages
     counts = marked.groupBy("_file").count().orderBy("_file").collect()
     while counts:

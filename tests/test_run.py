@@ -1,4 +1,5 @@
 import datetime as dt
+import uuid
 from pathlib import Path
 
 import pytest
@@ -9,6 +10,7 @@ from rolesieve import RunOptions, execute_run, incremental_run, run_pipeline
 from rolesieve.functions.hashing import posting_hash
 from rolesieve.operators.extraction import extract_pages
 from rolesieve.session import shared_dir, stage_name
+from rolesieve.sources import extracted
 from rolesieve.sources.extracted import extract_new_pages
 from rolesieve.sources.seen import append_seen, read_seen
 from rolesieve.sources.target import read_target
@@ -328,3 +330,24 @@ def test_results_wait_for_their_page(spark, world, tmp_path):
     assert step(results.filter("pos < 6"), some) == (first, 2)
     assert step(results.filter("pos = 6"), some) == ([*first, "Result blocked"], 3)
     assert step(results.filter("pos = 6"), pages) == (["Chef", "Data Engineer", "Data Gone", "Result blocked", "Security Analyst"], 5)
+
+
+def test_new_pages_are_compared_in_tasks_of_bounded_size_without_their_paths(spark, tmp_path, monkeypatch):
+    landed, frames = str(tmp_path / "landed"), []
+    urls = spark.range(3000).select(F.concat(F.lit("https://x/"), "id").alias("url"), F.lit("").alias("html"))
+    urls.repartition(3).write.parquet(landed)
+    spark.createDataFrame([("https://x/5", "again"), ("https://x/6", "again"), (None, "")], "url string, html string").write.mode("append").parquet(landed)
+    crawl = spark.read.parquet(landed)
+    known = spark.read.parquet(landed).select("url").filter("cast(substring(url, 11) AS int) % 2 = 0")
+    stage = extracted.stage_table
+    monkeypatch.setattr(extracted, "stage_table", lambda df, name: frames.append(df) or stage(df, name))
+    found = {}
+    for most in (100, 500_000):
+        monkeypatch.setattr(extracted, "ROWS_OF_A_TASK", most)
+        found[most] = [r for part in extracted.new_pages(crawl, ["url"], known, f"test-{uuid.uuid4().hex}") for r in part.collect()]
+    assert sorted(map(str, found[100])) == sorted(map(str, found[500_000])) and len(found[100]) == 1501
+    plan = tree(frames[0])
+    assert plan.count("hashpartitioning(url") == 2 and plan.count(", 31), REPARTITION_BY_NUM") == 3
+    for frame in frames:
+        assert not [line for line in tree(frame).splitlines() if "Sort [" in line and "_file" in line]
+    assert [extracted.tasks_for(spark, n) for n in (0, 500_000, 500_001, 60_000_000)] == [0, 0, 8, 120]
