@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,14 @@ PATTERN = (
 )
 #: White space other than the blank.
 OTHER_SPACES = "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE_ITEMS = 400_000
+CACHE_ITEMS = 200_000
 CACHED_LENGTH = 64
 #: Characters encoded together; a longer text goes alone.
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 2 << 20
+#: Rows of an Arrow batch whose texts become Python strings together.
+ROWS = 256
 #: Number of ids, the decimal ids joined by commas, the bytes the ids stand for.
-Encoded = tuple[int, str, bytes]
+Encoded = Sequence[int | str | bytes]
 
 
 def byte_letters() -> list[str]:
@@ -72,7 +74,9 @@ class Encoding:
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
         self.words = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
+        #: encoded pieces seen of late, and those before; what is not asked for while the first fills up is dropped
         self.kept: dict[str, Encoded] = {}
+        self.older: dict[str, Encoded] = {}
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it is none."""
@@ -165,30 +169,36 @@ class Encoding:
         return self.words.findall(piece)
 
     def encode_batch(self, texts: Iterable[str]) -> list[list[Encoded]]:
-        """Each text as a list of encoded pieces; they are shared between texts."""
-        if len(self.kept) > CACHE_ITEMS:
-            self.kept.clear()
-        cut = []
+        """Each text as a list of encoded pieces; they are shared between texts. A text's own pieces are dropped once they
+        are looked up: of those not kept, one each waits for its encoding in ``new``."""
+        if len(self.kept) > CACHE_ITEMS // 2:
+            self.older, self.kept = self.kept, {}
+        kept, older, new = self.kept, self.older, {}
+        found = []
         for text in texts:
             pieces, at = [], 0
             for m in self.specials.finditer(text) if self.special else ():
                 pieces += self.pieces(text[at : m.start()])
                 pieces.append(m.group())
                 at = m.end()
-            cut.append(pieces + self.pieces(text[at:]))
-        kept = self.kept
-        new = set().union(*cut) - kept.keys()
+            pieces += self.pieces(text[at:])
+            encoded = list(map(kept.get, pieces))
+            if None in encoded:
+                for p, e in zip(pieces, encoded, strict=True):
+                    if e is None and p in older:
+                        kept[p] = older[p]
+                encoded = list(map(kept.get, pieces))
+                encoded = [new.setdefault(p, []) if e is None else e for p, e in zip(pieces, encoded, strict=True)]
+            found.append(encoded)
         words = {p: self.words_of(p) for p in new}
         distinct = list(set().union(*words.values()) - self.special.keys())
         ids = dict(zip(distinct, self.encode_words(distinct), strict=True)) | {s: [i] for s, i in self.special.items()}
-        long = {}
-        for piece, ws in words.items():
-            found = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
-            listed = len(found), ",".join(map(str, found)), b"".join(map(self.bytes_of.__getitem__, found))
-            (kept if len(piece) <= CACHED_LENGTH else long)[piece] = listed
-        if long:
-            return [[kept[p] if p in kept else long[p] for p in pieces] for pieces in cut]
-        return [[kept[p] for p in pieces] for pieces in cut]
+        for piece, waiting in new.items():
+            of_piece = [i for w in words[piece] for i in ids[w]]
+            waiting += len(of_piece), ",".join(map(str, of_piece)), b"".join(map(self.bytes_of.__getitem__, of_piece))
+            if len(piece) <= CACHED_LENGTH:
+                kept[piece] = tuple(waiting)
+        return found
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -205,7 +215,13 @@ def encoding(path: str) -> Encoding:
     return _open[path]
 
 
-def by_size(texts: list[str], most: int) -> Iterator[list[str]]:
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """The texts of a column, null as empty, without a second copy of the whole column."""
+    for at in range(0, len(column), ROWS):
+        yield from ["" if t is None else t for t in column.slice(at, ROWS).to_pylist()]
+
+
+def by_size(texts: Iterable[str], most: int) -> Iterator[list[str]]:
     """The texts in groups of ``most`` characters or one text."""
     group, size = [], 0
     for text in texts:
@@ -230,9 +246,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for part in batches:
-            texts = ["" if t is None else t for t in part.column(1).to_pylist()]
             counts, digests, decoded, all_ids = [], [], [], []
-            for group in by_size(texts, BATCH_CHARS):
+            for group in by_size(texts_of(part.column(1)), BATCH_CHARS):
                 for pieces in enc.encode_batch(group):
                     joined = ",".join([p[1] for p in pieces])
                     counts.append(sum([p[0] for p in pieces]))
