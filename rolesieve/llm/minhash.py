@@ -6,10 +6,13 @@ would lose weight because the text was copied.) Consistent weighted sampling dra
 two sets draw the same one with the probability of their weighted Jaccard similarity; runs of 5 samples are the bands.
 Documents that share a band are verified by their true weighted Jaccard similarity, and links make classes.
 
-No bucket is expanded into all its pairs. Equal texts are one node. Each bucket compares its members with a few hubs;
-while members of a bucket are still in different classes, further hubs are drawn; what then remains is compared in
-full once that is few pairs (or a round of hubs took away less than a fifth of it). Members of one class need no comparison: their links would
-not change it. Pairs whose sketches agree in fewer than half of the samples are not verified: two texts of similarity 0.8
+No bucket is expanded into rows for its pairs. Equal texts are one node. The texts of a bucket meet in a task, which
+compares their sketches and verifies pairs from the most similar sketches on; a pair whose members are already in one class
+is not verified, as its link would not change it. A task gives back only which classes became one. Buckets are taken in
+turns, the first band first; in later turns those whose members are in one class by then do not take part. A bucket of more
+than ``TILE`` members is dealt over several tasks, and the members that are in most and largest buckets are sent to all of
+them: copies of one text are most like that text. Where this leaves members in different classes, every two parts of
+the bucket meet in a further task. Pairs whose sketches agree in fewer than half of the samples are not verified: two texts of similarity 0.8
 do so once in some 10^6 pairs.
 
 Document frequencies are counted for each word, over all documents. Those of the 2^20 most frequent words are sent
@@ -25,7 +28,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,13 +52,14 @@ BITS, PIECE_BITS = 1 << 27, 1 << 15
 DRAWS = 1 << 16
 #: Shingles sampled at a time; few enough for their numbers to stay in the processor's cache.
 ROWS = 512
-HUB_ROUNDS = 12
-#: Members of a bucket that all its others are compared with in one round.
-HUBS = 8
-#: A round of hubs that leaves more than this share of the open pairs is the last.
-SHRINKS = 0.8
-#: Pairs per row that may be compared by their sketches in one step.
-PAIRS_PER_ROW = 2
+#: The first and the last band of each turn.
+TURNS = [(0, 0), (1, 3), (4, SAMPLES // BAND - 1)]
+#: Members of a bucket, and their characters, that meet in one task; bounds on its memory, not on the bucket.
+TILE, TILE_CHARS = 1024, 8 << 20
+#: So few are compared in all samples at once.
+FEW = 64
+#: Members that are sent to all parts of a bucket.
+HUBS = 16
 #: Samples that must agree before the sets of a pair are fetched.
 AGREE = 25
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -269,56 +272,104 @@ def _others(part: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray] | None]:
     return [(words[a:b], counts[a + shift : b + shift]) if some else None for some, a, b in spans]
 
 
-def sketches(docs: DataFrame, idf: Frequencies, id_col: str, text_col: str) -> DataFrame:
-    """id, node and the sketch (no samples for a text without words) of every row."""
+def sketches(docs: DataFrame, idf: Frequencies, text_col: str) -> DataFrame:
+    """node, text, the words and counts that were not sent, and the sketch (none for a text without words); one row of
+    each node."""
     shared = docs.sparkSession.sparkContext.broadcast(idf.sent())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rows = []
-            for text, others in zip(part.column(2).to_pylist(), _others(part), strict=True):
-                shingles, weights = weighted_shingles(text, shared.value, others)
+            for text, others in zip(part.column(1), _others(part), strict=True):
+                shingles, weights = weighted_shingles(text.as_py(), shared.value, others)
                 rows.append(sketch(shingles, weights) if len(shingles) else None)
-            lists = pa.array(rows, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["id", "node", "sketch"])
+            columns = [part.column(c) for c in ("node", "text", "words", "counts")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(pa.int32()))], ["node", "text", "words", "counts", "sketch"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), node(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    return with_rare_words(rows, idf).mapInArrow(run, f"id {kind}, node string, sketch array<int>")
-
-
-def vectors(docs: DataFrame, nodes: DataFrame, idf: Frequencies, text_col: str) -> DataFrame:
-    """node, shingles and weights of ``nodes``."""
-    shared = docs.sparkSession.sparkContext.broadcast(idf.sent())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            texts = zip(part.column(1).to_pylist(), _others(part), strict=True)
-            sets = [weighted_shingles(text, shared.value, others) for text, others in texts]
-            arrays = [pa.array([s[i].tobytes() for s in sets], pa.binary()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["node", "shingles", "weights"])
-
-    texts = docs.select(node(F.col(text_col)).alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
+    rows = docs.select(node(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
     one = F.row_number().over(Window.partitionBy("node").orderBy(F.lit(0)))
-    first = texts.withColumn("rank", one).filter("rank = 1").select("node", "text")
-    return with_rare_words(first, idf).mapInArrow(run, "node string, shingles binary, weights binary")
+    first = rows.withColumn("rank", one).filter("rank = 1").select("node", "text")
+    return with_rare_words(first, idf).mapInArrow(run, "node string, text string, words array<long>, counts array<long>, sketch array<int>")
 
 
-def verified(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose similarity reaches the threshold."""
+def band_members(texts: DataFrame) -> DataFrame:
+    """(band, key, node, chars, n) of the nodes that share a band with others; ``n`` nodes share this one."""
+    bands = F.transform(
+        F.sequence(F.lit(0), F.lit(SAMPLES // BAND - 1)),
+        lambda b: F.struct(b.alias("band"), F.xxhash64(b, *[F.get("sketch", b * BAND + i) for i in range(BAND)]).alias("key")),
+    )
+    keyed = texts.filter("sketch IS NOT NULL").select("node", F.length("text").alias("chars"), F.explode(bands).alias("at"))
+    keyed = keyed.select("at.band", "at.key", "node", "chars")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return keyed.join(shared, "key").select("band", "key", "node", "chars", "n")
+
+
+def joined_labels(tiles: DataFrame, idf: Frequencies, threshold: float) -> DataFrame:
+    """``tiles`` (tile, part, label, node, text, words, counts, sketch) to links (a, b) between labels: rows of a tile are
+    compared with each other, unless they are of the same part (null is the same as none)."""
+    shared = tiles.sparkSession.sparkContext.broadcast(idf.sent())
+    columns = ["tile", "text", "words", "counts", "part", "label", "sketch"]
+
+    def compare(rows: pa.RecordBatch) -> Iterator[tuple[str, str]]:
+        """The links within the rows of one tile."""
+        names = rows.column("label").to_pylist()
+        parent = {name: name for name in names}
+        if len(parent) == 1:
+            return
+        sketched = rows.column("sketch").flatten().to_numpy().reshape(len(names), SAMPLES)
+        parts = rows.column("part").to_numpy(zero_copy_only=False)
+        others, texts, sets = _others(rows), rows.column("text"), {}
+
+        def root(name: str) -> str:
+            while parent[name] != name:
+                parent[name] = name = parent[parent[name]]
+            return name
+
+        def weighted(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in sets:
+                sets[i] = weighted_shingles(texts[i].as_py(), shared.value, others[i])
+            return sets[i]
+
+        if len(names) <= FEW:
+            agree = (sketched[:, None] == sketched).sum(2, dtype=np.uint8)
+        else:
+            agree = np.zeros((len(names), len(names)), np.uint8)
+            for sample in np.ascontiguousarray(sketched.T):
+                agree += sample[:, None] == sample
+        first, second = np.nonzero(np.triu(agree >= AGREE, 1))
+        apart = ~(parts[first] == parts[second])  # null parts are not equal
+        first, second = first[apart], second[apart]
+        classes = len(parent)
+        for at in np.argsort(-agree[first, second].astype(int), kind="stable").tolist():
+            i, j = int(first[at]), int(second[at])
+            a, b = root(names[i]), root(names[j])
+            if a != b and similarity(weighted(i), weighted(j)) >= threshold:
+                parent[max(a, b)] = min(a, b)
+                classes -= 1
+                if classes == 1:
+                    break
+        yield from ((name, root(name)) for name in parent if root(name) != name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last tile so far, which may go on in the next batch
         for part in batches:
-            keep = []
-            for sa, wa, sb, wb in zip(*[part.column(i).to_pylist() for i in range(2, 6)], strict=True):
-                a = np.frombuffer(sa, np.uint64), np.frombuffer(wa, np.float32)
-                keep.append(similarity(a, (np.frombuffer(sb, np.uint64), np.frombuffer(wb, np.float32))) >= threshold)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
+            if held is not None:
+                part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
+            tile = part.column("tile").to_numpy()
+            cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist()]
+            yield linked(part.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+            held = part.slice(cuts[-1])
+        if held is not None:
+            yield linked([held])
 
-    left = known.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
-    right = known.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a string, b string")
+    def linked(parts) -> pa.RecordBatch:
+        found = [link for part in parts if len(part) > 1 for link in compare(part)]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], ["a", "b"])
+
+    # a number of its own, so that Spark does not put costly tiles of few bytes into one task
+    tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.select(*columns).repartition(tasks, "tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(run, "a string, b string")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -339,17 +390,44 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``labels`` after further links: only the links between labels are followed, so earlier ones are not again."""
-    if labels is None:
-        return components(links)
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    known = stage(labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("label", F.col("node"))), "labels")
-    first = known.select(F.col("node").alias("a"), F.col("label").alias("first"))
-    second = known.select(F.col("node").alias("b"), F.col("label").alias("second"))
-    between = links.join(first, "a").join(second, "b").select(F.col("first").alias("a"), F.col("second").alias("b"))
-    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("onto"))
-    return stage(known.join(moved, "label", "left").select("node", F.coalesce("onto", "label").alias("label")), "labels")
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after links between labels."""
+    moved = components(links).select(F.col("node").alias("label"), F.col("label").alias("onto"))
+    return stage(labels.join(moved, "label", "left").withColumn("label", F.coalesce("onto", "label")).drop("onto"), "labels")
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that are in different classes, with label, weight and the parts (one or more) that their
+    bucket is dealt over."""
+    named = members.join(labels, "node")
+    sizes = named.groupBy("key").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"), F.sum("chars").alias("size")
+    )
+    parts = F.ceil(F.greatest(F.col("rows") / TILE, F.col("size") / TILE_CHARS)).alias("parts")
+    return named.join(sizes.filter("least != most").select("key", parts), "key").select("key", "node", "label", "weight", "parts")
+
+
+def part_of() -> Column:
+    return F.pmod(F.xxhash64("node"), F.col("parts"))
+
+
+def tiles_of_buckets(opened: DataFrame) -> DataFrame:
+    """A tile for each bucket, or for each part of a large one; its hubs are in all its tiles."""
+    none = F.lit(None).cast("long").alias("part")
+    small = opened.filter("parts = 1").select(F.xxhash64("key", F.lit(0)).alias("tile"), none, "label", "node")
+    heaviest = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
+    large = opened.filter("parts > 1").withColumn("rank", F.row_number().over(heaviest))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    large = large.withColumn("in", F.explode(F.when(F.col("rank") <= HUBS, every).otherwise(F.array(part_of()))))
+    return small.union(large.select(F.xxhash64("key", "in").alias("tile"), none, "label", "node"))
+
+
+def tiles_of_parts(opened: DataFrame) -> DataFrame:
+    """A tile for every two parts of a large bucket."""
+    large = opened.filter("parts > 1").withColumn("part", part_of())
+    large = large.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).filter("`with` != part")
+    tile = F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with"))
+    return large.select(tile.alias("tile"), "part", "label", "node")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -360,69 +438,26 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def labelled_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """``near_classes`` with the label of the class, which no other class has."""
     idf = document_frequencies(docs, text_col)
-    rows = stage(sketches(docs, idf, id_col, text_col), "sketches")
-    nodes = rows.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(SAMPLES // BAND - 1)),
-        lambda b: F.xxhash64(b, *[F.get("sketch", b * BAND + i) for i in range(BAND)]),
-    )
-    keyed = nodes.filter("sketch IS NOT NULL").select("node", F.explode(bands).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = stage(keyed.join(shared, "key"), "band-members")
-    tried, known = None, None
-    labels, before = None, math.inf
-    patterns = stage(nodes.join(members.select("node").distinct(), "node", "left_semi"), "member-sketches")
-    linear = max(1000, PAIRS_PER_ROW * rows.count())
-    for turn in range(HUB_ROUNDS + 1):
-        named = members.withColumn("label", F.col("node"))
-        if labels is not None:
-            named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        named = stage(named, "bucket-labels")
-        sizes = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
-            F.count("*").alias("classes"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
-        )
-        open_buckets = stage(sizes.filter("classes > 1"), "open-buckets")
-        rest = open_buckets.agg(F.sum("pairs")).first()[0] or 0
-        if not rest:
-            break
-        inside = named.join(open_buckets.select("key"), "key")
-        last = rest <= linear or rest > SHRINKS * before or turn == HUB_ROUNDS
-        before = rest
-        if last:
-            other = inside.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = inside.withColumnRenamed("node", "a").join(other, "key").filter("label != other AND a < b")
-        else:
-            drawn = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-            hubs = inside.withColumn("rank", F.row_number().over(drawn)).filter(F.col("rank") <= HUBS)
-            hubs = hubs.select("key", F.col("node").alias("hub"), F.col("label").alias("other"))
-            met = inside.join(hubs, "key").filter("label != other")
-            pairs = met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        first = patterns.select(F.col("node").alias("a"), F.col("sketch").alias("pa"))
-        second = patterns.select(F.col("node").alias("b"), F.col("sketch").alias("pb"))
-        agree = F.size(F.filter(F.zip_with("pa", "pb", lambda x, y: x == y), lambda same: same))
-        pairs = stage(pairs.join(first, "a").join(second, "b").select("a", "b", (agree >= AGREE).alias("near")), "pairs")
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        likely = pairs.filter("near").select("a", "b")
-        if known is None:
-            wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-            known = stage(vectors(docs, wanted, idf, text_col), "vectors")
-            covered = known.select("node")
-        else:
-            wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-            more = stage(vectors(docs, wanted.join(covered, "node", "left_anti"), idf, text_col), "vectors")
-            known = known.union(more)
-            covered = known.select("node")
-        found = stage(verified(likely, known, threshold), "near-links")
-        if found.limit(1).count():
-            labels = merged(labels, found)
-        if last:
-            break
-    labelled = rows.select("id", "node").withColumn("label", F.col("node"))
-    if labels is not None:
-        labelled = rows.select("id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    texts = stage(sketches(docs, idf, text_col), "sketches")
+    members = stage(band_members(texts), "band-members")
+    labels = members.groupBy("node").agg(F.sum("n").alias("weight")).withColumn("label", F.col("node"))
+    labels = stage(labels, "labels")
+    texts = stage(texts.join(labels.select("node"), "node", "left_semi"), "member-texts")
+
+    def compared(labels: DataFrame, tiles: DataFrame) -> DataFrame:
+        tiles = stage(tiles, "tiles")
+        if not tiles.limit(1).count():
+            return labels
+        links = stage(joined_labels(tiles.join(texts, "node"), idf, threshold), "label-links")
+        return merged(labels, links) if links.limit(1).count() else labels
+
+    for begin, end in TURNS:
+        turn = members.filter(F.col("band").between(begin, end))
+        labels = compared(labels, tiles_of_buckets(open_members(turn, labels)))
+    # parts of large buckets have met their hubs only
+    labels = compared(labels, tiles_of_parts(open_members(members, labels)))
+    rows = docs.select(F.col(id_col).alias("id"), node(F.col(text_col)).alias("node"))
+    labelled = rows.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     return labelled.join(classes, "label").select(F.col("id").alias(id_col), "class_id", "class_size", "node", "label")
 
