@@ -304,6 +304,20 @@ def band_members(texts: DataFrame) -> DataFrame:
     return keyed.join(shared, "key").select("band", "key", "node", "chars", "n")
 
 
+def maybe_members(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``texts`` without most of those whose node is not among ``members``, by a bitmap, so that no text is shuffled for
+    it; all members stay."""
+    names = texts.columns
+    bits = texts.sparkSession.sparkContext.broadcast(maybe_shared(members.select(F.xxhash64("node").alias("word"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            some = holds(bits.value, part.column("hash").to_numpy().view(np.uint64))
+            yield part.filter(pa.array(some)).select(names)
+
+    return texts.withColumn("hash", F.xxhash64("node")).mapInArrow(run, texts.schema)
+
+
 def joined_labels(tiles: DataFrame, idf: Frequencies, threshold: float) -> DataFrame:
     """``tiles`` (tile, part, label, node, text, words, counts, sketch) to links (a, b) between labels: rows of a tile are
     compared with each other, unless they are of the same part (null is the same as none)."""
@@ -442,13 +456,14 @@ def labelled_classes(docs: DataFrame, id_col: str, text_col: str, threshold: flo
     members = stage(band_members(texts), "band-members")
     labels = members.groupBy("node").agg(F.sum("n").alias("weight")).withColumn("label", F.col("node"))
     labels = stage(labels, "labels")
-    texts = stage(texts.join(labels.select("node"), "node", "left_semi"), "member-texts")
+    texts = stage(maybe_members(texts, labels), "member-texts")
 
     def compared(labels: DataFrame, tiles: DataFrame) -> DataFrame:
         tiles = stage(tiles, "tiles")
         if not tiles.limit(1).count():
             return labels
-        links = stage(joined_labels(tiles.join(texts, "node"), idf, threshold), "label-links")
+        # one plan for all sizes: few tiles are not sent around either
+        links = stage(joined_labels(tiles.join(texts.hint("merge"), "node"), idf, threshold), "label-links")
         return merged(labels, links) if links.limit(1).count() else labels
 
     for begin, end in TURNS:
