@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ OTHER_SPACES = "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u20
 CACHE_ITEMS = 200_000
 CACHED_LENGTH = 64
 #: Characters encoded together; a longer text goes alone.
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 4 << 20
 #: Rows of an Arrow batch whose texts become Python strings together.
 ROWS = 256
 #: Number of ids, the decimal ids joined by commas, the bytes the ids stand for.
@@ -72,6 +73,10 @@ class Encoding:
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
+        #: by id: its decimal form with a comma behind it, the bytes it stands for
+        numbers = range(max(self.bytes_of, default=-1) + 1)
+        self.id_texts = pa.array([f"{i}," for i in numbers], pa.large_string())
+        self.id_bytes = pa.array([self.bytes_of.get(i, b"") for i in numbers], pa.large_binary())
         self.words = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         #: encoded pieces seen of late, and those before; what is not asked for while the first fills up is dropped
@@ -84,10 +89,10 @@ class Encoding:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Each word's ids. One index of pairs serves all words of the call."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and where each word's end in it. One index of pairs serves all words of the call."""
         if not words:
-            return []
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
@@ -143,9 +148,19 @@ class Encoding:
         alive = symbols[:n] >= 0
         counts = np.add.reduceat(np.append(alive, False), np.minimum(ends - lengths, n)) if n else np.zeros(len(raw), int)
         counts[lengths == 0] = 0
-        flat = symbols[:n][alive].tolist()
-        stops = np.cumsum(counts).tolist()
-        return [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return symbols[:n][alive], np.cumsum(counts)
+
+    def encoded(self, words: list[str]) -> dict[str, Encoded]:
+        """Each word with its encoding. Ids are written out and turned into bytes for all words together, then cut."""
+        ids, stops = self.encode_words(words)
+        starts = np.append(0, stops)
+        (texts, t), (raw, r) = [_laid_out(table, ids, starts) for table in (self.id_texts, self.id_bytes)]
+        texts = texts.decode()
+        # a comma ends the text of each word that has an id
+        return {
+            w: (n, texts[a : b - 1] if n else "", raw[c:d])
+            for w, n, a, b, c, d in zip(words, np.diff(starts).tolist(), t, t[1:], r, r[1:], strict=False)
+        }
 
     def pieces(self, text: str) -> list[str]:
         """The text in pieces that are words or runs of words: a lone blank always starts a word, so texts without
@@ -183,27 +198,48 @@ class Encoding:
                 at = m.end()
             pieces += self.pieces(text[at:])
             encoded = list(map(kept.get, pieces))
-            if None in encoded:
-                for p, e in zip(pieces, encoded, strict=True):
-                    if e is None and p in older:
-                        kept[p] = older[p]
-                encoded = list(map(kept.get, pieces))
-                encoded = [new.setdefault(p, []) if e is None else e for p, e in zip(pieces, encoded, strict=True)]
+            for at in [i for i, e in enumerate(encoded) if e is None]:
+                p = pieces[at]
+                e = kept.get(p)
+                if e is None:
+                    e = older.get(p)
+                    if e is None:
+                        e = new[p] = []
+                    kept[p] = e
+                encoded[at] = e
             found.append(encoded)
-        words = {p: self.words_of(p) for p in new}
-        distinct = list(set().union(*words.values()) - self.special.keys())
-        ids = dict(zip(distinct, self.encode_words(distinct), strict=True)) | {s: [i] for s, i in self.special.items()}
+        # most pieces are one word with a blank before it
+        words = {p: self.words_of(p) for p in new if not (p[0] == " " and p[1:].isalpha())}
+        distinct = list(set(chain(*words.values(), new.keys() - words.keys())) - self.special.keys())
+        encodings = self.encoded(distinct)
+        for content, i in self.special.items():
+            encodings[content] = 1, str(i), self.bytes_of[i]
         for piece, waiting in new.items():
-            of_piece = [i for w in words[piece] for i in ids[w]]
-            waiting += len(of_piece), ",".join(map(str, of_piece)), b"".join(map(self.bytes_of.__getitem__, of_piece))
+            encoding = encodings.get(piece)
+            if encoding is None:
+                counts, texts, raw = zip(*map(encodings.__getitem__, words[piece]), strict=True)
+                encoding = sum(counts), ",".join(texts), b"".join(raw)
+            waiting += encoding
             if len(piece) <= CACHED_LENGTH:
-                kept[piece] = tuple(waiting)
+                kept[piece] = encoding
+            else:
+                del kept[piece]
         return found
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _laid_out(table: pa.Array, ids: np.ndarray, places: np.ndarray) -> tuple[bytes, list[int]]:
+    """The entries of ``table`` (strings or bytes with long offsets) for ``ids`` in a row, and the byte at which each of
+    ``places`` among the ids lies."""
+    taken = table.take(pa.array(ids))
+    offsets, data = taken.buffers()[1:]
+    if not len(ids):
+        return b"", [0] * len(places)
+    return data.to_pybytes(), np.frombuffer(offsets, np.int64)[places].tolist()
+
+
 _open: dict[str, Encoding] = {}
 
 

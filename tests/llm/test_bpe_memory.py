@@ -39,3 +39,26 @@ def test_texts_of_a_column():
     rows = [None, "", *map(str, range(bpe.ROWS * 2))]
     assert list(bpe.texts_of(pa.array(rows))) == ["", *rows[1:]]
     assert list(bpe.texts_of(pa.array([], pa.string()))) == []
+
+
+def test_words_of_a_batch_are_written_out_together():
+    enc = bpe.Encoding(PATH)
+    calls = []
+    encoded, enc.encoded = enc.encoded, lambda words: calls.append(len(words)) or encoded(words)
+    texts = ["", " ", "the cat's  mat.\n", "<|endoftext|>x<|endoftext|>", "naïve 中文   é", "y" * 100 + " y, the", "the the the"]
+    found = enc.encode_batch(texts)
+    assert len(calls) == 1
+    for text, pieces in zip(texts, found, strict=True):
+        ids = [int(i) for p in pieces for i in p[1].split(",")]
+        assert sum(p[0] for p in pieces) == len(ids)
+        assert b"".join(p[2] for p in pieces).decode() == enc.decode(ids) == text
+    # a piece that is too long is not kept, even though it waited for its encoding among the kept ones
+    assert "y" * 100 not in enc.kept and " the" in enc.kept and all(type(e) is tuple for e in enc.kept.values())
+
+
+def test_encoded_words_cover_no_words_and_empty_ones():
+    enc = bpe.Encoding(PATH)
+    assert enc.encoded([]) == {}
+    whole = enc.encoded(["", "cat", "ÿ"])
+    assert whole[""] == (0, "", b"") and whole["cat"][2] == b"cat" and whole["ÿ"][2] == "ÿ".encode()
+    assert [enc.decode(map(int, whole[w][1].split(","))) for w in ("cat", "ÿ")] == ["cat", "ÿ"]
