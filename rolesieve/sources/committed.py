@@ -187,16 +187,20 @@ class CommittedTable:
         """The part of ``keys`` (a staged table with a column ``key``) that the table holds.
 
         Segments and folders that hold none of them by their filters are not read; the others are scanned for the keys
-        if these are small, or shuffled with them.
+        if these are small, or shuffled with them. A segment of no more rows than there are keys is read as it is: to
+        bring every key to its filter, by a shuffle where the filters are large, costs more than its rows.
         """
         snapshot = snapshot or self.snapshot()
         keys = keys.select("key")
-        found = self.candidates(keys, snapshot)
+        asked = keys.count() if any(s.blocks for s in snapshot.segments) else 0
+        whole = {s.name for s in snapshot.segments if not s.blocks or s.rows <= asked}
+        found = self.candidates(keys, replace(snapshot, segments=tuple(s for s in snapshot.segments if s.name not in whole)))
         known = None
         for segment in snapshot.segments:
-            if segment.blocks and segment.name not in found:
+            if segment.name not in whole and segment.name not in found:
                 continue
-            held = self._keys_of(segment, sorted(found[segment.name]) if segment.prefix else None)
+            in_part = segment.prefix and segment.name not in whole
+            held = self._keys_of(segment, sorted(found[segment.name]) if in_part else None)
             held = held.join(keys, "key", "left_semi")
             known = held if known is None else known.unionByName(held)
         return keys.limit(0) if known is None else known

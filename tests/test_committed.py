@@ -291,3 +291,33 @@ def test_appended_rows_are_computed_once(spark, path):
     # what the rows were kept in meanwhile is gone
     needed = {s.name for s in seen_table(spark, path).snapshot().segments}
     assert set(files.list_files(spark, f"{path}/_segments")) == needed
+
+
+@pytest.mark.parametrize("compacted", [False, True])
+def test_a_segment_smaller_than_the_batch_is_read_without_its_filters(spark, path, monkeypatch, compacted):
+    append_seen(hashes(spark, range(40)), path)
+    append_seen(hashes(spark, range(40, 50)), path)
+    if compacted:
+        compact_seen(spark, path)
+    asked = []
+    candidates = CommittedTable.candidates
+    monkeypatch.setattr(
+        CommittedTable, "candidates",
+        lambda self, keys, snapshot: asked.append(sorted(s.rows for s in snapshot.segments)) or candidates(self, keys, snapshot),
+    )
+
+    def known(values):
+        keys = hashes(spark, values).select(F.col("hash").alias("key"))
+        return Counter(r.key for r in seen_table(spark, path).known(keys).collect())
+
+    assert known(range(30, 130)) == once(range(30, 50))
+    assert known([*range(45, 57), *range(100, 110)]) == once(range(45, 50))
+    assert known([3, 1000]) == once([3])
+    assert known([]) == Counter()
+    assert asked == ([[], [50], [50], [50]] if compacted else [[], [40], [10, 40], [10, 40]])
+
+
+def test_null_and_repeated_keys_beside_a_smaller_segment(spark, path):
+    append_seen(hashes(spark, range(3)), path)
+    keys = spark.createDataFrame([(None,), ("",), (h(1),), (h(1),), (h(9),)], "key string")
+    assert [r.key for r in seen_table(spark, path).known(keys).collect()] == [h(1)]
