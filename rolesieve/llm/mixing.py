@@ -12,6 +12,9 @@ what is left over is shared again by weight.
 Edge cases: a null text or one of separators only has size 0 and is never taken; null sources form a source of their
 own, last in the order; a null id is an id; rows that repeat everything take interchangeable places. An empty table
 gives no rows. Other columns are not read by the plan and are kept by ``mixed_documents``.
+
+All joins are merge joins by hint. Spark sizes the rows of an explode by the few it is made from, and a staged table by
+its packed files; by these it would broadcast slots, spans or places, which grow with the words, through the driver.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ WEIGHTS = (3, 1, 2)
 BUCKET_ROWS = 50_000
 #: Slots made from one row.
 RUN = 1 << 16
+#: Slots made in one task.
+TASK_SLOTS = 4 * RUN
 ROUNDS = 16
 
 
@@ -82,13 +87,13 @@ def place_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str
     targets = source_targets(totals, weights, share, most)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).alias("s")
-    starts = starts.join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
+    starts = starts.join(targets.hint("merge").alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select(
         F.col("s.source").alias("named"), F.col("bucket").alias("in_bucket"), "offset", "source_no", "source_size", "target"
     )
     inside = Window.partitionBy("source", "bucket").orderBy("id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     running = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = F.col("source").eqNullSafe(F.col("named")) & (F.col("bucket") == F.col("in_bucket"))
-    placed = running.join(starts, same).withColumn("start", F.col("offset") + F.col("inside"))
+    placed = running.join(starts.hint("merge"), same).withColumn("start", F.col("offset") + F.col("inside"))
     return placed.select("id", "text_hash", "source", "size", "source_no", "source_size", "target", "start")
 
 
@@ -122,7 +127,9 @@ def draw_slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int
                             .alias("shard")).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counted = drawn.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    numbered = counted.join(plan, "source_no").select(
+    # one source's shards are dealt over tasks, as each row becomes all its slots
+    tasks = max(1, math.ceil(total / TASK_SLOTS))
+    numbered = counted.join(plan.hint("merge"), "source_no").repartition(tasks, "source_no", "shard").select(
         "shard", "source_no", "blocks", "passes", "rest", "short_at", "missing", "last_words",
         F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"),
     )
@@ -146,7 +153,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     start, size, block = F.col("start"), F.col("size"), F.col("block")
     spans = placed.filter("size > 0").select("source_no", "start", "size", F.explode(F.sequence(
         F.floor(start / block_words), F.floor((start + size - 1) / block_words))).alias("block"))
-    met = slots.join(spans, ["source_no", "block"])
+    met = slots.hint("merge").join(spans, ["source_no", "block"])
     first = F.greatest(block * block_words, start)
     last = F.least(block * block_words + F.col("take"), start + size)
     pieces = met.select("shard", "slot", "pass", "source_no", "start", (first - start).alias("first"), (last - start).alias("last"))
@@ -158,7 +165,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     placed, pieces = mix_plan(docs, id_col, **options)
     taken = pieces.groupBy("source_no", "start").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     # places are unique among documents that have words
-    with_words = placed.filter("size > 0").join(taken, ["source_no", "start"], "left")
+    with_words = placed.filter("size > 0").join(taken.hint("merge"), ["source_no", "start"], "left")
     columns = [F.col("id").alias(id_col), "size", "source_size", "target"]
     counts = with_words.select(*columns, F.coalesce("taken", F.lit(0)).alias("taken"))
     return counts.unionByName(placed.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))

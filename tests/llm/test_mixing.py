@@ -1,0 +1,62 @@
+"""The mix sends no table through the driver that grows with the documents, and its rows don't depend on how it is run."""
+
+from collections import Counter
+
+import pytest
+
+from rolesieve.llm import mixing
+
+OPTIONS = {"block_words": 16, "shard_slots": 20}
+THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(1 + i * 37 % 90)), None if i % 7 == 0 else f"s{i % 4}") for i in range(300)]
+    rows += [(1, None, "s1"), (None, "a b c", "s2"), (None, None, None), (400, "one two", "s3"), (400, "one two", "s3"), (401, " \t", "t")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+@pytest.fixture
+def threshold(spark):
+    was = spark.conf.get(THRESHOLD)
+    yield lambda value: spark.conf.set(THRESHOLD, value)
+    spark.conf.set(THRESHOLD, was)
+
+
+def run(frame):
+    """The rows, and the plan as it was in the end."""
+    rows = Counter(map(tuple, frame.collect()))
+    return rows, frame._jdf.queryExecution().executedPlan().toString()
+
+
+def places(docs):
+    return mixing.place_documents(docs, "doc_id", "text", "source", mixing.WEIGHTS, 1.5, 2.0)
+
+
+def slots(docs):
+    sources = places(docs).select("source_no", "source_size", "target").distinct()
+    # staged as the mix does it, so that only the plan of the slots is looked at
+    return mixing.draw_slots(mixing.stage(sources, "test-sources"), 16, 20, 7)
+
+
+def counts(docs):
+    return mixing.mix_counts(docs, **OPTIONS)
+
+
+@pytest.mark.parametrize("make", [places, slots, counts])
+def test_nothing_is_broadcast_whatever_the_estimate(docs, threshold, make):
+    threshold("1g")
+    rows, plan = run(make(docs))
+    assert rows and "SortMergeJoin" in plan and "Broadcast" not in plan
+    threshold("-1")
+    assert run(make(docs))[0] == rows
+
+
+def test_slots_are_dealt_over_tasks(docs, monkeypatch):
+    before, _ = run(counts(docs))
+    rows, _ = run(slots(docs))
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 100)
+    dealt = slots(docs)
+    assert dealt.rdd.getNumPartitions() == -(-sum(rows.values()) // 100) > 5
+    assert run(dealt)[0] == rows and run(counts(docs))[0] == before
