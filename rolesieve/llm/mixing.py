@@ -185,14 +185,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows that repeat id and text are told apart by a number, which pairs them with as many places
     copy = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("source_no", "start"))
     numbered = placed.filter("size > 0").withColumn("_copy", copy)
-    uses = numbered.join(passes, ["source_no", "start"]).select(
+    uses = numbered.join(passes.hint("merge"), ["source_no", "start"]).select(
         F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"), "_copy", F.col("size").alias("_size"), "_spans", "_taken"
     )
     hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     source_order = F.col(options.get("source_col", "source")).asc_nulls_last()
     nth = F.row_number().over(Window.partitionBy(id_col, "_hash").orderBy(source_order))
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash")) & (F.col("_nth") == F.col("_copy"))
-    met = hashed.withColumn("_nth", nth).join(uses, same)
+    met = hashed.withColumn("_nth", nth).join(uses.hint("merge"), same)
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
     some = F.array_join(
         F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")))),

@@ -44,7 +44,11 @@ def counts(docs):
     return mixing.mix_counts(docs, **OPTIONS)
 
 
-@pytest.mark.parametrize("make", [places, slots, counts])
+def mixed(docs):
+    return mixing.mixed_documents(docs, **OPTIONS)
+
+
+@pytest.mark.parametrize("make", [places, slots, counts, mixed])
 def test_nothing_is_broadcast_whatever_the_estimate(docs, threshold, make):
     threshold("1g")
     rows, plan = run(make(docs))
